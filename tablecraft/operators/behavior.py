@@ -68,9 +68,10 @@ def user_behavioral(
     timeline = Window.partitionBy("user_id", "feature_date").orderBy("first_ts")
     idle = _seconds(F.col("first_ts") - F.lag("last_ts").over(timeline))
     opens_session = F.coalesce(idle >= session_gap_seconds, F.lit(True))
+    so_far = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sessions = (
         snapshots.withColumn("opens", opens_session.cast("int"))
-        .withColumn("session_no", F.sum("opens").over(timeline))
+        .withColumn("session_no", F.sum("opens").over(so_far))
         .groupBy("user_id", "feature_date", "session_no")
         .agg(
             F.to_date(F.min("first_ts")).alias("started_on"),

@@ -8,9 +8,8 @@ that reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,17 +139,17 @@ def reconstruction_error(
     zeros_term = _trace(gram(w, names), gram(h, names))
     cells = matrix.where(F.col("score") != 0)
     joined = _joined(cells, w, h, names)
-    squared = (
-        F.sum(F.col("score") * F.col("score"))
-        - 2.0 * F.sum(F.col("score") * _dot(names))
-        + F.lit(zeros_term)
-    )
-    return joined.agg(F.sqrt(F.greatest(squared, F.lit(0.0))).alias("error"))
+    squared = f"sum(score * score) - 2 * sum(score * ({_dot(names)})) + {zeros_term!r}D"
+    return joined.selectExpr(f"sqrt(greatest({squared}, 0D)) AS error")
 
 
 def gram(factors: DataFrame, names: Sequence[str]) -> list[list[float]]:
     """``F'F`` of a factor table: k x k sums in one aggregate."""
-    return _symmetric(factors.agg(*_gram_sums(names)).first(), len(names))
+    return _symmetric(factors.selectExpr(*_gram_sums(names)).first(), len(names))
+
+
+# The expressions below are built as SQL text: with k factors there are k * k
+# terms, and one string costs one call into the JVM instead of hundreds.
 
 
 def _update(
@@ -165,45 +164,45 @@ def _update(
     sums = (
         cells.join(other.select(other_key, *names), other_key)
         .groupBy(key)
-        .agg(*[F.sum(F.col("score") * F.col(n)).alias(f"n_{n}") for n in names])
+        .agg(*[F.expr(f"sum(score * {n}) AS n_{n}") for n in names])
     )
     updated = []
     for row, name in zip(other_gram, names):
-        denominator = _total([F.col(n) * F.lit(g) for n, g in zip(names, row)])
-        updated.append(
-            (F.col(name) * F.col(f"n_{name}") / (denominator + F.lit(_EPSILON))).alias(name)
-        )
+        denominator = _sum_text(f"{n} * {g!r}D" for n, g in zip(names, row))
+        updated.append(f"{name} * n_{name} / ({denominator} + {_EPSILON!r}D) AS {name}")
     # n_* stay in the table: with the new factors they give the error's cross term.
-    return factors.select(key, *names).join(sums, key).select(
-        key, *updated, *[f"n_{n}" for n in names]
+    return (
+        factors.select(key, *names)
+        .join(sums, key)
+        .selectExpr(key, *updated, *[f"n_{n}" for n in names])
     )
 
 
 def _gram_and_cross(
     factors: DataFrame, names: Sequence[str]
 ) -> tuple[list[list[float]], float]:
-    cross = F.sum(_total([F.col(n) * F.col(f"n_{n}") for n in names])).alias("cross")
-    row = factors.agg(*_gram_sums(names), cross).first()
+    cross = f"sum({_sum_text(f'{n} * n_{n}' for n in names)}) AS cross"
+    row = factors.selectExpr(*_gram_sums(names), cross).first()
     return _symmetric(row, len(names)), row.cross
 
 
 def _cross_term(cells: DataFrame, w: DataFrame, h: DataFrame, names: Sequence[str]) -> float:
-    return _joined(cells, w, h, names).agg(F.sum(F.col("score") * _dot(names))).first()[0]
+    return _joined(cells, w, h, names).selectExpr(f"sum(score * ({_dot(names)}))").first()[0]
 
 
 def _joined(cells: DataFrame, w: DataFrame, h: DataFrame, names: Sequence[str]) -> DataFrame:
-    left = w.select("user_id", *[F.col(n).alias(f"w_{n}") for n in names])
-    right = h.select("item_id", *[F.col(n).alias(f"h_{n}") for n in names])
+    left = w.selectExpr("user_id", *[f"{n} AS w_{n}" for n in names])
+    right = h.selectExpr("item_id", *[f"{n} AS h_{n}" for n in names])
     return cells.join(left, "user_id").join(right, "item_id")
 
 
-def _dot(names: Sequence[str]) -> Column:
-    return _total([F.col(f"w_{n}") * F.col(f"h_{n}") for n in names])
+def _dot(names: Sequence[str]) -> str:
+    return _sum_text(f"w_{n} * h_{n}" for n in names)
 
 
-def _gram_sums(names: Sequence[str]) -> list[Column]:
+def _gram_sums(names: Sequence[str]) -> list[str]:
     return [
-        F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}")
+        f"sum({a} * {b}) AS g_{i}_{j}"
         for i, a in enumerate(names)
         for j, b in enumerate(names)
         if i <= j
@@ -211,7 +210,8 @@ def _gram_sums(names: Sequence[str]) -> list[Column]:
 
 
 def _symmetric(row, rank: int) -> list[list[float]]:
-    return [[row[f"g_{min(i, j)}_{max(i, j)}"] for j in range(rank)] for i in range(rank)]
+    values = row.asDict()
+    return [[values[f"g_{min(i, j)}_{max(i, j)}"] for j in range(rank)] for i in range(rank)]
 
 
 def _trace(gram_w: list[list[float]], gram_h: list[list[float]]) -> float:
@@ -225,18 +225,17 @@ def _error(squares: float, cross: float, gram_w, gram_h) -> float:
 def _hashed_factors(key: str, names: Sequence[str], seed: int, scale: float) -> list[Column]:
     steps = 1_000_003
     return [
-        (
-            (F.pmod(F.xxhash64(F.lit(seed), F.lit(key), F.lit(n), F.col(key)), F.lit(steps)) + 1)
-            / F.lit(steps)
-            * F.lit(scale)
-        ).alias(n)
+        F.expr(
+            f"(pmod(xxhash64({seed}, '{key}', '{n}', {key}), {steps}) + 1) / {steps}D"
+            f" * {scale!r}D AS {n}"
+        )
         for n in names
     ]
 
 
 def _unpack(column: str, names: Sequence[str]) -> list[Column]:
-    return [F.col(column)[j].cast("double").alias(n) for j, n in enumerate(names)]
+    return [F.expr(f"CAST({column}[{j}] AS DOUBLE) AS {n}") for j, n in enumerate(names)]
 
 
-def _total(terms: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
+def _sum_text(terms: Iterable[str]) -> str:
+    return " + ".join(terms)

@@ -147,7 +147,7 @@ def daily_report(
             "total_refunds"
         ),
     )
-    stock = _stock_per_category(check_stock(extract_inventory(inventory)))
+    stock = inventory.groupBy("category").agg(F.sum("stock_count").alias("total_stock"))
     return revenue.join(stock, "category", "left").select(
         *_REVENUE_COLUMNS, *_filled("total_stock", "refund_count", "total_refunds")
     )

@@ -413,7 +413,7 @@ def interaction_matrix_wide(data: StarSchema) -> DataFrame:
 
 @query
 def nmf_factors(data: StarSchema) -> DataFrame:
-    return _long_factors(reco.train_recommender(data.raw_interactions(), 10, 20))
+    return _long_factors(reco.train_recommender(data.raw_interactions(), 10, max_iter=10))
 
 
 @query
