@@ -30,7 +30,7 @@ def fit_logistic(
     C: float = 1.0,
     max_iter: int = 1000,
     solver: str = "lbfgs",
-    tol: float = 1e-8,
+    tol: float = 1e-6,
     invalid: str = "error",
 ) -> PipelineModel:
     """L2-penalised logistic regression on standard-scaled features.

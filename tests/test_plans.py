@@ -1,0 +1,100 @@
+"""Plan properties that matter on a cluster, checked on the registered queries."""
+
+import os
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablecraft.session import shuffle_partitions
+from tablecraft.sources.star_schema import StarSchema
+from verification.oracles import oracle_sql
+from verification.queries import queries
+
+SMALL = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
+
+LAZY = sorted(set(queries()) - {"churn_scores", "churn_metrics", "churn_model_reload",
+                                "nmf_factors", "nmf_two_iterations"})
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    """Plans as for tables too large to broadcast."""
+    previous = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield {name: plan_of(queries()[name](spark, SMALL)) for name in LAZY}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", previous)
+
+
+def test_no_cross_joins_and_no_python(plans):
+    banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython",
+              "MapInPandas", "FlatMapGroups", "BroadcastExchange")
+    for name, plan in plans.items():
+        found = [node for node in banned if node in plan]
+        assert not found, f"{name}: {found}"
+
+
+def test_date_ranges_reach_the_scan(spark):
+    orders = plan_of(queries()["extract_orders"](spark, SMALL))
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(o_orderdate", orders)
+    returns = plan_of(queries()["extract_returns"](spark, SMALL))
+    assert re.search(r"PushedFilters: \[.*LessThan\(l_shipdate", returns)
+    assert "EqualTo(l_returnflag,R)" in returns
+    interactions = plan_of(queries()["extract_interactions"](spark, SMALL))
+    assert "GreaterThanOrEqual(ts" in interactions
+
+
+def test_scans_read_only_needed_columns(spark):
+    plan = plan_of(queries()["agg_revenue"](spark, SMALL))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
+    assert "o_orderstatus" not in plan and "c_name" not in plan
+
+
+def test_report_scans_the_orders_once(spark):
+    plan = plan_of(queries()["daily_report"](spark, SMALL))
+    assert len(re.findall(r"FileScan parquet \[o_orderkey", plan)) == 1
+
+
+def test_asof_needs_one_shuffle(plans):
+    assert plans["feature_asof"].count("Exchange hashpartitioning") == 1
+
+
+def test_registry_and_sql_cover_each_other():
+    assert set(oracle_sql()) <= set(queries())
+    without = set(queries()) - set(oracle_sql())
+    assert without == {"churn_scores", "churn_metrics", "churn_model_reload", "nmf_factors"}
+
+
+def test_adaptive_execution_splits_a_hot_join_key(spark):
+    """A customer with most of the orders does not become one long task."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+    }
+    previous = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        orders = spark.range(0, 200_000, 1, 8).select(
+            F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 500).alias("c_custkey"),
+            F.col("id").alias("o_orderkey"),
+        )
+        customers = StarSchema(spark, SMALL).table("customer")
+        joined = orders.join(customers, "c_custkey").groupBy("c_mktsegment").count()
+        joined.collect()
+        assert "SortMergeJoin(skew=true)" in plan_of(joined)
+    finally:
+        for key, value in previous.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_shuffle_partitions_follow_the_volume():
+    assert shuffle_partitions(0, 8) == 8
+    assert shuffle_partitions(10 * 1024**4, 1000) == 81_920
