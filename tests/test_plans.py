@@ -67,7 +67,7 @@ def test_asof_needs_one_shuffle(plans):
 def test_registry_and_sql_cover_each_other():
     assert set(oracle_sql()) <= set(queries())
     without = set(queries()) - set(oracle_sql())
-    assert without == {"churn_scores", "churn_metrics", "churn_model_reload", "nmf_factors"}
+    assert without == {"nmf_factors"}
 
 
 def test_adaptive_execution_splits_a_hot_join_key(spark):

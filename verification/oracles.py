@@ -166,14 +166,72 @@ def _churn_raw() -> str:
         WHERE event_date BETWEEN DATE '{CHURN_RUN_DATE}' - 90 AND DATE '{CHURN_RUN_DATE}')"""
 
 
+CHURN_FEATURES = (
+    "session_count_7d",
+    "session_count_30d",
+    "total_purchases_30d",
+    "session_trend",
+    "log_purchases_30d",
+    "days_since_last_login",
+    "support_tickets_90d",
+    "avg_session_duration_s",
+)
+
+
+def _churn_scores(steps: int = 1500, momentum: float = 0.93) -> str:
+    """Logistic regression by accelerated gradient descent in SQL.
+
+    The objective is strictly convex in the weights, so any method that
+    converges gives the same probabilities. Features are scaled by the
+    population standard deviation; weight ``i`` of the last column is the
+    intercept and is not penalised.
+    """
+    size = len(CHURN_FEATURES)
+    every = range(size + 1)
+    # The largest curvature of the mean loss is at most a quarter of the squared row norm.
+    step = 1.0 / (0.25 * (size + 1) + 0.1)
+    scaled = ", ".join(
+        f"(CAST({c} AS DOUBLE) - AVG({c}) OVER ()) / NULLIF(STDDEV_POP({c}) OVER (), 0) AS x{i}"
+        for i, c in enumerate(CHURN_FEATURES)
+    )
+    gradient = ", ".join(
+        f"y{i} - {step} * (SUM((1 / (1 + EXP(-z)) - label) * x{i}) / COUNT(*)"
+        + (f" + y{i} / COUNT(*)" if i < size else "")
+        + f") AS w{i}"
+        for i in every
+    )
+    ahead = ", ".join(f"w{i} + {momentum} * (w{i} - p{i}) AS y{i}" for i in every)
+    names = ", ".join(f"w{i}" for i in every)
+    return f"""{_churn_raw()},
+    feats AS (
+        SELECT user_id, label, session_count_7d, session_count_30d, total_purchases_30d,
+               CAST(session_count_7d AS DOUBLE) / NULLIF(session_count_30d, 0) AS session_trend,
+               LN(1 + total_purchases_30d) AS log_purchases_30d,
+               days_since_last_login, support_tickets_90d, avg_session_duration_s
+        FROM churn_training_raw),
+    complete AS (SELECT * FROM feats WHERE {" AND ".join(f"{c} IS NOT NULL" for c in CHURN_FEATURES)}),
+    x AS (SELECT user_id, label, {scaled}, 1.0::DOUBLE AS x{size} FROM complete),
+    fit AS (
+        SELECT 0 AS step, {", ".join(f"0.0::DOUBLE AS w{i}" for i in every)},
+               {", ".join(f"0.0::DOUBLE AS p{i}" for i in every)}
+        UNION ALL
+        SELECT step + 1, {gradient}, {", ".join(f"w{i} AS p{i}" for i in every)}
+        FROM (SELECT l.*, x.*, {" + ".join(f"l.y{i} * x.x{i}" for i in every)} AS z
+              FROM (SELECT step, {names}, {ahead} FROM fit WHERE step < {steps}) l, x)
+        GROUP BY step, {names}, {", ".join(f"y{i}" for i in every)}),
+    churn_scores AS (
+        SELECT x.user_id, x.label,
+               1 / (1 + EXP(-({" + ".join(f"w{i} * x{i}" for i in every)}))) AS p
+        FROM x, (SELECT * FROM fit WHERE step = {steps}))"""
+
+
 QUALITY_SCORES = """scored AS (
     SELECT CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 2000.0) AS p, l.quality AS y
     FROM documents d JOIN labels l ON l.doc_id = d.doc_id
     WHERE l.quality IN (0, 1))"""
 
 # AUC as the share of (positive, negative) pairs in the right order.
-BINARY_METRICS = f"""{QUALITY_SCORES},
-    pairs AS (
+METRICS_OF_SCORED = """pairs AS (
         SELECT SUM(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END)
                / COUNT(*) AS auc
         FROM scored a JOIN scored b ON a.y = 1 AND b.y = 0),
@@ -190,6 +248,7 @@ BINARY_METRICS = f"""{QUALITY_SCORES},
                ROUND(COALESCE(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0.0), 4) AS precision,
                ROUND(COALESCE(tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0.0), 4) AS recall
         FROM counts)"""
+BINARY_METRICS = f"{QUALITY_SCORES}, {METRICS_OF_SCORED}"
 
 SCORES = f"""{RAW_INTERACTIONS},
     v AS (
@@ -236,6 +295,11 @@ def _gates() -> str:
     )
 
 
+CHURN_SCORES = f"""WITH RECURSIVE {_churn_scores()}
+    SELECT user_id, label, ROUND(p, 3) AS probability,
+           CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS predicted FROM churn_scores"""
+
+
 def oracle_sql() -> dict[str, str]:
     staged = f"""staged_orders AS (SELECT * FROM raw_orders
         WHERE order_date BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}'),
@@ -359,6 +423,11 @@ def oracle_sql() -> dict[str, str]:
         "label_distribution": f"""WITH {_churn_raw()}
             SELECT label, COUNT(*) AS row_count FROM churn_training_raw
             WHERE user_id IS NOT NULL GROUP BY label""",
+        "churn_scores": CHURN_SCORES,
+        "churn_model_reload": CHURN_SCORES,
+        "churn_metrics": f"""WITH RECURSIVE {_churn_scores()},
+            scored AS (SELECT p, label AS y FROM churn_scores), {METRICS_OF_SCORED}
+            SELECT * FROM binary_metrics""",
         "scaled_features": "WITH s AS (SELECT "
         + ", ".join(
             f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}"

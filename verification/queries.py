@@ -352,7 +352,7 @@ def scaled_features(data: StarSchema) -> DataFrame:
 
 @query
 def churn_scores(data: StarSchema) -> DataFrame:
-    return _churn_run(data).scores
+    return _rounded_scores(_churn_run(data).scores)
 
 
 @query
@@ -360,7 +360,7 @@ def churn_model_reload(data: StarSchema) -> DataFrame:
     """Save, load, and score the saved snapshot with the loaded model."""
     run = _churn_run(data, model_base=scratch_path(data.spark, "models"))
     snapshot = sources.read_parquet(data.spark, f"{run.path}/eval_data")
-    return churn.score(sources.load_model(run.path), snapshot)
+    return _rounded_scores(churn.score(sources.load_model(run.path), snapshot))
 
 
 @query
@@ -497,10 +497,14 @@ def _churn_features(data: StarSchema) -> DataFrame:
 
 def _churn_run(data: StarSchema, **options: object) -> churn.ChurnRun:
     return churn.train_and_gate(
-        _churn_features(data), {"auc": 0.0}, invalid="skip", **options
+        _churn_features(data), {"auc": 0.0}, invalid="skip", tol=1e-10, **options
     )
 
 
+def _rounded_scores(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("probability", F.round("probability", 3))
+
+
 def _quality_scores(data: StarSchema) -> DataFrame:
     chars = F.col("n_chars").cast("double")
     return (
