@@ -1,4 +1,12 @@
-from tablecraft.functions.aggregates import count_if, exact_avg, exact_sum, money, sum_if
+from tablecraft.functions.aggregates import (
+    count_if,
+    exact_avg,
+    exact_sum,
+    money,
+    sum_if,
+    sum_units,
+    to_units,
+)
 from tablecraft.functions.dates import as_date, shift_date, within_dates
 from tablecraft.functions.scalars import (
     at_threshold,
@@ -29,7 +37,9 @@ __all__ = [
     "safe_divide",
     "shift_date",
     "sum_if",
+    "sum_units",
     "tier",
     "to_double",
+    "to_units",
     "within_dates",
 ]

@@ -12,7 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecraft.functions import as_date, count_if, money, safe_divide, within_dates
+from tablecraft.functions import (
+    as_date,
+    count_if,
+    safe_divide,
+    sum_units,
+    to_units,
+    within_dates,
+)
 
 LOOKBACK_DAYS = 90
 SESSION_GAP_SECONDS = 6 * 3600
@@ -50,7 +57,7 @@ def user_behavioral(
         .agg(
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),
-            F.sum(F.when(F.col("event_type") == purchase_type, money(F.col("value")))).alias(
+            F.sum(F.when(F.col("event_type") == purchase_type, to_units(F.col("value")))).alias(
                 "purchases"
             ),
             F.max(F.col("event_type").isin(*login_types)).alias("has_login"),
@@ -86,7 +93,7 @@ def user_behavioral(
     return sessions.groupBy("user_id", "feature_date").agg(
         count_if(recent).alias("session_count_7d"),
         count_if(_in_window("started_on", 30)).alias("session_count_30d"),
-        F.coalesce(F.sum("purchases_30d").cast("double"), F.lit(0.0)).alias("total_purchases_30d"),
+        F.coalesce(sum_units(F.col("purchases_30d")), F.lit(0.0)).alias("total_purchases_30d"),
         F.datediff("feature_date", F.max("last_login"))
         .cast("bigint")
         .alias("days_since_last_login"),

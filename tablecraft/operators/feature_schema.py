@@ -153,6 +153,19 @@ ITEM = Entity(
 ENTITIES = {entity.name: entity for entity in (USER, ITEM)}
 
 
+def require_columns(
+    df: DataFrame,
+    entity: Entity,
+    group: FeatureGroup,
+    feature_ts: str,
+    entity_id: str | None = None,
+) -> None:
+    key = entity_id or entity.id_column
+    missing = [c for c in (key, feature_ts, *group.ids) if c not in df.columns]
+    if missing:
+        raise QualityError(f"columns missing for group {group.name!r}: {missing}")
+
+
 def conform(
     df: DataFrame,
     entity: Entity,
@@ -165,10 +178,8 @@ def conform(
     A missing column fails here, before any job; a value that cannot be cast
     becomes NULL and is counted by ``violations``.
     """
+    require_columns(df, entity, group, feature_ts, entity_id)
     key = entity_id or entity.id_column
-    missing = [c for c in (key, feature_ts, *group.ids) if c not in df.columns]
-    if missing:
-        raise QualityError(f"columns missing for group {group.name!r}: {missing}")
     return df.select(
         F.col(key).cast(entity.id_type.spark_type).alias(entity.id_column),
         F.col(feature_ts),

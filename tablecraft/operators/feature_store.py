@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecraft.operators.feature_schema import Entity, assert_conforms
+from tablecraft.operators.feature_schema import Entity, assert_conforms, require_columns
+from tablecraft.session import materialize
 from tablecraft.sources.writers import write_table
 
 
@@ -30,12 +31,15 @@ def publish_features(
     """Check a table against its feature group, store it, return the input.
 
     The stored table is partitioned by date. A re-run with
-    ``WRITE_TRUNCATE`` replaces only the dates it contains.
+    ``WRITE_TRUNCATE`` replaces only the dates it contains. The features are
+    computed once: both the check and the write read the materialised rows.
     """
     group = entity.groups[group_name]
     if feature_ids:
         group = group.select(feature_ids)
-    checked = assert_conforms(df, entity, group, feature_ts, entity_id)
+    require_columns(df, entity, group, feature_ts, entity_id)
+    rows = materialize(df.select(entity_id or entity.id_column, feature_ts, *group.ids), "publish")
+    checked = assert_conforms(rows, entity, group, feature_ts, entity_id)
     write_table(
         checked.withColumn("feature_date", F.to_date(feature_ts)),
         feature_table(root, entity.name, group_name),

@@ -12,7 +12,15 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecraft.functions import exact_avg, exact_sum, money, or_zero, tier, within_dates
+from tablecraft.functions import (
+    exact_avg,
+    exact_sum,
+    or_zero,
+    sum_units,
+    tier,
+    to_units,
+    within_dates,
+)
 
 
 def extract_orders(
@@ -75,7 +83,7 @@ def agg_refunds(staged_returns: DataFrame, staged_orders: DataFrame) -> DataFram
         .groupBy("category")
         .agg(
             F.sum("refunds").alias("refund_count"),
-            F.sum("refunded").cast("double").alias("total_refunds"),
+            sum_units(F.col("refunded")).alias("total_refunds"),
             F.sum("amounts").alias("amounts"),
         )
     )
@@ -134,18 +142,17 @@ def daily_report(
             exact_sum(F.col("amount")).alias("total_revenue"),
             exact_avg(F.col("amount")).alias("avg_order_value"),
             F.sum("refunds").alias("region_refunds"),
-            F.sum("refunded").alias("region_refunded"),
+            sum_units(F.col("refunded")).alias("region_refunded"),
         )
     )
     category = Window.partitionBy("category")
     # A NULL category joins nothing, so it has no refunds either.
     named = F.col("category").isNotNull()
+    refunded = F.col("region_refunded").cast("decimal(28,2)")
     revenue = per_region.select(
         *_REVENUE_COLUMNS,
         F.when(named, F.sum("region_refunds").over(category)).alias("refund_count"),
-        F.when(named, F.sum("region_refunded").over(category).cast("double")).alias(
-            "total_refunds"
-        ),
+        F.when(named, F.sum(refunded).over(category).cast("double")).alias("total_refunds"),
     )
     stock = inventory.groupBy("category").agg(F.sum("stock_count").alias("total_stock"))
     return revenue.join(stock, "category", "left").select(
@@ -160,7 +167,7 @@ def _refunds_per_order(staged_returns: DataFrame) -> DataFrame:
     return staged_returns.groupBy("order_id").agg(
         F.count("*").alias("refunds"),
         F.count("refund_amount").alias("amounts"),
-        F.sum(money(F.col("refund_amount"))).alias("refunded"),
+        F.sum(to_units(F.col("refund_amount"))).alias("refunded"),
     )
 
 

@@ -108,3 +108,14 @@ def test_as_date():
     assert fn.as_date(dt.datetime(2024, 1, 2, 3)) == dt.date(2024, 1, 2)
     with pytest.raises(ValueError):
         fn.as_date("01/02/2024")
+
+
+def test_exact_sum_of_large_and_negative_amounts(spark):
+    amounts = [90_000_000_000_000.25, -0.01, -1234.56, 0.0, None]
+    df = spark.createDataFrame([(a,) for a in amounts], "x double")
+    assert df.agg(fn.exact_sum(F.col("x")).alias("s")).first().s == 89_999_999_998_765.68
+    # More cents than a long can hold in total.
+    many = spark.range(200).select(F.lit(9e15).alias("x"))
+    assert many.agg(fn.exact_sum(F.col("x")).alias("s")).first().s == 200 * 9e15
+    none = df.where("x IS NULL").agg(fn.exact_sum(F.col("x")).alias("s"))
+    assert none.first().s is None

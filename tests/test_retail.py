@@ -123,7 +123,11 @@ def test_order_with_a_third_of_all_returns(spark):
     plain = (
         returns.join(data.orders(spark), "order_id")
         .groupBy("category")
-        .agg(F.count("*"), F.round(F.sum("refund_amount"), 2), F.lit(0.1))
+        .agg(
+            F.count("*").alias("n"),
+            F.round(F.sum("refund_amount"), 2).alias("total"),
+            F.lit(0.1).alias("average"),
+        )
     )
     assert rows(result) == rows(plain)
 
