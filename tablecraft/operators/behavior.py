@@ -52,7 +52,7 @@ def user_behavioral(
         .groupBy(
             "user_id",
             F.to_date("ts").alias("event_date"),
-            _slot_of_day(F.col("ts"), session_gap_seconds).alias("slot"),
+            _slot_of_day(events, session_gap_seconds).alias("slot"),
         )
         .agg(
             F.min("ts").alias("first_ts"),
@@ -73,8 +73,9 @@ def user_behavioral(
     )
 
     timeline = Window.partitionBy("user_id", "feature_date").orderBy("first_ts")
-    idle = _seconds(F.col("first_ts") - F.lag("last_ts").over(timeline))
-    opens_session = F.coalesce(idle >= session_gap_seconds, F.lit(True))
+    idle = F.col("first_ts") - F.lag("last_ts").over(timeline)
+    gap = F.expr(f"INTERVAL '{session_gap_seconds}' SECOND")
+    opens_session = F.coalesce(idle >= gap, F.lit(True))
     so_far = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sessions = (
         snapshots.withColumn("opens", opens_session.cast("int"))
@@ -151,8 +152,11 @@ def item_catalog(parts: DataFrame) -> DataFrame:
     )
 
 
-def _slot_of_day(ts: Column, seconds: int) -> Column:
-    second_of_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+def _slot_of_day(events: DataFrame, seconds: int) -> Column:
+    ts = F.col("ts")
+    midnight = F.to_date(ts).cast(events.schema["ts"].dataType)
+    # Whole seconds since midnight; intervals are plain longs inside Spark.
+    second_of_day = (ts - midnight).cast("interval second").cast("bigint")
     return F.floor(second_of_day / F.lit(seconds))
 
 
