@@ -12,10 +12,13 @@ from tablecraft.session import materialize
 
 # Rows of one entity that a single task may sort.
 SPLIT_ROWS = 2_000_000
-# Width of the time cells in which a large entity is split.
-CELL_SECONDS = 60
+# A large entity is cut between time cells: at most this wide, and at least
+# this many for each chunk it needs.
+CELL_SECONDS = 60.0
+CELLS_PER_CHUNK = 8
 
-_SPINE, _FEATURE, _AT, _CHUNK = "_spine", "_feature", "_at", "_chunk"
+_AT, _SPINE, _FEATURE = "_at", "_spine", "_feature"
+_ASKED, _CELL, _CHUNK = "_asked", "_cell", "_chunk"
 
 
 def asof_features(
@@ -26,7 +29,6 @@ def asof_features(
     feature_ts: str,
     feature_ids: Sequence[str] = (),
     split_rows: int = SPLIT_ROWS,
-    cell_seconds: int = CELL_SECONDS,
 ) -> DataFrame:
     """For each spine row, the entity's last feature row at or before its time.
 
@@ -34,10 +36,9 @@ def asof_features(
     holds one row per entity and time (see ``conform``).
 
     Both inputs go through one shuffle by entity, and the last feature row is
-    carried forward in time order; no range join. Entities with more than
-    ``split_rows`` rows are cut into consecutive time chunks that are sorted by
-    separate tasks, and each chunk starts from the last feature row of the
-    chunks before it.
+    carried forward in time order; no range join. If any entity has more than
+    ``split_rows`` rows, the lookup runs on distinct instants instead, with the
+    large entities cut into time chunks for separate tasks.
     """
     ids = list(feature_ids) or [c for c in features.columns if c not in (entity_id, feature_ts)]
     known = F.col(entity_id).isNotNull() & F.col(feature_ts).isNotNull()
@@ -49,19 +50,16 @@ def asof_features(
     spine_rows = spine.select(
         entity_id, F.col(spine_ts).alias(_AT), F.struct(*spine.columns).alias(_SPINE)
     )
+    # Spine rows without entity or time match nothing: they skip the shuffle.
     placed = F.col(entity_id).isNotNull() & F.col(_AT).isNotNull()
-    timeline = feature_rows.unionByName(spine_rows.where(placed), allowMissingColumns=True)
+    placed_rows, unplaced_rows = spine_rows.where(placed), spine_rows.where(~placed)
 
-    cells = _chunks_of_large_entities(timeline, entity_id, split_rows, cell_seconds)
-    if cells is None:
-        matched = timeline.withColumn(_FEATURE, _last_feature([entity_id]))
+    large = _large_entities(placed_rows, feature_rows, entity_id, split_rows)
+    if large.isEmpty():
+        matched = _lookup(placed_rows, feature_rows, entity_id)
     else:
-        matched = _fill_in_chunks(timeline, cells, entity_id, cell_seconds)
-    # Spine rows without entity or time match nothing: they skip the shuffle.
-    unplaced = spine_rows.where(~placed)
-    everything = matched.where(F.col(_SPINE).isNotNull()).unionByName(
-        unplaced, allowMissingColumns=True
-    )
+        matched = _lookup_in_chunks(placed_rows, feature_rows, large, entity_id, split_rows)
+    everything = matched.unionByName(unplaced_rows, allowMissingColumns=True)
     return everything.select(
         *[F.col(_SPINE)[c].alias(c) for c in spine.columns],
         *([] if feature_ts in spine.columns else [F.col(_FEATURE)[feature_ts].alias(feature_ts)]),
@@ -69,68 +67,54 @@ def asof_features(
     )
 
 
-def _last_feature(keys: Sequence[str]) -> Column:
-    # Feature rows sort before spine rows of the same time: the bound is inclusive.
-    order = Window.partitionBy(*keys).orderBy(F.col(_AT), F.col(_SPINE).isNotNull())
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.last(_FEATURE, ignorenulls=True).over(so_far)
+def _large_entities(
+    spine_rows: DataFrame, feature_rows: DataFrame, entity_id: str, split_rows: int
+) -> DataFrame:
+    """Entities above ``split_rows`` rows: at most ``rows / split_rows`` of them.
+
+    Counting reads only the key columns and combines map-side.
+    """
+    both = spine_rows.select(entity_id).unionByName(feature_rows.select(entity_id))
+    counts = both.groupBy(entity_id).count()
+    return materialize(
+        counts.where(F.col("count") > split_rows).select(entity_id), "large-entities"
+    )
 
 
-def _cell(timeline: DataFrame, cell_seconds: int) -> Column:
-    kind = timeline.schema[_AT].dataType
-    at = F.col(_AT)
-    if isinstance(kind, T.DateType):
-        seconds = F.unix_date(at) * F.lit(86400)
-    elif isinstance(kind, T.TimestampNTZType):
-        since_epoch = at - F.lit("1970-01-01").cast(kind)
-        seconds = since_epoch.cast("interval second").cast("decimal(20,6)")
-    else:
-        seconds = at.cast("bigint")
-    return F.floor(seconds / F.lit(cell_seconds)).cast("bigint").alias("_cell")
+def _lookup(spine_rows: DataFrame, feature_rows: DataFrame, entity_id: str) -> DataFrame:
+    timeline = feature_rows.unionByName(spine_rows, allowMissingColumns=True)
+    asked = F.col(_SPINE).isNotNull()
+    return timeline.withColumn(_FEATURE, _last_feature([entity_id], asked)).where(asked)
 
 
-def _chunks_of_large_entities(
-    timeline: DataFrame, entity_id: str, split_rows: int, cell_seconds: int
-) -> DataFrame | None:
-    """``(entity, cell) -> chunk`` for entities above ``split_rows``, else ``None``.
+def _lookup_in_chunks(
+    spine_rows: DataFrame,
+    feature_rows: DataFrame,
+    large: DataFrame,
+    entity_id: str,
+    split_rows: int,
+) -> DataFrame:
+    """The lookup on distinct ``(entity, time)`` pairs, large entities in chunks.
 
-    Counting reads only the entity column and combines map-side. There are at
-    most ``rows / split_rows`` large entities.
+    However many spine rows share an instant, the timeline has one row for it
+    beside the feature row, so cutting by time always makes groups small. The
+    answers join back to the spine rows; adaptive execution splits a pair that
+    very many spine rows share.
     """
-    large = materialize(
-        timeline.groupBy(entity_id).count().where(F.col("count") > split_rows).select(entity_id),
-        "large-entities",
-    )
-    if large.isEmpty():
-        return None
-    counts = (
-        timeline.select(entity_id, _cell(timeline, cell_seconds))
-        .join(large, entity_id, "left_semi")
-        .groupBy(entity_id, "_cell")
-        .count()
-    )
-    running = Window.partitionBy(entity_id).orderBy("_cell")
-    before = F.sum("count").over(running) - F.col("count")
-    return materialize(
-        counts.select(entity_id, "_cell", F.floor(before / F.lit(split_rows)).alias(_CHUNK)),
-        "entity-chunks",
-    )
+    instants = spine_rows.select(entity_id, _AT).distinct().withColumn(_ASKED, F.lit(True))
+    timeline = feature_rows.unionByName(instants, allowMissingColumns=True)
+    routed = _with_chunks(timeline, large, entity_id, split_rows)
 
+    asked = F.col(_ASKED).isNotNull()
+    inside = routed.withColumn(_FEATURE, _last_feature([entity_id, _CHUNK], asked)).where(asked)
 
-def _fill_in_chunks(
-    timeline: DataFrame, cells: DataFrame, entity_id: str, cell_seconds: int
-) -> DataFrame:
-    routed = (
-        timeline.withColumn("_cell", _cell(timeline, cell_seconds))
-        .join(cells, [entity_id, "_cell"], "left")
-        .drop("_cell")
-    )
     # One row per chunk of a large entity: its last feature row, then the last
     # one of all earlier chunks.
+    feature_time = F.when(F.col(_FEATURE).isNotNull(), F.col(_AT))
     chunk_ends = (
         routed.where(F.col(_CHUNK).isNotNull())
         .groupBy(entity_id, _CHUNK)
-        .agg(F.max_by(_FEATURE, F.when(F.col(_FEATURE).isNotNull(), F.col(_AT))).alias("_end"))
+        .agg(F.max_by(_FEATURE, feature_time).alias("_end"))
     )
     earlier = (
         Window.partitionBy(entity_id).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -138,7 +122,59 @@ def _fill_in_chunks(
     carried = chunk_ends.select(
         entity_id, _CHUNK, F.last("_end", ignorenulls=True).over(earlier).alias("_carried")
     )
-    filled = routed.withColumn(_FEATURE, _last_feature([entity_id, _CHUNK]))
-    return filled.join(carried, [entity_id, _CHUNK], "left").withColumn(
-        _FEATURE, F.coalesce(_FEATURE, "_carried")
+    answers = inside.join(carried, [entity_id, _CHUNK], "left").select(
+        entity_id, _AT, F.coalesce(_FEATURE, "_carried").alias(_FEATURE)
+    )
+    return spine_rows.join(answers, [entity_id, _AT], "left")
+
+
+def _with_chunks(
+    timeline: DataFrame, large: DataFrame, entity_id: str, split_rows: int
+) -> DataFrame:
+    """``timeline`` with a chunk number on the rows of large entities, else NULL.
+
+    Each large entity gets its own cell width, so dense ones get narrow cells.
+    Whole cells are put into a chunk until it holds about ``split_rows`` rows.
+    """
+    spans = (
+        timeline.join(large, entity_id, "left_semi")
+        .groupBy(entity_id)
+        .agg(F.count("*").alias("n"), F.min(_AT).alias("_from"), F.max(_AT).alias("_to"))
+    )
+    cells_needed = F.ceil(F.col("n") / F.lit(split_rows)) * CELLS_PER_CHUNK
+    width = _seconds(timeline, F.col("_from"), F.col("_to")) / cells_needed
+    widths = materialize(
+        spans.select(
+            entity_id,
+            "_from",
+            F.greatest(F.least(width, F.lit(CELL_SECONDS)), F.lit(1e-6)).alias("_width"),
+        ),
+        "entity-cells",
     )
+    elapsed = _seconds(timeline, F.col("_from"), F.col(_AT))
+    placed = (
+        timeline.join(widths, entity_id, "left")
+        .withColumn(_CELL, F.floor(elapsed / F.col("_width")))
+        .drop("_from", "_width")
+    )
+    counts = placed.where(F.col(_CELL).isNotNull()).groupBy(entity_id, _CELL).count()
+    so_far = Window.partitionBy(entity_id).orderBy(_CELL)
+    before = F.sum("count").over(so_far) - F.col("count")
+    chunks = materialize(
+        counts.select(entity_id, _CELL, F.floor(before / F.lit(split_rows)).alias(_CHUNK)),
+        "entity-chunks",
+    )
+    return placed.join(chunks, [entity_id, _CELL], "left").drop(_CELL)
+
+
+def _last_feature(keys: Sequence[str], asked: Column) -> Column:
+    # Feature rows sort before spine rows of the same time: the bound is inclusive.
+    order = Window.partitionBy(*keys).orderBy(F.col(_AT), asked)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.last(_FEATURE, ignorenulls=True).over(so_far)
+
+
+def _seconds(timeline: DataFrame, start: Column, end: Column) -> Column:
+    if isinstance(timeline.schema[_AT].dataType, T.DateType):
+        return F.datediff(end, start) * F.lit(86400.0)
+    return (end - start).cast("interval second").cast("decimal(20,6)").cast("double")

@@ -74,7 +74,7 @@ def test_split_with_timestamps_and_dates(spark):
     weekly = days.where(F.dayofweek("d") == 2).select("user", F.col("d").alias("monday"))
     matched = asof.asof_features(
         days, weekly.withColumn("n", F.dayofmonth("monday")), "user", "d", "monday",
-        split_rows=6, cell_seconds=86400,
+        split_rows=6,
     )
     wrong = matched.where((F.datediff("d", "monday") >= 7) | F.col("monday").isNull())
     assert matched.count() == 40 and wrong.count() == 0
@@ -88,25 +88,44 @@ def test_selected_features_only(spark):
     assert result.columns == ["row_id", "user", "ts", "seen", "version"]
 
 
-def test_large_entity_is_cut_into_chunks(spark):
-    """No (entity, chunk) group may hold much more than ``split_rows`` rows."""
-    rows = spark.range(30_000).select(
+def _chunk_sizes(timeline, split_rows):
+    features = timeline.where("false")
+    large = asof._large_entities(timeline, features, "user", split_rows)
+    chunked = asof._with_chunks(timeline, large, "user", split_rows)
+    return chunked.where("_chunk IS NOT NULL").groupBy("user", "_chunk").count()
+
+
+@pytest.mark.parametrize("seconds_apart", [3600.0, 1.0, 0.001])
+def test_large_entity_is_cut_into_chunks(spark, seconds_apart):
+    """A third of the rows belong to one entity; its groups stay near ``split_rows``."""
+    step = F.make_dt_interval(secs=(F.col("id") * seconds_apart).cast("decimal(18,6)"))
+    timeline = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 50))
         .alias("user"),
-        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id")))
-        .alias("ts"),
-    )
-    timeline = rows.withColumnRenamed("ts", "_at")
-    cells = asof._chunks_of_large_entities(timeline, "user", 1000, 60)
-    assert [r.user for r in cells.select("user").distinct().collect()] == ["hot"]
-    sizes = (
-        timeline.withColumn("_cell", asof._cell(timeline, 60))
-        .join(cells, ["user", "_cell"])
-        .groupBy("_chunk")
-        .count()
+        (F.lit("2024-01-01").cast("timestamp_ntz") + step).alias("_at"),
     )
-    assert sizes.count() >= 10
-    assert sizes.agg(F.max("count")).first()[0] <= 1000 + 20
+    sizes = _chunk_sizes(timeline, 1000).collect()
+    assert {r.user for r in sizes} == {"hot"}
+    assert len(sizes) >= 9
+    assert max(r["count"] for r in sizes) <= 1000 + 1000 / asof.CELLS_PER_CHUNK + 1
+
+
+def test_many_spine_rows_at_few_instants(spark):
+    """Instants are looked up once, so they need no cut of their own."""
+    days = F.date_add(F.lit("2024-01-01"), (F.col("id") % 4).cast("int"))
+    spine = spark.range(6_000).select("id", F.lit("hot").alias("user"), days.alias("d"))
+    features = spark.createDataFrame(
+        [("hot", "2024-01-02", 1), ("hot", "2024-01-04", 2)], "user string, seen string, v int"
+    ).withColumn("seen", F.to_date("seen"))
+    result = asof.asof_features(spine, features, "user", "d", "seen", split_rows=100)
+    got = {(str(r.d), r.v): r.n for r in result.groupBy("d", "v").agg(F.count("*").alias("n"))
+           .collect()}
+    assert got == {
+        ("2024-01-01", None): 1500,
+        ("2024-01-02", 1): 1500,
+        ("2024-01-03", 1): 1500,
+        ("2024-01-04", 2): 1500,
+    }
 
 
 def test_latest(spark):
