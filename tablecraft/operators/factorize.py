@@ -1,9 +1,9 @@
 """Non-negative matrix factorisation of a sparse interaction matrix.
 
-Multiplicative updates for ``|V - W H|`` (Frobenius, zeros included; Lee and
-Seung 2001) on long tables. ``V`` holds the non-zero cells only; the zeros
-enter through the k x k Gram matrices of the factors, which are the only data
-that reaches the driver.
+Minimises ``|V - W H|`` (Frobenius, zeros included) by cyclic coordinate descent
+(Cichocki and Phan 2009) on long tables. ``V`` holds the non-zero cells only;
+the zeros enter through the k x k Gram matrices of the factors, which are the
+only data that reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from tablecraft.operators.quality import QualityError
 from tablecraft.session import materialize, scratch_path
 
-_EPSILON = 1e-12
-# Iterations between two looks at the error.
-_CHECK_EVERY = 10
-
 
 @dataclass(frozen=True)
 class Factorization:
@@ -52,14 +48,16 @@ def factorize(
     """Factor ``matrix(user_id, item_id, score)`` into non-negative factors.
 
     The rank is ``min(n_components, users, items)``. Iteration stops at
-    ``max_iter``, or when ten iterations lower the error by less than ``tol``
-    of the starting error. ``init`` gives starting factors as two tables
-    ``(id, factors)``; by default they come from a seeded hash of the ids.
+    ``max_iter``, or when the summed projected gradient of an iteration has
+    fallen to ``tol`` of the first one. ``init`` gives starting factors as two
+    tables ``(id, factors)``; by default they come from a seeded hash of the ids.
 
     Each half-step joins the matrix with one factor table and sums per row of
-    the other, k sums at once with a map-side combine. A factor table small
-    enough is broadcast by the planner from its stored size; otherwise the join
-    shuffles and adaptive execution splits an over-full user or item.
+    the other, k sums at once with a map-side combine; the descent over the k
+    components of a row needs nothing else than those sums and a Gram matrix. A
+    factor table small enough is broadcast by the planner from its stored size;
+    otherwise the join shuffles and adaptive execution splits an over-full user
+    or item.
     """
     spark = matrix.sparkSession
     cells = materialize(
@@ -104,19 +102,21 @@ def factorize(
     cross = _cross_term(cells, w, h, names)
     errors = [_error(users.squares, cross, gram_w, gram_h)]
 
+    first_violation = None
     for iteration in range(1, max_iter + 1):
         generation = iteration % 2
         w_next = _update(cells, w, h, "user_id", "item_id", gram_h, names)
         w = materialize(w_next, "nmf", slots["user"][generation])
-        gram_w = gram(w, names)
+        gram_w, _, w_violation = _totals(w, names)
         h_next = _update(cells, h, w, "item_id", "user_id", gram_w, names)
         h = materialize(h_next, "nmf", slots["item"][generation])
-        gram_h, cross = _gram_and_cross(h, names)
+        gram_h, cross, h_violation = _totals(h, names)
         errors.append(_error(users.squares, cross, gram_w, gram_h))
-        if tol > 0 and iteration % _CHECK_EVERY == 0:
-            gain = errors[-1 - _CHECK_EVERY] - errors[-1]
-            if gain < tol * errors[0]:
-                break
+        violation = w_violation + h_violation
+        if first_violation is None:
+            first_violation = violation
+        if violation <= tol * first_violation:
+            break
     return Factorization(
         w.select("user_id", F.array(*names).alias("factors")),
         h.select("item_id", F.array(*names).alias("factors")),
@@ -161,29 +161,42 @@ def _update(
     other_gram: list[list[float]],
     names: Sequence[str],
 ) -> DataFrame:
+    """One pass of coordinate descent over all components of one factor."""
     sums = (
         cells.join(other.select(other_key, *names), other_key)
         .groupBy(key)
         .agg(*[F.expr(f"sum(score * {n}) AS n_{n}") for n in names])
     )
-    updated = []
-    for row, name in zip(other_gram, names):
-        denominator = _sum_text(f"{n} * {g!r}D" for n, g in zip(names, row))
-        updated.append(f"{name} * n_{name} / ({denominator} + {_EPSILON!r}D) AS {name}")
     # n_* stay in the table: with the new factors they give the error's cross term.
-    return (
-        factors.select(key, *names)
-        .join(sums, key)
-        .selectExpr(key, *updated, *[f"n_{n}" for n in names])
+    kept = [key, *[f"n_{n}" for n in names]]
+    step = factors.select(key, *names).join(sums, key).selectExpr(
+        *kept, *names, "0D AS violation"
     )
+    for name, row in zip(names, other_gram):
+        curvature = row[names.index(name)]
+        if curvature == 0:
+            continue
+        slope = _sum_text(f"{n} * {g!r}D" for n, g in zip(names, row))
+        step = step.selectExpr(*kept, *names, "violation", f"{slope} - n_{name} AS slope")
+        projected = f"IF({name} = 0, least(slope, 0D), slope)"
+        step = step.selectExpr(
+            *kept,
+            *[
+                f"greatest({n} - slope / {curvature!r}D, 0D) AS {n}" if n == name else n
+                for n in names
+            ],
+            f"violation + abs({projected}) AS violation",
+        )
+    return step
 
 
-def _gram_and_cross(
+def _totals(
     factors: DataFrame, names: Sequence[str]
-) -> tuple[list[list[float]], float]:
+) -> tuple[list[list[float]], float, float]:
+    """Gram matrix, cross term with the matrix, and summed projected gradient."""
     cross = f"sum({_sum_text(f'{n} * n_{n}' for n in names)}) AS cross"
-    row = factors.selectExpr(*_gram_sums(names), cross).first()
-    return _symmetric(row, len(names)), row.cross
+    row = factors.selectExpr(*_gram_sums(names), cross, "sum(violation) AS violation").first()
+    return _symmetric(row, len(names)), row.cross, row.violation
 
 
 def _cross_term(cells: DataFrame, w: DataFrame, h: DataFrame, names: Sequence[str]) -> float:

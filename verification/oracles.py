@@ -250,34 +250,44 @@ METRICS_OF_SCORED = """pairs AS (
         FROM counts)"""
 BINARY_METRICS = f"{QUALITY_SCORES}, {METRICS_OF_SCORED}"
 
+def _starts(key: str, step: int, shift: int, modulus: int) -> str:
+    return ", ".join(
+        f"(({key} * {step} + {j * shift}) % {modulus} + 1) / {modulus}.0::DOUBLE AS f{j}"
+        for j in range(NMF_RANK)
+    )
+
+
 SCORES = f"""{RAW_INTERACTIONS},
     v AS (
         SELECT user_id, item_id,
                SUM(CASE WHEN interaction_type = 'purchase' THEN 3.0 ELSE 1.0 END) AS score
         FROM raw_interactions GROUP BY user_id, item_id),
-    k AS (SELECT CAST(range AS INTEGER) AS j FROM range({NMF_RANK})),
-    w0 AS (SELECT user_id AS id, j, ((user_id * 31 + j * 17) % 97 + 1) / 97.0::DOUBLE AS f
-           FROM (SELECT DISTINCT user_id FROM v), k),
-    h0 AS (SELECT item_id AS id, j, ((item_id * 29 + j * 13) % 89 + 1) / 89.0::DOUBLE AS f
-           FROM (SELECT DISTINCT item_id FROM v), k)"""
+    w0 AS (SELECT user_id AS id, {_starts("user_id", 31, 17, 97)}
+           FROM (SELECT DISTINCT user_id FROM v)),
+    h0 AS (SELECT item_id AS id, {_starts("item_id", 29, 13, 89)}
+           FROM (SELECT DISTINCT item_id FROM v))"""
 
 
 def _nmf_step(name: str, old: str, other: str, key: str, other_key: str) -> str:
-    """One multiplicative update of a factor in long form."""
-    return f"""{name}_num AS (
-        SELECT v.{key} AS id, o.j, SUM(v.score * o.f) AS num
-        FROM v JOIN {other} o ON o.id = v.{other_key} GROUP BY v.{key}, o.j),
-    {name}_gram AS (
-        SELECT a.j, b.j AS l, SUM(a.f * b.f) AS g
-        FROM {other} a JOIN {other} b ON a.id = b.id GROUP BY a.j, b.j),
-    {name}_den AS (
-        SELECT f.id, g.j, SUM(g.g * f.f) AS den
-        FROM {old} f JOIN {name}_gram g ON g.l = f.j GROUP BY f.id, g.j),
-    {name} AS (
-        SELECT f.id, f.j, f.f * n.num / (d.den + 1e-12) AS f
-        FROM {old} f
-        JOIN {name}_num n ON n.id = f.id AND n.j = f.j
-        JOIN {name}_den d ON d.id = f.id AND d.j = f.j)"""
+    """One pass of coordinate descent over the components of a factor."""
+    size = range(NMF_RANK)
+    sums = ", ".join(f"SUM(v.score * o.f{j}) AS n{j}" for j in size)
+    products = ", ".join(f"SUM(f{i} * f{j}) AS g{i}{j}" for i in size for j in size)
+    source = f"(SELECT f.*, n.* EXCLUDE (id), g.* FROM {old} f JOIN {name}_num n USING (id), {name}_gram g)"
+    for j in size:
+        slope = " + ".join(f"f{i} * g{j}{i}" for i in size) + f" - n{j}"
+        source = f"(SELECT * REPLACE (GREATEST(f{j} - ({slope}) / g{j}{j}, 0) AS f{j}) FROM {source})"
+    return f"""{name}_num AS (SELECT v.{key} AS id, {sums}
+        FROM v JOIN {other} o ON o.id = v.{other_key} GROUP BY v.{key}),
+    {name}_gram AS (SELECT {products} FROM {other}),
+    {name} AS (SELECT id, {", ".join(f"f{j}" for j in size)} FROM {source})"""
+
+
+def _long(side: str, factors: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{side}' AS side, id, {j} AS component, ROUND(f{j}, 6) AS value FROM {factors}"
+        for j in range(NMF_RANK)
+    )
 
 
 def _wide_items() -> str:
@@ -461,11 +471,11 @@ def oracle_sql() -> dict[str, str]:
             {_nmf_step("h1", "h0", "w1", "item_id", "user_id")},
             {_nmf_step("w2", "w1", "h1", "user_id", "item_id")},
             {_nmf_step("h2", "h1", "w2", "item_id", "user_id")}
-            SELECT 'user' AS side, id, j AS component, ROUND(f, 6) AS value FROM w2
-            UNION ALL SELECT 'item', id, j, ROUND(f, 6) FROM h2""",
+            {_long("user", "w2")} UNION ALL {_long("item", "h2")}""",
         "nmf_reconstruction_error": f"""WITH {SCORES},
-            dense AS (SELECT w0.id AS user_id, h0.id AS item_id, SUM(w0.f * h0.f) AS wh
-                      FROM w0 JOIN h0 ON w0.j = h0.j GROUP BY w0.id, h0.id)
+            dense AS (SELECT w0.id AS user_id, h0.id AS item_id,
+                             {" + ".join(f"w0.f{j} * h0.f{j}" for j in range(NMF_RANK))} AS wh
+                      FROM w0, h0)
             SELECT ROUND(SQRT(SUM(POWER(COALESCE(v.score, 0) - d.wh, 2))), 6) AS error
             FROM dense d LEFT JOIN v ON v.user_id = d.user_id AND v.item_id = d.item_id""",
         "ranking_metrics": f"""WITH {RAW_INTERACTIONS},

@@ -418,12 +418,12 @@ def nmf_factors(data: StarSchema) -> DataFrame:
 
 @query
 def nmf_two_iterations(data: StarSchema) -> DataFrame:
-    """Two exact update rounds from starting factors that SQL can state too."""
+    """Two rounds of descent from starting factors that SQL can state too."""
     scores = matrix.interaction_matrix(data.raw_interactions())
     result = factorize.factorize(
         scores, NMF_RANK, max_iter=2, tol=0.0, init=_starting_factors(scores)
     )
-    return _long_factors(result).withColumn("value", F.round("value", 6))
+    return _long_factors(result).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query
