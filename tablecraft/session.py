@@ -47,12 +47,15 @@ def build_session(app_name: str = "tablecraft", **conf: object) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of this application.
 
-    Spark derives it from ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) is a temporary folder made.
+    Comes from ``spark.checkpoint.dir``. Where that is unset, a temporary folder
+    is made in local mode only: on a cluster executors could not share it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablecraft-"))
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tablecraft-"))
     return context.getCheckpointDir()
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_CSV = {"header": True, "mode": "FAILFAST", "enforceSchema": False}
+
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -18,8 +20,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header row. A declared schema costs one pass over the files;
     without one the types are inferred (two passes) and integers widen to bigint.
+
+    A value that does not fit its type, or a header that does not match the
+    schema, stops the read instead of turning into NULLs.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.options(**_CSV)
     if schema is not None:
         return reader.schema(schema).csv(path)
     inferred = reader.option("inferSchema", True).csv(path)
@@ -77,9 +82,9 @@ def stage_files(
     """
     reader = (
         spark.read.format(fmt)
+        .options(**(_CSV if fmt == "csv" else {}))
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
-        .option("header", True)
     )
     if schema is not None:
         reader = reader.schema(schema)

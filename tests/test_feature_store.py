@@ -120,6 +120,12 @@ def test_churn_features(spark):
     ]
 
 
+def test_feature_time_defaults_to_the_query_start(spark):
+    raw = churn.churn_training_raw(_user_rows(spark), "2024-01-01")
+    now = churn.churn_features(raw).select("feature_timestamp").distinct().collect()
+    assert len(now) == 1 and now[0][0].year >= 2024
+
+
 def test_publish_and_read(spark, tmp_path):
     features = churn.churn_features(
         churn.churn_training_raw(_user_rows(spark), "2024-01-01"), "2024-01-01"

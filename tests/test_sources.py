@@ -36,6 +36,22 @@ def test_csv_inference_widens_integers(spark, tmp_path):
     }
 
 
+def test_csv_that_does_not_fit_is_rejected(spark, csv_file):
+    csv_file.write_text(csv_file.read_text().replace("10.5", "ten"))
+    with pytest.raises(Exception, match="ten|MALFORMED"):
+        sources.read_csv(spark, str(csv_file), RAW_ORDERS).collect()
+    csv_file.write_text("order_id,category\nO1,Home\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        sources.read_csv(spark, str(csv_file), RAW_ORDERS).collect()
+
+
+def test_staged_csv(spark, csv_file, tmp_path):
+    staged = sources.stage_files(
+        spark, str(csv_file.parent), "*.csv", str(tmp_path / "s"), "csv", RAW_ORDERS
+    )
+    assert staged.schema == RAW_ORDERS and staged.count() == 2
+
+
 def test_load_dir(spark, csv_file):
     folder = csv_file.parent
     (folder / "notes.txt").write_text("skipped")
