@@ -48,8 +48,8 @@ def factorize(
     """Factor ``matrix(user_id, item_id, score)`` into non-negative factors.
 
     The rank is ``min(n_components, users, items)``. Iteration stops at
-    ``max_iter``, or when the summed projected gradient of an iteration has
-    fallen to ``tol`` of the first one. ``init`` gives starting factors as two
+    ``max_iter``, or when the gradient an iteration could still follow (summed
+    over all factor entries) has fallen to ``tol`` of the first iteration's. ``init`` gives starting factors as two
     tables ``(id, factors)``; by default they come from a seeded hash of the ids.
 
     Each half-step joins the matrix with one factor table and sums per row of
@@ -167,33 +167,32 @@ def _update(
         .groupBy(key)
         .agg(*[F.expr(f"sum(score * {n}) AS n_{n}") for n in names])
     )
-    # n_* stay in the table: with the new factors they give the error's cross term.
-    kept = [key, *[f"n_{n}" for n in names]]
-    step = factors.select(key, *names).join(sums, key).selectExpr(
-        *kept, *names, "0D AS violation"
-    )
-    for name, row in zip(names, other_gram):
-        curvature = row[names.index(name)]
+    # Each component is moved with the ones before it already moved: the new
+    # values x_* refer to one another inside one SELECT.
+    current = list(names)
+    moves, shifts = [], []
+    for position, (name, row) in enumerate(zip(names, other_gram)):
+        curvature = row[position]
         if curvature == 0:
             continue
-        slope = _sum_text(f"{n} * {g!r}D" for n, g in zip(names, row))
-        step = step.selectExpr(*kept, *names, "violation", f"{slope} - n_{name} AS slope")
-        projected = f"IF({name} = 0, least(slope, 0D), slope)"
-        step = step.selectExpr(
-            *kept,
-            *[
-                f"greatest({n} - slope / {curvature!r}D, 0D) AS {n}" if n == name else n
-                for n in names
-            ],
-            f"violation + abs({projected}) AS violation",
-        )
-    return step
+        slope = _sum_text(f"{c} * {g!r}D" for c, g in zip(current, row))
+        moves.append(f"greatest({name} - ({slope} - n_{name}) / {curvature!r}D, 0D) AS x_{name}")
+        shifts.append(f"abs({name} - x_{name}) * {curvature!r}D")
+        current[position] = f"x_{name}"
+    moved = factors.select(key, *names).join(sums, key).selectExpr("*", *moves)
+    # n_* stay in the table: with the new factors they give the error's cross term.
+    return moved.selectExpr(
+        key,
+        *[f"{c} AS {n}" for c, n in zip(current, names)],
+        *[f"n_{n}" for n in names],
+        f"{_sum_text(shifts) or '0D'} AS violation",
+    )
 
 
 def _totals(
     factors: DataFrame, names: Sequence[str]
 ) -> tuple[list[list[float]], float, float]:
-    """Gram matrix, cross term with the matrix, and summed projected gradient."""
+    """Gram matrix, cross term with the matrix, and the followed gradient."""
     cross = f"sum({_sum_text(f'{n} * n_{n}' for n in names)}) AS cross"
     row = factors.selectExpr(*_gram_sums(names), cross, "sum(violation) AS violation").first()
     return _symmetric(row, len(names)), row.cross, row.violation
