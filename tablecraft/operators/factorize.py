@@ -49,8 +49,9 @@ def factorize(
 
     The rank is ``min(n_components, users, items)``. Iteration stops at
     ``max_iter``, or when the gradient an iteration could still follow (summed
-    over all factor entries) has fallen to ``tol`` of the first iteration's. ``init`` gives starting factors as two
-    tables ``(id, factors)``; by default they come from a seeded hash of the ids.
+    over all factor entries) has fallen to ``tol`` of the first iteration's.
+    ``init`` gives starting factors as two tables ``(id, factors)``; by default
+    they come from a seeded hash of the ids.
 
     Each half-step joins the matrix with one factor table and sums per row of
     the other, k sums at once with a map-side combine; the descent over the k
@@ -176,7 +177,8 @@ def _update(
         if curvature == 0:
             continue
         slope = _sum_text(f"{c} * {g!r}D" for c, g in zip(current, row))
-        moves.append(f"greatest({name} - ({slope} - n_{name}) / {curvature!r}D, 0D) AS x_{name}")
+        step = f"({slope} - n_{name}) / {curvature!r}D"
+        moves.append(f"greatest({name} - {step}, 0D) AS x_{name}")
         shifts.append(f"abs({name} - x_{name}) * {curvature!r}D")
         current[position] = f"x_{name}"
     moved = factors.select(key, *names).join(sums, key).selectExpr("*", *moves)

@@ -69,7 +69,8 @@ def test_split_with_timestamps_and_dates(spark):
     ]
 
     days = spark.range(40).select(
-        F.lit("u").alias("user"), F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("d")
+        F.lit("u").alias("user"),
+        F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("d"),
     )
     weekly = days.where(F.dayofweek("d") == 2).select("user", F.col("d").alias("monday"))
     matched = asof.asof_features(

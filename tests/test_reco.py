@@ -137,8 +137,8 @@ def test_ranking_equals_the_spark_evaluator(spark):
                 "right",
             )
             .select(
-                F.expr("transform(coalesce(predicted, array()), x -> double(x))").alias("prediction"),
-                F.expr("transform(actual, x -> double(x))").alias("label"),
+                F.expr("transform(coalesce(predicted, array()), x -> double(x)) AS prediction"),
+                F.expr("transform(actual, x -> double(x)) AS label"),
             )
         )
         got = ranking.ranking_metrics(recommended, relevant, k).first()

@@ -209,7 +209,9 @@ def _churn_scores(steps: int = 1500, momentum: float = 0.93) -> str:
                LN(1 + total_purchases_30d) AS log_purchases_30d,
                days_since_last_login, support_tickets_90d, avg_session_duration_s
         FROM churn_training_raw),
-    complete AS (SELECT * FROM feats WHERE {" AND ".join(f"{c} IS NOT NULL" for c in CHURN_FEATURES)}),
+    complete AS (
+        SELECT * FROM feats
+        WHERE {" AND ".join(f"{c} IS NOT NULL" for c in CHURN_FEATURES)}),
     x AS (SELECT user_id, label, {scaled}, 1.0::DOUBLE AS x{size} FROM complete),
     fit AS (
         SELECT 0 AS step, {", ".join(f"0.0::DOUBLE AS w{i}" for i in every)},
@@ -273,10 +275,12 @@ def _nmf_step(name: str, old: str, other: str, key: str, other_key: str) -> str:
     size = range(NMF_RANK)
     sums = ", ".join(f"SUM(v.score * o.f{j}) AS n{j}" for j in size)
     products = ", ".join(f"SUM(f{i} * f{j}) AS g{i}{j}" for i in size for j in size)
-    source = f"(SELECT f.*, n.* EXCLUDE (id), g.* FROM {old} f JOIN {name}_num n USING (id), {name}_gram g)"
+    source = f"""(SELECT f.*, n.* EXCLUDE (id), g.*
+        FROM {old} f JOIN {name}_num n USING (id), {name}_gram g)"""
     for j in size:
         slope = " + ".join(f"f{i} * g{j}{i}" for i in size) + f" - n{j}"
-        source = f"(SELECT * REPLACE (GREATEST(f{j} - ({slope}) / g{j}{j}, 0) AS f{j}) FROM {source})"
+        moved = f"GREATEST(f{j} - ({slope}) / g{j}{j}, 0)"
+        source = f"(SELECT * REPLACE ({moved} AS f{j}) FROM {source})"
     return f"""{name}_num AS (SELECT v.{key} AS id, {sums}
         FROM v JOIN {other} o ON o.id = v.{other_key} GROUP BY v.{key}),
     {name}_gram AS (SELECT {products} FROM {other}),
