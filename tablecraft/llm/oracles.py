@@ -5,6 +5,8 @@ Written over the whole tables, with plain global windows.
 
 from __future__ import annotations
 
+from tablecraft.llm import quality_rules
+
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 MIXING = f"""
@@ -51,5 +53,94 @@ SELECT d.doc_id, d.size, d.source_size, d.target,
 FROM done d LEFT JOIN taken t ON t.doc_id = d.doc_id"""
 
 
+def _class(name: str, pattern: str, rest: str) -> str:
+    """Cut one class of characters out of ``rest``; its count is a difference."""
+    return f"regexp_replace({rest}, '{pattern}', '', 'g') AS {name}"
+
+
+POINTS = "[.,;:!?''\"()-]+"
+
+# shares of eight classes of characters and of the common words, as rows
+QUALITY = rf"""
+WITH plain AS (
+    SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+cut AS (
+    SELECT *, {_class("t1", r"\p{Ll}+", "text")}, {_class("t2", r"\p{Lu}+", "t1")},
+           {_class("t3", r"\p{L}+", "t2")}, {_class("t4", r"\p{N}+", "t3")},
+           {_class("t5", POINTS, "t4")}, {_class("t6", "[#*$%&|<>]+", "t5")},
+           {_class("t7", r"[\x20\x09-\x0D]+", "t6")}
+    FROM plain),
+counted AS (
+    SELECT *, [length(text) - length(t1), length(t1) - length(t2), length(t2) - length(t3),
+               length(t3) - length(t4), length(t4) - length(t5), length(t5) - length(t6),
+               length(t6) - length(t7), length(t7)] AS cls
+    FROM cut),
+total AS (SELECT count(*) AS docs FROM counted),
+cls AS (SELECT rid, lang, unnest(range(8)) AS k, unnest(cls) AS n FROM counted),
+own AS (SELECT lang FROM counted WHERE lang IS NOT NULL GROUP BY lang
+        HAVING count(*) >= 0.0001 * (SELECT docs FROM total)),
+cref AS (
+    SELECT lang, k, sum(n) / greatest(sum(sum(n)) OVER (PARTITION BY lang), 1)::DOUBLE AS q
+    FROM (SELECT lang, k, n FROM cls WHERE lang IN (SELECT lang FROM own)
+          UNION ALL SELECT '(all)', k, n FROM cls) GROUP BY lang, k),
+words AS (SELECT rid, lang, unnest(w) AS word FROM counted),
+wcount AS (
+    SELECT lang, word, count(*) AS n
+    FROM (SELECT lang, word FROM words WHERE lang IN (SELECT lang FROM own)
+          UNION ALL SELECT '(all)', word FROM words) GROUP BY lang, word),
+wref AS (
+    SELECT lang, word, n / total AS q FROM (
+        SELECT *, sum(n) OVER (PARTITION BY lang)::DOUBLE AS total,
+               row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rk FROM wcount)
+    WHERE rk <= 16),
+named AS (SELECT rid, coalesce(o.lang, '(all)') AS ref, length(text) AS chars, len(w) AS nw
+          FROM counted c LEFT JOIN own o ON o.lang = c.lang),
+cpair AS (
+    SELECT n.rid, c.n / greatest(n.chars, 1)::DOUBLE AS p, r.q
+    FROM named n JOIN cls c USING (rid) JOIN cref r ON r.lang = n.ref AND r.k = c.k),
+seen AS (
+    SELECT n.rid, r.word, count(*) AS n
+    FROM named n JOIN words w USING (rid) JOIN wref r ON r.lang = n.ref AND r.word = w.word
+    GROUP BY n.rid, r.word),
+wpair AS (
+    SELECT n.rid, coalesce(s.n, 0) / greatest(n.nw, 1)::DOUBLE AS p, r.q
+    FROM named n JOIN wref r ON r.lang = n.ref LEFT JOIN seen s ON s.rid = n.rid AND s.word = r.word),
+wall AS (
+    SELECT * FROM wpair
+    UNION ALL SELECT rid, 1 - sum(p), greatest(1 - sum(q), 0) FROM wpair GROUP BY rid),
+cdist AS (SELECT rid, sqrt(greatest(sum({{gain}}), 0)) AS d FROM cpair GROUP BY rid),
+wdist AS (SELECT rid, sqrt(greatest(sum({{gain}}), 0)) AS d FROM wall GROUP BY rid),
+runs AS (
+    SELECT rid, i, w[i:i+2] AS run FROM (
+        SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM counted WHERE len(w) > 2)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, run) AS n FROM runs)
+          WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM twice)
+        GROUP BY rid),
+line AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM counted),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM line
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+base AS (
+    SELECT c.rid, doc_id, len(w)::BIGINT AS n_words,
+           (length(text) - cls[7])::BIGINT AS word_chars, cls[6]::BIGINT AS n_symbols,
+           coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+    FROM counted c LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(n.chars >= 200 AND c.d > {{most_class}}, false)
+       AND NOT coalesce(f.n_words >= 100 AND w.d > {{most_word}}, false) AS kept
+FROM failed f JOIN named n USING (rid) LEFT JOIN cdist c USING (rid) LEFT JOIN wdist w USING (rid)"""
+
+GAIN = """CASE WHEN p > 0 THEN p / 2 * log2(2 * p / (p + q)) ELSE 0 END
+          + CASE WHEN q > 0 THEN q / 2 * log2(2 * q / (p + q)) ELSE 0 END"""
+QUALITY = (
+    QUALITY.replace("{gain}", GAIN)
+    .replace("{most_class}", str(quality_rules.MAX_CLASS_DISTANCE))
+    .replace("{most_word}", str(quality_rules.MAX_WORD_DISTANCE))
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing_sources": MIXING}
+    return {"op7_quality_rules": QUALITY, "op9_mixing_sources": MIXING}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.llm import mixing, packing, simhash
+from tablecraft.llm import imatch, mixing, packing, quality_rules, simhash
 from tablecraft.llm.shipping import ship_package
 from tablecraft.llm.text import table
 from tablecraft.session import materialize
@@ -17,6 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(stored)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+               "base_failed", "kept")
+    return judged.select("doc_id", *(F.col(f"__{name}").alias(name) for name in figures))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "source")
 
@@ -41,7 +52,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGISTERED = (
+    op3_document_fingerprints,
     op4_best_fit_packing,
+    op7_quality_rules,
     op9_mixing_sources,
     op10_simhash_near_dedup,
 )

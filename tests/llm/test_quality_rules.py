@@ -1,0 +1,99 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tablecraft.llm import quality_rules
+from tablecraft.llm.oracles import oracle_sql
+from tablecraft.llm.queries import queries
+from verification.compare import connect, differences
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain(text):
+    words = WORD.findall(text or "")
+    runs = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {j for i, r in enumerate(runs) if runs.count(r) > 1 for j in (i, i + 1, i + 2)}
+    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+    return {
+        "__n_words": len(words),
+        "__word_chars": sum(map(len, words)),
+        "__n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")),
+        "__n_dup_lines": len(lines) - len(set(lines)),
+        "__n_repeat_words": len(covered),
+    }
+
+
+def test_counts_of_edge_cases(spark, edge_docs):
+    extra = [
+        "a b c a b c d",
+        "a a a a a",
+        "x y z x y",
+        "one two three four " * 40 + "end",
+        " ".join(f"w{i % 37} v{i % 11}" for i in range(300)),
+        "\n\n x \n x \r\n x\n",
+    ]
+    texts = [r["text"] for r in edge_docs.collect() if len(r["text"] or "") < 10_000] + extra
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string")
+    for row in quality_rules.measures(docs).collect():
+        expected = plain(row["text"])
+        assert {name: row[name] for name in expected} == expected
+
+
+def test_very_long_repetitive_text(spark):
+    text = " ".join(f"w{i % 9000}" for i in range(120_000))
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    row = quality_rules.measures(docs).first()
+    assert (row["__n_words"], row["__n_repeat_words"]) == (120_000, 120_000)
+
+
+def test_judge_keeps_all_rows_and_columns(edge_docs, no_docs):
+    judged = quality_rules.judge(edge_docs)
+    assert judged.columns[: len(edge_docs.columns)] == edge_docs.columns
+    rows = judged.collect()
+    assert len(rows) == edge_docs.count()
+    for row in rows:
+        assert row["__base_failed"] == (
+            row["__n_words"] < 50 or 100 * row["__n_repeat_words"] > 50 * row["__n_words"]
+        )
+        assert not (row["__kept"] and row["__base_failed"])
+        assert (row["__word_distance"] is None) == (row["__n_words"] < 100)
+    assert quality_rules.judge(no_docs).count() == 0
+
+
+def test_query_equals_sql(spark, small):
+    name = "op7_quality_rules"
+    assert differences(queries()[name](spark, small), connect(small), oracle_sql()[name]) == []
+
+
+def test_labelled_documents(spark, small):
+    """Good documents long enough for the base rules stay; junk goes."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    judged = quality_rules.judge(docs).join(labels, "doc_id")
+    good = judged.where("quality = 1 AND NOT __base_failed")
+    assert good.where("__kept").count() == good.count() > 40
+    junk = judged.where("quality = 0")
+    assert junk.where("__kept").count() <= 0.1 * junk.count()
+
+
+def test_distance_is_zero_for_the_reference_and_one_for_disjoint(spark):
+    row = spark.range(1).select(
+        quality_rules.class_distance(
+            F.array(F.lit(2), F.lit(2)), F.array(F.lit(0.5), F.lit(0.5))
+        ).alias("same"),
+        quality_rules.class_distance(
+            F.array(F.lit(0), F.lit(2)), F.array(F.lit(1.0), F.lit(0.0))
+        ).alias("apart"),
+        quality_rules.word_distance(
+            F.split(F.lit("a b a c"), " "), F.array(F.lit("a"), F.lit("b")),
+            F.array(F.lit(0.5), F.lit(0.25)),
+        ).alias("words"),
+        quality_rules.word_distance(
+            F.split(F.lit("x y"), " "), F.array(F.lit("a"), F.lit("b")),
+            F.array(F.lit(0.5), F.lit(0.5)),
+        ).alias("none"),
+    ).first()
+    assert (row["same"], row["apart"], row["none"]) == (0.0, 1.0, 1.0)
+    assert row["words"] < 1e-6
