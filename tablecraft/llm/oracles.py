@@ -142,5 +142,39 @@ QUALITY = (
 )
 
 
+BLANK_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+# one edit leaves the first or the second half of the shorter length as it is
+LINES = rf"""
+WITH ln AS (
+    SELECT doc_id, unnest(range(len(parts))) AS no, unnest(parts) AS raw
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
+word AS (SELECT doc_id, no, trim(raw, {BLANK_ENDS}) AS line FROM ln
+         WHERE trim(raw, {BLANK_ENDS}) <> ''),
+firsts AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS pos FROM word GROUP BY line),
+half AS (
+    SELECT line, pos, len, len - len // 2 AS rest, len // 2 AS half
+    FROM (SELECT line, pos, unnest([length(line), length(line) - 1]) AS len
+          FROM firsts WHERE length(line) >= 16)),
+pair AS (
+    SELECT a.line, b.line AS earlier FROM half a JOIN half b
+      ON a.len = b.len AND left(a.line, a.half) = left(b.line, b.half) AND b.pos < a.pos
+    UNION
+    SELECT a.line, b.line FROM half a JOIN half b
+      ON a.len = b.len AND right(a.line, a.rest) = right(b.line, b.rest) AND b.pos < a.pos),
+near AS (SELECT DISTINCT line FROM pair WHERE levenshtein(line, earlier) <= 1),
+kept AS (SELECT pos.d AS doc_id, pos.n AS no FROM firsts WHERE line NOT IN (SELECT line FROM near)),
+part AS (
+    SELECT l.doc_id, l.no, l.raw, trim(raw, {BLANK_ENDS}) = '' AS blank, k.no IS NOT NULL AS kept
+    FROM ln l LEFT JOIN kept k ON k.doc_id = l.doc_id AND k.no = l.no)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
+       coalesce(n_dropped, 0)::BIGINT AS n_dropped, md5(coalesce(new, '')) AS text_md5
+FROM documents d LEFT JOIN (
+    SELECT doc_id, count(*) FILTER (NOT blank) AS n_lines,
+           count(*) FILTER (NOT blank AND NOT kept) AS n_dropped,
+           string_agg(raw, chr(10) ORDER BY no) FILTER (blank OR kept) AS new
+    FROM part GROUP BY doc_id) p ON p.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": QUALITY, "op9_mixing_sources": MIXING}
+    return {"op2_line_dedup": LINES, "op7_quality_rules": QUALITY, "op9_mixing_sources": MIXING}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.llm import imatch, mixing, packing, quality_rules, simhash
+from tablecraft.llm import imatch, line_dedup, mixing, packing, quality_rules, simhash
 from tablecraft.llm.shipping import ship_package
 from tablecraft.llm.text import table
 from tablecraft.session import materialize
@@ -17,6 +17,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return cleaned.select(
+        "doc_id",
+        F.col("__lines").alias("n_lines"),
+        F.col("__dropped").alias("n_dropped"),
+        digest.alias("text_md5"),
+    )
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -52,6 +63,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGISTERED = (
+    op2_line_dedup,
     op3_document_fingerprints,
     op4_best_fit_packing,
     op7_quality_rules,
