@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.llm import imatch, line_dedup, mixing, packing, quality_rules, simhash
+from tablecraft.llm import imatch, line_dedup, mixing, packing, quality_rules, simhash, url_filter
 from tablecraft.llm.shipping import ship_package
 from tablecraft.llm.text import table
 from tablecraft.session import materialize
@@ -52,6 +52,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"__{name}").alias(name) for name in figures))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "source")
 
@@ -67,6 +71,7 @@ _REGISTERED = (
     op3_document_fingerprints,
     op4_best_fit_packing,
     op7_quality_rules,
+    op8_url_filters,
     op9_mixing_sources,
     op10_simhash_near_dedup,
 )
