@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.llm import imatch, line_dedup, mixing, packing, quality_rules, simhash, url_filter
+from tablecraft.llm import (
+    imatch,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    url_filter,
+)
 from tablecraft.llm.shipping import ship_package
 from tablecraft.llm.text import table
 from tablecraft.session import materialize
@@ -17,6 +28,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
@@ -45,6 +60,16 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(stored)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -67,9 +92,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGISTERED = (
+    op1_language_id,
     op2_line_dedup,
     op3_document_fingerprints,
     op4_best_fit_packing,
+    op5_lm_scoring,
+    op6_quality_classifier,
     op7_quality_rules,
     op8_url_filters,
     op9_mixing_sources,
