@@ -326,3 +326,8 @@ def judge(docs: DataFrame) -> DataFrame:
         failed.alias("__base_failed"),
         (~failed & ~far).alias("__kept"),
     )
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns."""
+    return judge(docs).where("__kept").select(*docs.columns)
