@@ -272,7 +272,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = (np.array(x, float).reshape(-1, _FEATURES) - known.mean) / known.scale
             # what training never came near says no more than its edge
             _, out = _forward(known.layers, np.clip(x, -8, 8))
-            chance = _sigmoid(out / known.temperature)
+            # matrix products differ in the last places with the size of a batch
+            chance = np.round(_sigmoid(out / known.temperature), 9)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(chance),
                  pa.array((chance >= THRESHOLD).astype(np.int32))],
