@@ -1,121 +1,120 @@
-"""Feature-group schemas and conformance of a table to one."""
+"""Feature groups as Spark schemas, and conformance of a table to one."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
-from enum import Enum
-from pathlib import Path
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecraft.operators.quality import QualityError
 
-
-class FeatureType(str, Enum):
-    """The type names a feature schema may use."""
-
-    INT64 = "INT64"
-    FLOAT64 = "FLOAT64"
-    STRING = "STRING"
-    BOOL = "BOOL"
-    BYTES = "BYTES"
-    DOUBLE = "DOUBLE"
-    DOUBLE_ARRAY = "DOUBLE_ARRAY"
-    INT64_ARRAY = "INT64_ARRAY"
-    STRING_ARRAY = "STRING_ARRAY"
-
-    @property
-    def spark_type(self) -> T.DataType:
-        return _SPARK_TYPES[self]
-
-
-_SPARK_TYPES = {
-    FeatureType.INT64: T.LongType(),
-    FeatureType.FLOAT64: T.DoubleType(),
-    FeatureType.STRING: T.StringType(),
-    FeatureType.BOOL: T.BooleanType(),
-    FeatureType.BYTES: T.BinaryType(),
-    FeatureType.DOUBLE: T.DoubleType(),
-    FeatureType.DOUBLE_ARRAY: T.ArrayType(T.DoubleType()),
-    FeatureType.INT64_ARRAY: T.ArrayType(T.LongType()),
-    FeatureType.STRING_ARRAY: T.ArrayType(T.StringType()),
+# The type names a declaration may use.
+TYPES: dict[str, T.DataType] = {
+    "INT64": T.LongType(),
+    "FLOAT64": T.DoubleType(),
+    "STRING": T.StringType(),
+    "BOOL": T.BooleanType(),
+    "BYTES": T.BinaryType(),
+    "DOUBLE": T.DoubleType(),
+    "DOUBLE_ARRAY": T.ArrayType(T.DoubleType()),
+    "INT64_ARRAY": T.ArrayType(T.LongType()),
+    "STRING_ARRAY": T.ArrayType(T.StringType()),
 }
 
 
-@dataclass(frozen=True)
-class Feature:
-    name: str
-    type: FeatureType
-    description: str = ""
-
-
 @dataclass(frozen=True)
 class FeatureGroup:
+    """Named features of one kind; ``schema`` gives their types and order."""
+
     name: str
-    features: tuple[Feature, ...]
-    description: str = ""
+    schema: T.StructType
 
     @property
     def ids(self) -> list[str]:
-        return [feature.name for feature in self.features]
+        return self.schema.fieldNames()
 
     def select(self, ids: Sequence[str]) -> FeatureGroup:
         """The group cut down to the given features, in the given order."""
-        by_name = {feature.name: feature for feature in self.features}
-        unknown = [name for name in ids if name not in by_name]
+        unknown = sorted(set(ids) - set(self.ids))
         if unknown:
             raise QualityError(f"features not declared in group {self.name!r}: {unknown}")
-        return FeatureGroup(self.name, tuple(by_name[name] for name in ids), self.description)
+        return FeatureGroup(self.name, T.StructType([self.schema[name] for name in ids]))
 
 
 @dataclass(frozen=True)
 class Entity:
+    """What features describe: its id column and its groups."""
+
     name: str
     id_column: str
-    groups: Mapping[str, FeatureGroup] = field(default_factory=dict)
-    id_type: FeatureType = FeatureType.STRING
-    description: str = ""
-
-    def all_features(self) -> list[Feature]:
-        return [feature for group in self.groups.values() for feature in group.features]
-
-    @classmethod
-    def from_dict(cls, data: Mapping) -> Entity:
-        """An entity from parsed YAML or JSON; an unknown type name raises."""
-        groups = {}
-        for name, body in data.get("feature_groups", {}).items():
-            features = tuple(
-                Feature(f["name"], FeatureType(f["type"]), f.get("description", ""))
-                for f in body.get("features", [])
-            )
-            groups[name] = FeatureGroup(name, features, body.get("description", ""))
-        return cls(
-            name=data["entity"],
-            id_column=data["id_column"],
-            groups=groups,
-            id_type=FeatureType(data.get("id_type", "STRING")),
-            description=data.get("description", ""),
-        )
-
-
-def load_entities(directory: str | Path) -> dict[str, Entity]:
-    """All ``*.yaml`` entity declarations of a folder, by entity name."""
-    try:
-        import yaml
-    except ImportError as error:
-        raise RuntimeError("reading YAML schemas needs PyYAML") from error
-    declared = [
-        Entity.from_dict(yaml.safe_load(path.read_text()))
-        for path in sorted(Path(directory).glob("*.yaml"))
-    ]
-    return {entity.name: entity for entity in declared}
-
-
-def _group(name: str, **types: str) -> FeatureGroup:
-    return FeatureGroup(name, tuple(Feature(n, FeatureType(t)) for n, t in types.items()))
+    groups: Mapping[str, FeatureGroup]
+    id_type: T.DataType = T.StringType()
+
+
+def group(name: str, **types: str) -> FeatureGroup:
+    """A group of features, each given by its declared type name."""
+    fields = [T.StructField(feature, TYPES[kind]) for feature, kind in types.items()]
+    return FeatureGroup(name, T.StructType(fields))
+
+
+def declared_entity(document: object) -> Entity:
+    """The entity that a parsed YAML or JSON document declares.
+
+    Keys: ``entity``, ``id_column``, ``id_type`` (a string if absent) and
+    ``feature_groups``, in which each group lists ``features`` with ``name`` and
+    ``type``; other keys are for human readers. Every fault is reported with its
+    place in the document, all faults of one document together.
+    """
+    faults: list[str] = []
+
+    def entry(parent: object, key: str, place: str, otherwise: object = None) -> object:
+        value = parent.get(key, otherwise) if isinstance(parent, Mapping) else None
+        if value is None:
+            faults.append(f"{place}{key} is missing")
+        return value
+
+    def kind(name: object, place: str) -> T.DataType:
+        if name is not None and name not in TYPES:
+            faults.append(f"{place} has the unknown type {name!r}")
+        return TYPES.get(str(name), T.NullType())
+
+    groups: dict[str, FeatureGroup] = {}
+    bodies = entry(document, "feature_groups", "", {})
+    for name in bodies or ():
+        place = f"feature_groups.{name}."
+        schema = T.StructType()
+        for number, feature in enumerate(entry(bodies[name], "features", place, []) or ()):
+            at = f"{place}features[{number}]"
+            feature_name = entry(feature, "name", f"{at}.")
+            if feature_name in schema.fieldNames():
+                faults.append(f"{at} repeats {feature_name!r}")
+            schema.add(str(feature_name), kind(entry(feature, "type", f"{at}."), at))
+        groups[name] = FeatureGroup(name, schema)
+    key_type = kind(entry(document, "id_type", "", "STRING"), "id_type")
+    entity = Entity(entry(document, "entity", ""), entry(document, "id_column", ""), groups, key_type)
+    if faults:
+        raise QualityError("; ".join(faults))
+    return entity
+
+
+def read_entities(spark: SparkSession, directory: str) -> dict[str, Entity]:
+    """The entities declared by the ``*.yaml`` files of a folder, by name.
+
+    The folder may be on any file system that Spark reads. Two declarations of
+    one entity are an error.
+    """
+    import yaml
+
+    files = spark.read.text(directory, wholetext=True, pathGlobFilter="*.yaml").collect()
+    found = [declared_entity(yaml.safe_load(row["value"])) for row in files]
+    names = [entity.name for entity in found]
+    repeated = sorted({name for name in names if names.count(name) > 1})
+    if repeated:
+        raise QualityError(f"entities declared more than once: {repeated}")
+    return dict(zip(names, found))
 
 
 # The declared entities, their groups and feature types.
@@ -123,7 +122,7 @@ USER = Entity(
     "user",
     "user_id",
     {
-        "behavioral": _group(
+        "behavioral": group(
             "behavioral",
             session_count_7d="INT64",
             session_count_30d="INT64",
@@ -132,7 +131,7 @@ USER = Entity(
             support_tickets_90d="INT64",
             avg_session_duration_s="FLOAT64",
         ),
-        "demographic": _group(
+        "demographic": group(
             "demographic", country="STRING", account_age_days="INT64", is_premium="BOOL"
         ),
     },
@@ -141,8 +140,8 @@ ITEM = Entity(
     "item",
     "item_id",
     {
-        "catalog": _group("catalog", category="STRING", price_usd="FLOAT64", stock_count="INT64"),
-        "engagement": _group(
+        "catalog": group("catalog", category="STRING", price_usd="FLOAT64", stock_count="INT64"),
+        "engagement": group(
             "engagement",
             view_count_7d="INT64",
             purchase_count_30d="INT64",
@@ -150,7 +149,6 @@ ITEM = Entity(
         ),
     },
 )
-ENTITIES = {entity.name: entity for entity in (USER, ITEM)}
 
 
 def require_columns(
@@ -175,15 +173,16 @@ def conform(
 ) -> DataFrame:
     """Key, time and the declared features, cast to the declared types.
 
-    A missing column fails here, before any job; a value that cannot be cast
-    becomes NULL and is counted by ``violations``.
+    A missing column fails here, before any job. A value that cannot be cast, an
+    id included, becomes NULL; ``violations`` counts it, and also a number that
+    the declared type changes (3.7 as an integer).
     """
     require_columns(df, entity, group, feature_ts, entity_id)
     key = entity_id or entity.id_column
     return df.select(
-        F.col(key).cast(entity.id_type.spark_type).alias(entity.id_column),
+        F.col(key).try_cast(entity.id_type).alias(entity.id_column),
         F.col(feature_ts),
-        *[F.col(f.name).try_cast(f.type.spark_type).alias(f.name) for f in group.features],
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in group.schema],
     )
 
 
@@ -198,14 +197,11 @@ def violations(
     key = entity_id or entity.id_column
     conformed = conform(df, entity, group, feature_ts, entity_id)
     bad_cast = F.lit(False)
-    for f in group.features:
-        source = F.col(f.name)
-        bad_cast = bad_cast | (
-            source.isNotNull() & source.try_cast(f.type.spark_type).isNull()
-        )
+    for f in group.schema:
+        bad_cast = bad_cast | _spoiled(F.col(f.name), df.schema[f.name].dataType, f.dataType)
     # Rows per (id, time) first: the combine is map-side and the totals are one row.
     per_key = df.groupBy(
-        F.col(key).cast(conformed.schema[entity.id_column].dataType).alias("_id"),
+        F.col(key).try_cast(conformed.schema[entity.id_column].dataType).alias("_id"),
         F.col(feature_ts).alias("_ts"),
     ).agg(F.count("*").alias("n"), F.count(F.when(bad_cast, 1)).alias("bad"))
     keyed = F.col("_id").isNotNull() & F.col("_ts").isNotNull()
@@ -236,3 +232,12 @@ def assert_conforms(
 
 def _total(condition, column):
     return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+
+
+def _spoiled(value: Column, source: T.DataType, target: T.DataType) -> Column:
+    """Whether a value is lost, or as a number changed, by the cast."""
+    cast = value.try_cast(target)
+    spoiled = cast.isNull()
+    if isinstance(source, T.NumericType) and isinstance(target, T.NumericType):
+        spoiled = spoiled | (cast.try_cast(source) != value)
+    return value.isNotNull() & F.coalesce(spoiled, F.lit(True))

@@ -71,9 +71,9 @@ def read_features(
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        fields = [T.StructField(entity.id_column, entity.id_type.spark_type)]
+        fields = [T.StructField(entity.id_column, entity.id_type)]
         if feature_ts:
             fields.append(T.StructField(feature_ts, T.TimestampType()))
-        fields += [T.StructField(f.name, f.type.spark_type) for f in group.features]
+        fields += list(group.schema)
         return spark.createDataFrame([], T.StructType(fields))
     return table.select(*columns)

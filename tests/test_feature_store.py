@@ -27,24 +27,47 @@ DECLARED = {
 }
 
 
-def test_entity_from_dict():
-    entity = fs.Entity.from_dict(DECLARED)
-    assert entity.id_type is fs.FeatureType.STRING
-    assert [f.name for f in entity.all_features()] == ["rooms", "tags", "lat"]
-    assert entity.groups["size"].features[1].type.spark_type == T.ArrayType(T.StringType())
-    assert entity.groups["size"].features[1].description == "labels"
+def test_declared_entity():
+    entity = fs.declared_entity(DECLARED)
+    assert entity.id_type == T.StringType()
+    assert {name: g.ids for name, g in entity.groups.items()} == {
+        "size": ["rooms", "tags"],
+        "place": ["lat"],
+    }
+    assert entity.groups["size"].schema["tags"].dataType == T.ArrayType(T.StringType())
 
 
-def test_unknown_type_is_rejected():
-    broken = {**DECLARED, "feature_groups": {"g": {"features": [{"name": "x", "type": "UUID"}]}}}
-    with pytest.raises(ValueError, match="UUID"):
-        fs.Entity.from_dict(broken)
+def test_faults_are_listed_with_their_place():
+    broken = {
+        "id_column": "id",
+        "feature_groups": {
+            "g": {"features": [{"name": "x", "type": "UUID"}, {"name": "x", "type": "BOOL"}]},
+            "h": {"features": [{"type": "BOOL"}]},
+        },
+    }
+    with pytest.raises(QualityError) as error:
+        fs.declared_entity(broken)
+    for part in ("entity is missing", "feature_groups.g.features[0] has the unknown type 'UUID'",
+                 "feature_groups.g.features[1] repeats 'x'",
+                 "feature_groups.h.features[0].name is missing"):
+        assert part in str(error.value)
 
 
-def test_load_entities(tmp_path):
+def test_read_entities(spark, tmp_path):
     yaml = pytest.importorskip("yaml")
     (tmp_path / "shop.yaml").write_text(yaml.safe_dump(DECLARED))
-    assert list(fs.load_entities(tmp_path)) == ["shop"]
+    assert list(fs.read_entities(spark, str(tmp_path))) == ["shop"]
+
+
+def test_changed_numbers_and_lost_ids_are_counted(spark):
+    df = spark.createDataFrame([("1", 1, 3.7), ("2", 1, 3.0), ("x", 1, None)],
+                               "id string, ts int, x double")
+    entity = fs.Entity("e", "id", {"g": GROUP}, T.LongType())
+    counts = fs.violations(df, entity, GROUP, "ts").first().asDict()
+    assert (counts["bad_values"], counts["null_ids"]) == (1, 1)
+    assert rows(fs.conform(df.where("id <> '1'"), entity, GROUP, "ts"), "x") == [
+        (None, 1, None), (2, 1, 3),
+    ]
 
 
 def test_declared_groups():
@@ -53,7 +76,7 @@ def test_declared_groups():
     assert [len(g.ids) for g in fs.ITEM.groups.values()] == [3, 3]
 
 
-GROUP = fs.FeatureGroup("g", (fs.Feature("x", fs.FeatureType.INT64),))
+GROUP = fs.group("g", x="INT64")
 ENTITY = fs.Entity("e", "id", {"g": GROUP})
 
 

@@ -59,7 +59,7 @@ RAW_INTERACTIONS = """raw_interactions AS (
 
 
 def _total(column: str) -> str:
-    return f"CAST(SUM(CAST({column} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({column} AS DECIMAL(32,6))) AS DOUBLE)"
 
 
 def _revenue(source: str) -> str:
@@ -70,37 +70,45 @@ def _revenue(source: str) -> str:
 
 
 def _refunds(returns: str, orders: str) -> str:
-    return f"""SELECT o.category, COUNT(*) AS refund_count,
-           {_total("ret.refund_amount")} AS total_refunds,
-           {_total("ret.refund_amount")} / COUNT(ret.refund_amount) AS avg_refund
-    FROM {returns} ret JOIN {orders} o ON ret.order_id = o.order_id
-    GROUP BY o.category"""
+    """Each order's returns are added up first, then those of a category's orders."""
+    return f"""SELECT category, CAST(SUM(times) AS BIGINT) AS refund_count,
+           CAST(SUM(paid) AS DOUBLE) AS total_refunds,
+           CAST(SUM(paid) AS DOUBLE) / SUM(valued) AS avg_refund
+    FROM (SELECT order_id, COUNT(*) AS times, COUNT(refund_amount) AS valued,
+                 SUM(CAST(refund_amount AS DECIMAL(32,6))) AS paid
+          FROM {returns} GROUP BY order_id) JOIN {orders} USING (order_id)
+    GROUP BY category"""
 
 
 def _stock(low: int = 10, medium: int = 50) -> str:
-    return f"""SELECT category, warehouse, CAST(SUM(stock_count) AS BIGINT) AS total_stock,
-           CASE WHEN SUM(stock_count) < {low} THEN 'LOW'
-                WHEN SUM(stock_count) < {medium} THEN 'MEDIUM' ELSE 'HIGH' END AS stock_level
-    FROM raw_inventory GROUP BY category, warehouse"""
+    """Levels as a table of lower bounds: the highest one that the stock reaches."""
+    return f"""SELECT category, warehouse, total_stock, arg_max(name, bound) AS stock_level
+    FROM (SELECT category, warehouse, CAST(SUM(stock_count) AS BIGINT) AS total_stock
+          FROM raw_inventory GROUP BY ALL)
+    JOIN (VALUES (-9e18::DOUBLE, 'LOW'), ({low}, 'MEDIUM'), ({medium}, 'HIGH')) t(bound, name)
+      ON total_stock >= bound
+    GROUP BY category, warehouse, total_stock"""
 
 
 def _report(start: str, end: str) -> str:
+    """One long table of facts by category, beside the revenue rows it belongs to."""
+    between = f"BETWEEN DATE '{start}' AND DATE '{end}'"
     return f"""WITH {RAW_ORDERS}, {RAW_RETURNS}, {RAW_INVENTORY},
-    staged_orders AS (SELECT * FROM raw_orders
-                      WHERE order_date BETWEEN DATE '{start}' AND DATE '{end}'),
-    staged_returns AS (SELECT * FROM raw_returns
-                       WHERE return_date BETWEEN DATE '{start}' AND DATE '{end}'),
-    revenue AS ({_revenue("staged_orders")}),
-    refunds AS ({_refunds("staged_returns", "staged_orders")}),
-    stock AS (SELECT category, CAST(SUM(stock_count) AS BIGINT) AS total_stock
-              FROM raw_inventory GROUP BY category)
-    SELECT v.category, v.region, v.order_count, v.total_revenue, v.avg_order_value,
-           COALESCE(s.total_stock, 0) AS total_stock,
-           COALESCE(f.refund_count, 0) AS refund_count,
-           COALESCE(f.total_refunds, 0) AS total_refunds
-    FROM revenue v
-    LEFT JOIN stock s ON v.category = s.category
-    LEFT JOIN refunds f ON v.category = f.category"""
+    sold AS (SELECT * FROM raw_orders WHERE order_date {between}),
+    fact AS (
+        SELECT category, stock_count AS stock, 0 AS times, 0.0 AS paid FROM raw_inventory
+        UNION ALL
+        SELECT sold.category, 0, 1, CAST(refund_amount AS DECIMAL(32,6))
+        FROM raw_returns JOIN sold USING (order_id) WHERE return_date {between}),
+    revenue AS ({_revenue("sold")})
+    SELECT revenue.*,
+           COALESCE((SELECT CAST(SUM(stock) AS BIGINT) FROM fact
+                     WHERE fact.category = revenue.category), 0) AS total_stock,
+           COALESCE((SELECT CAST(SUM(times) AS BIGINT) FROM fact
+                     WHERE fact.category = revenue.category), 0) AS refund_count,
+           COALESCE((SELECT CAST(SUM(paid) AS DOUBLE) FROM fact
+                     WHERE fact.category = revenue.category), 0) AS total_refunds
+    FROM revenue"""
 
 
 def _behavioral(dates, gap_seconds: int = 6 * 3600) -> str:
@@ -133,7 +141,7 @@ def _behavioral(dates, gap_seconds: int = 6 * 3600) -> str:
         FROM sess GROUP BY feature_date, user_id),
     per_event AS (
         SELECT feature_date, user_id,
-               COALESCE(CAST(SUM(CAST(value AS DECIMAL(18,2))) FILTER (
+               COALESCE(CAST(SUM(CAST(value AS DECIMAL(32,6))) FILTER (
                    WHERE event_type = 'purchase' AND d > feature_date - 30) AS DOUBLE), 0.0)
                  AS total_purchases_30d,
                CAST(feature_date - MAX(d) FILTER (WHERE event_type IN ('view', 'click'))
@@ -321,7 +329,7 @@ def oracle_sql() -> dict[str, str]:
         WHERE return_date BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}')"""
     return {
         "csv_scan": "SELECT * FROM orders",
-        "parquet_scan": "SELECT p_partkey, p_name, p_retailprice FROM part",
+        "parquet_scan": "SELECT * FROM part",
         "load_directory": " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in TABLES
         ),
@@ -415,8 +423,9 @@ def oracle_sql() -> dict[str, str]:
                         SELECT user_id, CAST(ts AS DATE) FROM events
                         WHERE user_id IS NOT NULL AND ts IS NOT NULL
                         GROUP BY 1, 2 HAVING COUNT(*) > 1)) AS duplicate_keys,
-                   COUNT(*) FILTER (WHERE event_type IS NOT NULL
-                                      AND TRY_CAST(event_type AS BIGINT) IS NULL) AS bad_values
+                   COUNT(*) FILTER (WHERE value <> trunc(value) OR (event_id % 3 = 0
+                       AND event_type IS NOT NULL
+                       AND TRY_CAST(event_type AS BIGINT) IS NULL)) AS bad_values
             FROM events""",
         "feature_latest": """
             SELECT event_id, ts, user_id, event_type, value FROM (

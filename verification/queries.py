@@ -15,10 +15,8 @@ from tablecraft.operators.feature_schema import (
     ITEM,
     USER,
     Entity,
-    Feature,
-    FeatureGroup,
-    FeatureType,
     conform,
+    group,
     violations,
 )
 from tablecraft.operators.feature_store import publish_features, read_features
@@ -70,7 +68,7 @@ def csv_scan(data: StarSchema) -> DataFrame:
 @query
 def parquet_scan(data: StarSchema) -> DataFrame:
     parts = sources.read_parquet(data.spark, f"{data.directory}/part.parquet")
-    return parts.select("p_partkey", "p_name", "p_retailprice")
+    return parts
 
 
 @query
@@ -295,13 +293,15 @@ def feature_conform(data: StarSchema) -> DataFrame:
 
 @query
 def feature_violations(data: StarSchema) -> DataFrame:
-    """Daily times repeat and event types are no integers: both are counted."""
-    group = FeatureGroup(
-        "activity",
-        (Feature("value", FeatureType.DOUBLE), Feature("event_type", FeatureType.INT64)),
+    """Daily times repeat, some kinds are no integers, most values have a fraction."""
+    activity = group("activity", value="INT64", kind="INT64")
+    events = data.table("events").select(
+        "user_id",
+        F.to_date("ts").alias("day"),
+        "value",
+        F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("kind"),
     )
-    events = data.table("events").withColumn("day", F.to_date("ts"))
-    return violations(events, Entity("user", "user_id", {"activity": group}), group, "day")
+    return violations(events, Entity("user", "user_id", {"activity": activity}), activity, "day")
 
 
 @query
