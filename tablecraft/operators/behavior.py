@@ -37,6 +37,8 @@ def user_behavioral(
 
     ``events`` has user_id, ts, event_type, value. A session ends after
     ``session_gap_seconds`` without an event; it belongs to the date it starts.
+    Every user with an event up to the snapshot has a row, however long ago it
+    was; the last login is looked for in the whole history.
 
     Two events of one user inside the same slot of ``session_gap_seconds`` are
     always in the same session, so events are first reduced to one row per
@@ -60,7 +62,6 @@ def user_behavioral(
             F.sum(F.when(F.col("event_type") == purchase_type, to_units(F.col("value")))).alias(
                 "purchases"
             ),
-            F.max(F.col("event_type").isin(*login_types)).alias("has_login"),
             count_if(F.col("event_type").isin(*ticket_types)).alias("tickets"),
         )
     )
@@ -85,24 +86,83 @@ def user_behavioral(
             F.to_date(F.min("first_ts")).alias("started_on"),
             _seconds(F.max("last_ts") - F.min("first_ts")).alias("duration_s"),
             F.sum(F.when(_in_window("event_date", 30), F.col("purchases"))).alias("purchases_30d"),
-            F.max(F.when(F.col("has_login"), F.col("event_date"))).alias("last_login"),
             F.sum("tickets").alias("tickets"),
         )
     )
 
     recent = _in_window("started_on", 7)
-    return sessions.groupBy("user_id", "feature_date").agg(
+    windows = sessions.groupBy(
+        F.col("user_id").alias("of_user"), F.col("feature_date").alias("of_date")
+    ).agg(
         count_if(recent).alias("session_count_7d"),
         count_if(_in_window("started_on", 30)).alias("session_count_30d"),
         F.coalesce(sum_units(F.col("purchases_30d")), F.lit(0.0)).alias("total_purchases_30d"),
-        F.datediff("feature_date", F.max("last_login"))
-        .cast("bigint")
-        .alias("days_since_last_login"),
         F.sum("tickets").alias("support_tickets_90d"),
         safe_divide(F.sum(F.when(recent, F.col("duration_s"))), count_if(recent)).alias(
             "avg_session_duration_s"
         ),
     )
+    same = F.col("user_id").eqNullSafe(F.col("of_user")) & (
+        F.col("feature_date") == F.col("of_date")
+    )
+
+    def counted(name: str) -> Column:
+        return F.coalesce(name, F.lit(0)).cast(windows.schema[name].dataType).alias(name)
+
+    return (
+        _last_logins(events, dates, login_types)
+        .join(windows, same, "left")
+        .select(
+            "user_id",
+            "feature_date",
+            counted("session_count_7d"),
+            counted("session_count_30d"),
+            counted("total_purchases_30d"),
+            "days_since_last_login",
+            counted("support_tickets_90d"),
+            "avg_session_duration_s",
+        )
+    )
+
+
+def _last_logins(
+    events: DataFrame, dates: Sequence[dt.date], login_types: Sequence[str]
+) -> DataFrame:
+    """``user_id, feature_date, days_since_last_login`` of all users seen by then.
+
+    One row per user leaves the aggregate, with the last login before each
+    snapshot; snapshots become rows after it.
+    """
+    day = F.to_date("ts")
+    login = F.col("event_type").isin(*login_types)
+    per_user = (
+        events.where(within_dates(events, "ts", None, dates[-1]))
+        .groupBy("user_id")
+        .agg(
+            F.min(day).alias("first_seen"),
+            *(
+                F.max(F.when(login & (day <= F.lit(date)), day)).alias(f"login_{i}")
+                for i, date in enumerate(dates)
+            ),
+        )
+    )
+    snapshots = F.array(
+        *(
+            F.struct(F.lit(date).alias("feature_date"), F.col(f"login_{i}").alias("last_login"))
+            for i, date in enumerate(dates)
+        )
+    )
+    return (
+        per_user.select("user_id", "first_seen", F.explode(snapshots).alias("s"))
+        .where(F.col("first_seen") <= F.col("s.feature_date"))
+        .select(
+            "user_id",
+            "s.feature_date",
+            F.datediff("s.feature_date", "s.last_login")
+            .cast("bigint")
+            .alias("days_since_last_login"),
+        )
+    )
 
 
 def user_demographic(
@@ -117,7 +177,8 @@ def user_demographic(
     order_date. Orders shrink to one row per user before the join.
     """
     day = F.lit(as_date(as_of))
-    first_order = orders.groupBy("user_id").agg(F.to_date(F.min("order_date")).alias("since"))
+    known = orders.where(within_dates(orders, "order_date", None, as_date(as_of)))
+    first_order = known.groupBy("user_id").agg(F.to_date(F.min("order_date")).alias("since"))
     return customers.join(first_order, "user_id", "left").select(
         "user_id",
         "country",

@@ -31,15 +31,18 @@ def evaluate(
 ) -> DataFrame:
     """One row with a column per requested metric, rounded to 4 places.
 
-    Rows without a score or a 0/1 label do not count. A score counts as class 1
+    A row without a score, or with a label other than 0 and 1, is an error: leaving
+    it out would flatter the model. A score counts as class 1
     strictly above ``threshold``. A ratio whose denominator is 0 is 0, except
     ``auc``, which is NULL when only one class is present.
     """
     unknown = [name for name in metrics if name not in METRICS]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}; choose from {list(METRICS)}")
-    known = scored.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).select(
-        F.col(score).cast("double").alias("score"),
+    usable = F.coalesce(F.col(score).isNotNull() & F.col(label).isin(0, 1), F.lit(False))
+    fault = F.raise_error(F.lit("a score is missing, or a label is not 0 or 1")).cast("double")
+    known = scored.select(
+        F.when(usable, F.col(score).cast("double")).otherwise(fault).alias("score"),
         F.when(F.col(label) == 1, 1).otherwise(0).cast("double").alias("positives"),
         F.when(F.col(label) == 0, 1).otherwise(0).cast("double").alias("negatives"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from pathlib import PurePosixPath
 
@@ -40,29 +41,30 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 def load_dir(
     spark: SparkSession, directory: str, schemas: Mapping[str, T.StructType] | None = None
 ) -> dict[str, DataFrame]:
-    """Every CSV and Parquet file of a directory as ``{file stem: DataFrame}``.
+    """Every CSV and Parquet table of a directory as ``{stem: DataFrame}``.
 
-    Other suffixes are skipped and a missing directory gives no tables. The
-    listing goes through Spark's own file index, so any file system works; only
-    file names reach the driver.
+    A table is a file ``name.csv`` or ``name.parquet``, or a folder of that name
+    with part files in it. Other suffixes are skipped and a missing directory
+    gives no tables. The listing goes through Spark's own file index, so any file
+    system works; only the tables' names reach the driver.
     """
+    base = re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?|^\./", "", directory.rstrip("/"))
+    top = F.regexp_extract("path", re.escape(base) + r"/([^/]+\.(csv|parquet))(/|$)", 1)
     try:
         listing = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", "*.{csv,parquet}")
-            .load(directory)
-            .select("path")
+            spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
         )
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return {}
         raise
     tables = {}
-    for path in sorted(row.path for row in listing.collect()):
-        name = PurePosixPath(path)
+    for row in sorted(listing.select(top.alias("name")).distinct().collect()):
+        name = PurePosixPath(row["name"])
+        path = f"{directory.rstrip('/')}/{name}"
         if name.suffix == ".csv":
             tables[name.stem] = read_csv(spark, path, (schemas or {}).get(name.stem))
-        else:
+        elif name.suffix == ".parquet":
             tables[name.stem] = read_parquet(spark, path)
     return tables
 

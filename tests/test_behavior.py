@@ -15,11 +15,13 @@ def brute_force(events, as_of, gap_seconds):
     """Walk every event of every user; no slots, no windows."""
     by_user = {}
     for user, ts, kind, amount in events:
-        if as_of - dt.timedelta(days=90) < ts.date() <= as_of:
+        if ts.date() <= as_of:
             by_user.setdefault(user, []).append((ts, kind, amount))
     result = []
     for user, seen in by_user.items():
         seen.sort(key=lambda e: e[0])
+        logins = [ts.date() for ts, kind, _ in seen if kind in ("view", "click")]
+        seen = [e for e in seen if as_of - dt.timedelta(days=90) < e[0].date()]
         sessions = []
         for ts, _, _ in seen:
             if sessions and (ts - sessions[-1][1]).total_seconds() < gap_seconds:
@@ -31,7 +33,6 @@ def brute_force(events, as_of, gap_seconds):
             return (as_of - day).days
 
         week = [s for s in sessions if age(s[0].date()) < 7]
-        logins = [ts.date() for ts, kind, _ in seen if kind in ("view", "click")]
         cents = sum(
             round(amount * 100)
             for ts, kind, amount in seen
@@ -109,6 +110,20 @@ def test_gap_and_window_edges(spark):
     assert got["c"].support_tickets_90d == 1
 
 
+def test_long_absent_users_keep_their_rows(spark):
+    events = [
+        ("gone", dt.datetime(2023, 12, 2), "view", 0.0),
+        ("back", dt.datetime(2023, 12, 2), "click", 0.0),
+        ("back", dt.datetime(2024, 3, 31), "purchase", 7.0),
+        ("later", dt.datetime(2024, 4, 1), "view", 0.0),
+    ]
+    result = behavior.user_behavioral(spark.createDataFrame(events, SCHEMA), AS_OF)
+    assert rows(result, "user_id") == [
+        ("back", AS_OF, 1, 1, 7.0, 120, 0, 0.0),
+        ("gone", AS_OF, 0, 0, 0.0, 120, 0, None),
+    ]
+
+
 def test_hot_user_is_reduced_before_the_session_window(spark):
     """The rows a user sends to the window are bounded by slots, not by events."""
     start = F.lit("2024-03-30").cast("timestamp_ntz")
@@ -148,7 +163,8 @@ def test_user_demographic(spark):
         [("a", "DE", 10.0), ("b", "FR", 5.0)], "user_id string, country string, balance double"
     )
     orders = spark.createDataFrame(
-        [("a", "2024-03-01"), ("a", "2024-03-21")], "user_id string, order_date string"
+        [("a", "2024-03-01"), ("a", "2024-03-21"), ("b", "2024-04-02")],
+        "user_id string, order_date string",
     ).withColumn("order_date", F.to_date("order_date"))
     result = behavior.user_demographic(customers, orders, AS_OF, premium_above=5.0)
     assert rows(result, "user_id") == [("a", "DE", 30, True), ("b", "FR", None, False)]

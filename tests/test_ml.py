@@ -189,3 +189,12 @@ def test_gate(spark):
 
 def test_label_distribution(separable):
     assert sorted(map(tuple, churn.label_distribution(separable).collect())) == [(0, 5), (1, 5)]
+
+
+@pytest.mark.parametrize("row", [(None, 1), (0.3, None), (0.3, 2)])
+def test_unusable_rows_are_errors(spark, row):
+    df = spark.createDataFrame([(0.9, 1), (0.1, 0), row], "probability double, label int")
+    with pytest.raises(Exception, match="score is missing"):
+        metrics.evaluate(df, ["accuracy"]).collect()
+    with pytest.raises(Exception, match="score is missing"):
+        metrics.evaluate(df, ["auc"]).collect()

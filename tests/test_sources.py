@@ -62,6 +62,22 @@ def test_load_dir(spark, csv_file):
     assert tables["raw_orders"].schema == RAW_ORDERS
 
 
+def test_load_dir_of_folders(spark, tmp_path):
+    lake = tmp_path / "lake"
+    spark.range(6).repartition(3).write.parquet(f"{lake}/orders.parquet")
+    spark.range(4).write.option("header", True).csv(f"{lake}/parts.csv")
+    spark.range(5).withColumn("d", F.col("id") % 2).write.partitionBy("d").parquet(
+        f"{lake}/days.parquet"
+    )
+    spark.range(3).toPandas().to_parquet(lake / "plain.parquet")
+    spark.range(2).write.json(f"{lake}/skipped.json")
+    tables = sources.load_dir(spark, str(lake))
+    assert {name: table.count() for name, table in tables.items()} == {
+        "days": 5, "orders": 6, "parts": 4, "plain": 3,
+    }
+    assert sources.load_dir(spark, f"file://{lake}/").keys() == tables.keys()
+
+
 def test_load_missing_dir(spark, tmp_path):
     assert sources.load_dir(spark, str(tmp_path / "absent")) == {}
 

@@ -7,6 +7,7 @@ to the canonical inputs.
 from __future__ import annotations
 
 from verification.queries import (
+    AGE_DAY,
     AS_OF,
     CHURN_RUN_DATE,
     FIRST_DAY,
@@ -144,16 +145,25 @@ def _behavioral(dates, gap_seconds: int = 6 * 3600) -> str:
                COALESCE(CAST(SUM(CAST(value AS DECIMAL(32,6))) FILTER (
                    WHERE event_type = 'purchase' AND d > feature_date - 30) AS DOUBLE), 0.0)
                  AS total_purchases_30d,
-               CAST(feature_date - MAX(d) FILTER (WHERE event_type IN ('view', 'click'))
-                 AS BIGINT) AS days_since_last_login,
                COUNT(*) FILTER (WHERE event_type = 'error') AS support_tickets_90d
         FROM ev GROUP BY feature_date, user_id),
+    everyone AS (
+        SELECT e.user_id, s.feature_date,
+               CAST(s.feature_date - MAX(CAST(e.ts AS DATE)) FILTER (
+                   WHERE event_type IN ('view', 'click')) AS BIGINT) AS days_since_last_login
+        FROM events e JOIN snap s ON CAST(e.ts AS DATE) <= s.feature_date
+        GROUP BY e.user_id, s.feature_date),
     behavioral AS (
-        SELECT s.user_id, s.feature_date, s.session_count_7d, s.session_count_30d,
-               e.total_purchases_30d, e.days_since_last_login, e.support_tickets_90d,
+        SELECT a.user_id, a.feature_date,
+               COALESCE(s.session_count_7d, 0) AS session_count_7d,
+               COALESCE(s.session_count_30d, 0) AS session_count_30d,
+               COALESCE(e.total_purchases_30d, 0.0) AS total_purchases_30d,
+               a.days_since_last_login,
+               COALESCE(e.support_tickets_90d, 0) AS support_tickets_90d,
                s.avg_session_duration_s
-        FROM per_session s
-        JOIN per_event e ON e.user_id = s.user_id AND e.feature_date = s.feature_date)"""
+        FROM everyone a
+        LEFT JOIN per_session s ON s.user_id = a.user_id AND s.feature_date = a.feature_date
+        LEFT JOIN per_event e ON e.user_id = a.user_id AND e.feature_date = a.feature_date)"""
 
 
 def _churn_raw() -> str:
@@ -388,7 +398,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM behavioral""",
         "user_demographic": f"""
             SELECT c.c_custkey AS user_id, n.n_name AS country,
-                   CAST(DATE '{LAST_DAY}' - CAST(f.since AS DATE) AS BIGINT) AS account_age_days,
+                   CAST(DATE '{AGE_DAY}' - CAST(f.since AS DATE) AS BIGINT) AS account_age_days,
                    c.c_acctbal > {PREMIUM_ABOVE} AS is_premium
             FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
             LEFT JOIN (SELECT o_custkey, MIN(o_orderdate) AS since FROM orders

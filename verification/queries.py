@@ -28,8 +28,9 @@ from tablecraft.sources.star_schema import StarSchema
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The orders of the test tables run from 1995 to 2001, so this range is all of them.
-FIRST_DAY, LAST_DAY = "1995-01-01", "2001-12-31"
+# All dates there are.
+FIRST_DAY, LAST_DAY = "0001-01-01", "9999-12-31"
+AGE_DAY = "2001-12-31"
 RUN_DATE = "1997-02-03"
 YEAR = ("1997-01-01", "1997-12-31")
 # The events cover January 2024.
@@ -257,7 +258,7 @@ def user_demographic(data: StarSchema) -> DataFrame:
     orders = data.table("orders").select(
         F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("order_date")
     )
-    return behavior.user_demographic(customers, orders, LAST_DAY, PREMIUM_ABOVE)
+    return behavior.user_demographic(customers, orders, AGE_DAY, PREMIUM_ABOVE)
 
 
 @query
