@@ -29,7 +29,7 @@ from tablecraft.sources.star_schema import StarSchema
 Query = Callable[[SparkSession, str], DataFrame]
 
 # All dates there are.
-FIRST_DAY, LAST_DAY = "0001-01-01", "9999-12-31"
+FIRST_DAY, LAST_DAY = "0001-01-01", "9999-12-30"
 AGE_DAY = "2001-12-31"
 RUN_DATE = "1997-02-03"
 YEAR = ("1997-01-01", "1997-12-31")
