@@ -109,10 +109,10 @@ def train(docs: DataFrame) -> Model:
         .mapInArrow(count, "cell long, n long")
         .groupBy("cell")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .toArrow()
     )
     counts = np.full(len(languages) * BUCKETS, SMOOTHING)
-    counts[rows["cell"].to_numpy(np.int64)] += rows["n"].to_numpy(float)
+    counts[rows.column("cell").to_numpy()] += rows.column("n").to_numpy()
     counts = counts.reshape(len(languages), BUCKETS)
     chance = np.log(counts / counts.sum(1, keepdims=True))
     return Model(languages, np.ascontiguousarray(chance.T, dtype=np.float32))

@@ -112,12 +112,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         .mapInArrow(count, "bucket long, vector array<long>")
         .groupBy("bucket")
         .agg(*(F.sum(F.get("vector", F.lit(i))).alias(f"v{i}") for i in range(DIMENSIONS)))
-        .toPandas()
+        .toArrow()
     )
     table = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    values = added.drop(columns="bucket").to_numpy(float)
+    columns = [added.column(f"v{i}").to_numpy() for i in range(DIMENSIONS)]
+    values = np.stack(columns, 1).astype(float)
     length = np.sqrt((values**2).sum(1, keepdims=True))
-    table[added["bucket"].to_numpy(np.int64)] = values / np.maximum(length, 1e-9)
+    table[added.column("bucket").to_numpy()] = values / np.maximum(length, 1e-9)
     return table
 
 
