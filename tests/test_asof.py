@@ -137,3 +137,12 @@ def test_latest(spark):
     result = latest_features(features, "id", "ts")
     assert result.columns == ["id", "ts", "v"]
     assert [tuple(r) for r in result.orderBy("id").collect()] == [("a", 3, "y"), ("b", 5, "q")]
+
+
+def test_latest_row_with_a_map_and_a_tie(spark):
+    features = spark.createDataFrame(
+        [("a", 1, 1, {"x": 1}), ("a", 2, 1, {"x": 2}), ("a", 2, 3, {"x": 3}), ("b", 1, 1, None)],
+        "id string, ts int, n int, m map<string,int>",
+    )
+    found = {r["id"]: r["m"] for r in latest_features(features, "id", "ts", ["n"]).collect()}
+    assert found == {"a": {"x": 3}, "b": None}

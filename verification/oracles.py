@@ -420,7 +420,8 @@ def oracle_sql() -> dict[str, str]:
                    CAST(p_size AS BIGINT) AS stock_count FROM part""",
         "feature_publish_read": f"""WITH {_behavioral(SNAPSHOTS)}
             SELECT CAST(user_id AS VARCHAR) AS user_id, feature_date, session_count_7d,
-                   total_purchases_30d FROM behavioral""",
+                   session_count_30d, total_purchases_30d, days_since_last_login,
+                   support_tickets_90d, avg_session_duration_s FROM behavioral""",
         "feature_conform": f"""
             SELECT CAST(p_partkey AS VARCHAR) AS item_id, DATE '{AS_OF}' AS listed_on,
                    p_type AS category, p_retailprice AS price_usd,
@@ -438,7 +439,7 @@ def oracle_sql() -> dict[str, str]:
                        AND TRY_CAST(event_type AS BIGINT) IS NULL)) AS bad_values
             FROM events""",
         "feature_latest": """
-            SELECT event_id, ts, user_id, event_type, value FROM (
+            SELECT event_id, ts, user_id, event_type, value, props FROM (
                 SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id
                               ORDER BY ts DESC, event_id DESC) AS newest FROM events)
             WHERE newest = 1""",

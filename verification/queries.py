@@ -281,7 +281,6 @@ def feature_publish_read(data: StarSchema) -> DataFrame:
         root,
         USER,
         "behavioral",
-        ["session_count_7d", "total_purchases_30d"],
         feature_ts="feature_date",
     )
 
@@ -307,7 +306,7 @@ def feature_violations(data: StarSchema) -> DataFrame:
 
 @query
 def feature_latest(data: StarSchema) -> DataFrame:
-    return latest_features(data.table("events").drop("props"), "user_id", "ts")
+    return latest_features(data.table("events"), "user_id", "ts", tie_break=["event_id"])
 
 
 @query
