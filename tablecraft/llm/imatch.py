@@ -20,24 +20,19 @@ HIGH = 0.1
 # whole lexicon tells exact copies; small subsets survive edits, and which size
 # is right depends on the length of the document.
 SUBSETS = ((1, 1), (16, 3), (128, 12), (1024, 16))
-_SLOTS = sum(taken for _, taken in SUBSETS)
+# Lists that the lexicon is split into by a hash.
+SHELVES = 1 << 15
 # Documents that one task puts in order, and the most tasks to do it.
 BUCKET_ROWS = 4096
 MOST_BUCKETS = 100_000
 _QUANTILES = 200
 _NO_ID = -(1 << 63)
-_SENTINEL = 0
 
 
 def terms(text: Column) -> Column:
-    """Distinct hashes of the lower-cased words: even numbers of 64 bits."""
-    return F.array_distinct(
-        F.transform(split_words(ascii_lower(text)), lambda word: _even(F.xxhash64(word)))
-    )
-
-
-def _even(number: Column) -> Column:
-    return number.bitwiseAND(F.lit(-2))
+    """Distinct 64-bit hashes of the lower-cased words, in order."""
+    hashes = F.transform(split_words(ascii_lower(text)), lambda word: F.xxhash64(word))
+    return F.sort_array(F.array_distinct(hashes))
 
 
 def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -126,19 +121,68 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(kept, F.substring(following, F.lit(1), half))
 
 
-def _subset_hashes(mine: Column) -> list[Column]:
-    """For each subset the exclusive or of the hashes of a text's terms in it.
+def _in_shelves(known: DataFrame) -> DataFrame:
+    """The lexicon as one row, ``always, shelves``: its terms by a hash.
 
-    It depends on the set of distinct terms only, as hashing their sorted list
-    does, and is built term by term. Null where the subset has none.
+    As bounded as the lexicon itself. Joined on a constant it lets a document's
+    terms be looked up within the row, instead of a row for each term.
     """
-    hashes = []
-    for level, (parts, taken) in enumerate(SUBSETS):
-        part = F.pmod(F.xxhash64("term", F.lit(level)), F.lit(parts))
-        for subset in range(taken):
-            chosen = mine & (F.col("term") != _SENTINEL) & (part == subset)
-            hashes.append(F.bit_xor(F.when(chosen, F.xxhash64(F.lit(subset), "term"))))
-    return hashes
+    spark = known.sparkSession
+    shelf = F.pmod("term", F.lit(SHELVES)).alias("shelf")
+    filled = known.groupBy(shelf).agg(F.collect_list("term").alias("terms"))
+    none = F.array().cast("array<bigint>")
+    return (
+        spark.range(SHELVES)
+        .withColumnRenamed("id", "shelf")
+        .join(filled, "shelf", "left")
+        .select("shelf", F.coalesce("terms", none).alias("terms"))
+        .groupBy(F.lit(True).alias("always"))
+        .agg(F.sort_array(F.collect_list(F.struct("shelf", "terms"))).alias("rows"))
+        .select("always", F.col("rows.terms").alias("shelves"))
+    )
+
+
+def _known(found: Column) -> Column:
+    """The terms that are in the lexicon of the row."""
+
+    def contained(term: Column) -> Column:
+        place = F.pmod(term, F.lit(SHELVES)).cast("int")
+        return F.array_contains(F.get("shelves", place), term)
+
+    return F.filter(found, contained)
+
+
+def _hash(ordered: Column) -> Column:
+    return F.when(F.size(ordered) > 0, F.xxhash64(ordered))
+
+
+def subset_hashes(found: Column, everything: Column) -> Column:
+    """For each subset of the lexicon the hash of a text's sorted terms in it.
+
+    Null where it has none; the whole lexicon gives way to ``everything``, the
+    text's own terms.
+    """
+    first = F.array(F.coalesce(_hash(found), F.xxhash64(everything)))
+    levels = [
+        _level(found, level, parts, taken)
+        for level, (parts, taken) in enumerate(SUBSETS[1:], 1)
+    ]
+    return F.concat(first, *levels)
+
+
+def _level(found: Column, level: int, parts: int, taken: int) -> Column:
+    """Hashes of the first ``taken`` of ``parts`` random subsets."""
+
+    def part(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term, F.lit(level)), F.lit(parts))
+
+    def split(few: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(taken - 1)),
+            lambda subset: let(F.filter(few, lambda term: part(term) == subset), _hash),
+        )
+
+    return let(F.filter(found, lambda term: part(term) < taken), split)
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -175,15 +219,14 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     document is the row itself; an empty table gives an empty result; ties and
     null ids see with_next().
 
-    Documents stay where the one shuffle of the text has put them: subsets are
-    hashed and the next fingerprint is found within the same buckets.
+    Documents stay where the one shuffle of the text has put them: terms are
+    looked up within the row, and the next fingerprint within the same buckets.
     """
     plain = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    known = lexicon(plain, low, high)
-    sentinel = known.sparkSession.createDataFrame([(_SENTINEL,)], "term long")
-    known = known.unionByName(sentinel)
+    shelves = _in_shelves(lexicon(plain, low, high))
     paired = with_next(docs).withColumn("other", edited(F.col("text"), F.col("next_text")))
-    hashed = paired.select(
+    kept = ["bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256"]
+    sets = paired.select(
         "bucket",
         "place",
         "guest",
@@ -192,40 +235,21 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
         F.sha2(F.col("other").cast("binary"), 256).alias("edited_sha256"),
         terms(F.col("text")).alias("terms"),
         terms(F.col("other")).alias("other_terms"),
+        F.lit(True).alias("always"),
     )
-    # the edited text's terms are marked by an odd number
-    both = F.concat(
-        F.array(F.lit(_SENTINEL).cast("long")),
+    matched = sets.join(F.broadcast(shelves), "always").select(
+        *kept,
         "terms",
-        F.transform("other_terms", lambda term: term + 1),
+        "other_terms",
+        _known(F.col("terms")).alias("found"),
+        _known(F.col("other_terms")).alias("other_found"),
     )
-    keys = ["bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256", "all_terms",
-            "all_other_terms"]
-    exploded = hashed.select(
-        *keys[:6],
-        F.xxhash64(F.sort_array("terms")).alias("all_terms"),
-        F.xxhash64(F.sort_array("other_terms")).alias("all_other_terms"),
-        F.explode(both).alias("marked"),
-    ).select(*keys, "marked", _even(F.col("marked")).alias("term"))
-    mine, others = F.col("marked") == F.col("term"), F.col("marked") != F.col("term")
-    columns = [
-        column.alias(f"{prefix}{i}")
-        for prefix, side in (("own", mine), ("edit", others))
-        for i, column in enumerate(_subset_hashes(side))
-    ]
-    hashed_subsets = exploded.join(F.broadcast(known), "term").groupBy(*keys).agg(*columns)
-
-    def whole(prefix: str, fallback: str) -> Column:
-        # the first subset is the whole lexicon
-        first = F.coalesce(F.col(f"{prefix}0"), F.col(fallback))
-        return F.array(first, *(F.col(f"{prefix}{i}") for i in range(1, _SLOTS)))
-
     order = Window.partitionBy("bucket").orderBy("place")
     return (
-        hashed_subsets.select(
-            *keys[:6],
-            whole("own", "all_terms").alias("mine"),
-            whole("edit", "all_other_terms").alias("edited"),
+        matched.select(
+            *kept,
+            subset_hashes(F.col("found"), F.col("terms")).alias("mine"),
+            subset_hashes(F.col("other_found"), F.col("other_terms")).alias("edited"),
         )
         .withColumn("following", F.coalesce(F.lead("mine").over(order), "mine"))
         .where(~F.col("guest"))
