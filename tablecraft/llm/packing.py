@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -17,22 +18,48 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 END_ID = 0
-# Words a Python worker remembers; all are forgotten when it is full.
-REMEMBERED_WORDS = 400_000
+# Words, and parts of words, that a Python worker remembers: under 300 MB.
+REMEMBERED_WORDS = 800_000
 # Ranks are counted within (length, bucket), so that a length which holds a
 # third of all pieces is ranked by so many tasks.
-RANK_BUCKETS = 256
+RANK_BUCKETS = 128
 _RANK_BITS = 44
-_PLAIN = re.compile(r"([a-z]+)([^a-z0-9']*)\Z")
+_SIGNS = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")  # ASCII signs but the apostrophe
+_LATIN_END = "\u0130"  # before it, lower case is one code point for one
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level tokenizers write for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(byte if byte in plain else next(spare)) for byte in range(256)]
+
+
+class _Memo(dict):
+    """Values of a function, computed when missing; about the last ``size`` used."""
+
+    def __init__(self, function: Callable[[str], bytes], size: int) -> None:
+        super().__init__()
+        self._function, self._half, self._old = function, size // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._old.get(key)
+        if value is None:
+            value = self._function(key)
+        if len(self) >= self._half:
+            self._old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class WordTokenizer:
     """Token ids by way of the words between white space, each encoded once.
 
-    Valid for tokenizers that drop white space before anything else, so that a
-    text's ids are its words' ids in a row. A lower-case ASCII word with a tail
-    of ASCII signs splits before the tail, as letters and signs never share a
-    token of the vocabulary this is written for.
+    Valid for byte-level tokenizers that drop white space and lower the case
+    before anything else, so that a text's ids are its words' ids in a row. A
+    word of letters with a tail of ASCII signs splits before the tail, as the
+    vocabularies this is written for never join letters and signs.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,37 +67,39 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._ids: dict[str, list[int]] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        known = self._ids
-        missing = [word for word in set(words) if word not in known]
-        if len(known) + len(missing) > REMEMBERED_WORDS:
-            known.clear()
-            missing = set(words)
-        for word in missing:
-            known[word] = self._word(word)
-        ids = itertools.chain.from_iterable(map(known.__getitem__, words))
-        return np.fromiter(itertools.chain(ids, (END_ID,)), "<u4")
-
-    def _word(self, word: str) -> list[int]:
-        plain = _PLAIN.match(word.lower()) if word.isascii() else None
-        if plain is None:
+        self._letters = _byte_letters()
+        self._parts = _Memo(self._part, REMEMBERED_WORDS)
+        self._words = _Memo(self._word, REMEMBERED_WORDS)
+
+    def __call__(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids, the end id included."""
+        return b"".join(map(self._words.__getitem__, (text or "").split())) + _END
+
+    def _word(self, word: str) -> bytes:
+        tail = _SIGNS.search(word)
+        letters = word[: tail.start()] if tail else word
+        if not (letters.isalpha() and max(letters) < _LATIN_END):
             return self._encode(word)
-        letters, signs = plain.groups()
-        ids = self._ids.get(letters)
-        if ids is None:
-            ids = [token.id for token in self._tokenizer.model.tokenize(letters)]
-            self._ids[letters] = ids
-        if not signs:
-            return ids
-        if signs not in self._ids:
-            self._ids[signs] = self._encode(signs)
-        return ids + self._ids[signs]
+        ids = self._parts[letters.lower()]
+        return ids + self._parts[tail.group()] if tail else ids
+
+    def _part(self, part: str) -> bytes:
+        if not part.isalpha():
+            return self._encode(part)
+        letters = "".join(map(self._letters.__getitem__, part.encode("utf-8")))
+        return _bytes(token.id for token in self._tokenizer.model.tokenize(letters))
+
+    def _encode(self, text: str) -> bytes:
+        return _bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def _bytes(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(
+        value.to_bytes(4, "little") for value in ids
+    )
+
 
-    def _encode(self, text: str) -> list[int]:
-        return self._tokenizer.encode(text, add_special_tokens=False).ids
+_END = END_ID.to_bytes(4, "little")
 
 
 @lru_cache(maxsize=2)
@@ -95,10 +124,10 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> Data
             size = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py())
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc_id, piece, start, len(part), part.tobytes()))
-                size += ids.nbytes
+                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * start : 4 * (start + capacity)]
+                    rows.append((doc_id, piece, start, len(part) // 4, part))
+                size += len(ids)
                 if size > 1 << 22:
                     yield _piece_batch(rows)
                     rows, size = [], 0
