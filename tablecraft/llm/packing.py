@@ -25,6 +25,8 @@ REMEMBERED_WORDS = 800_000
 RANK_BUCKETS = 128
 _RANK_BITS = 44
 _SIGNS = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")  # ASCII signs but the apostrophe
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_GAPS = re.compile(r"[^\S\x1c-\x1f]+")
 _LATIN_END = "\u0130"  # before it, lower case is one code point for one
 
 
@@ -73,9 +75,11 @@ class WordTokenizer:
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids, the end id included."""
-        return b"".join(map(self._words.__getitem__, (text or "").split())) + _END
+        return b"".join(map(self._words.__getitem__, _split(text or ""))) + _END
 
     def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
         tail = _SIGNS.search(word)
         letters = word[: tail.start()] if tail else word
         if not (letters.isalpha() and max(letters) < _LATIN_END):
@@ -93,6 +97,13 @@ class WordTokenizer:
         return _bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def _split(text: str) -> list[str]:
+    """The parts between white space; four separators that Python adds are none."""
+    if any(mark in text for mark in _SEPARATORS):
+        return _GAPS.sub(" ", text).split(" ")
+    return text.split()
+
+
 def _bytes(ids: Iterable[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(
         value.to_bytes(4, "little") for value in ids

@@ -25,6 +25,7 @@ TEXTS = [
     (7, "x", None, "é"),
     (8, "42 %%% $$$ 1.5 | <b>     é \U0001f600 \x00", "fr", "a"),
     (9, "line one\nline one\n\nline two\nline one", "en", "c"),
+    (11, "a\x1cb \x1f c\x85d\xa0e\u3000f \x1d\x1d", "en", "c"),
     (10, "don't it's WE'LL <|endoftext|> thnd$$$ don't!!", "en", "c"),
 ]
 

@@ -123,5 +123,5 @@ def test_keep_first_keeps_one_row_per_group(edge_docs):
     kept = simhash.keep_first(edge_docs, groups)
     assert kept.columns == edge_docs.columns
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    assert ids == [1, 3, 6, 7, 8, 9, 10]
+    assert ids == [1, 3, 6, 7, 8, 9, 10, 11]
     assert kept.where("doc_id IS NULL").count() == 2
