@@ -50,21 +50,30 @@ def _around(text: Column, length: Column, part: int, parts: int) -> tuple[Column
     return block, before, after
 
 
-def _keys(group: Column, text: Column, longer: Column, parts: int) -> Column:
-    """``key, longer, block`` for every block of a text that belongs to a group."""
+def _blocks(group: Column, text: Column, longer: Column, parts: int) -> list[tuple[Column, ...]]:
+    """Key and text of every block of a text that belongs to a group."""
     length = F.length(text) - longer.cast("int")
     entries = []
     for part in range(parts):
         block, before, after = _around(text, length, part, parts)
-        key = F.xxhash64(group, length, F.lit(part), before, after)
-        entries.append(F.struct(key.alias("key"), longer.alias("longer"), block.alias("block")))
-    return F.array(*entries)
+        entries.append((F.xxhash64(group, length, F.lit(part), before, after), longer, block))
+    return entries
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` (``key, longer, block, h``) whose key two lines have."""
+def _shared(texts: DataFrame, entries: list[tuple[Column, ...]]) -> DataFrame:
+    """``h, key, longer, block`` of the blocks whose key two lines have.
+
+    ``entries`` are those of every row of ``texts``, which has ``h``. The keys are
+    counted without the blocks.
+    """
+    counted = texts.select("h", F.explode(F.array(*(key for key, _, _ in entries))).alias("key"))
+    named = [
+        F.struct(key.alias("key"), longer.alias("longer"), block.alias("block"))
+        for key, longer, block in entries
+    ]
+    keyed = texts.select("h", F.explode(F.array(*named)).alias("k")).select("h", "k.*")
     several = materialize(
-        keyed.groupBy("key")
+        counted.groupBy("key")
         .agg(F.min("h").alias("least"), F.max("h").alias("most"))
         .where(F.col("least") != F.col("most"))
         .select("key"),
@@ -89,15 +98,14 @@ def near_earlier(lines: DataFrame, first: DataFrame) -> DataFrame:
     a shorter line that equals a longer one's variant is one deletion away.
     """
     long_lines = lines.where(F.length("line") >= MIN_FUZZY).select("h", "line")
-    both = [
-        _keys(F.lit(0).cast("long"), F.col("line"), F.lit(longer), BLOCKS) for longer in (False, True)
+    whole = [
+        entry
+        for longer in (False, True)
+        for entry in _blocks(F.lit(0).cast("long"), F.col("line"), F.lit(longer), BLOCKS)
     ]
-    outer = long_lines.select("h", F.explode(F.concat(*both)).alias("k")).select("h", "k.*")
-    rows = _shared(outer)
-    inner = rows.select(
-        "h", F.explode(_keys(F.col("key"), F.col("block"), F.col("longer"), INNER_BLOCKS)).alias("k")
-    ).select("h", "k.*")
-    rows = _shared(inner).join(first, "h")
+    rows = _shared(long_lines, whole)
+    inner = _blocks(F.col("key"), F.col("block"), F.col("longer"), INNER_BLOCKS)
+    rows = _shared(rows, inner).join(first, "h")
     block, key = F.col("block"), F.col("key")
     places = F.filter(F.sequence(F.lit(1), F.length("block")), lambda i: i <= F.length("block"))
     places = F.when(F.length("block") > 0, places).otherwise(F.array().cast("array<int>"))
