@@ -6,6 +6,7 @@ row however many documents it holds.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -39,6 +40,10 @@ _CHUNK = 1 << 16
 SAMPLES = 6
 SAMPLE_SHINGLES = 3
 SAMPLE_CELL_ROWS = 60_000
+# Groups of up to PAIRED texts are compared pair by pair; in larger ones each
+# round compares MORE_CENTERS times as many texts as the last with all others.
+PAIRED = 8
+MORE_CENTERS = 8
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -309,17 +314,18 @@ def sample_fingerprints(hashes: np.ndarray) -> list[int]:
     return found
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+def _similar(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """``a, b`` of the pairs whose texts' shingle sets have that Jaccard similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @functools.lru_cache(64)
+        def shingles(text: str | None) -> np.ndarray:
+            return np.unique(shingle_hashes(lowered_words(text), words))
+
         for batch in batches:
             kept = []
-            for row, (one, other) in enumerate(zip(batch.column(2), batch.column(3))):
-                first, second = (
-                    np.unique(shingle_hashes(lowered_words(text.as_py()), words))
-                    for text in (one, other)
-                )
+            for one, other in zip(batch.column(2), batch.column(3)):
+                first, second = shingles(one.as_py()), shingles(other.as_py())
                 shared = len(np.intersect1d(first, second, assume_unique=True))
                 union = len(first) + len(second) - shared
                 kept.append(union == 0 or shared >= least * union)
@@ -328,9 +334,8 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
                 [batch.column(i).filter(mask) for i in range(2)], ["a", "b"]
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("one"))
-    other = texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
+    one = texts.select(F.col("rep").alias("a"), F.col("text").alias("one"))
+    other = texts.select(F.col("rep").alias("b"), F.col("text").alias("other"))
     return (
         pairs.join(one, "a")
         .join(other, "b")
@@ -339,6 +344,78 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
     )
 
 
+def checked_links(
+    members: DataFrame, texts: DataFrame, words: int = 5, least: float = 0.8
+) -> DataFrame:
+    """Links ``a, b`` that connect what all links within groups would connect.
+
+    ``members`` has ``group, rep, size`` (distinct shingles of the text),
+    ``texts`` has ``rep, text``. A round compares some members of a group, its
+    centers, with all others and then takes them out of the group, until those
+    left are connected. So two members are compared on whole texts, or their
+    sizes rule a link out, or checked links connect them already; copies that
+    one center connects are done in one round.
+    """
+    found = None
+    left = members.select("group", "rep", "size", F.col("rep").alias("root"))
+    turn = 0
+    while True:
+        left = materialize(left, "open-members")
+        groups = left.groupBy("group").agg(
+            F.count("*").alias("rows"),
+            F.min("rep").alias("first"),
+            F.min("root").alias("low"),
+            F.max("root").alias("high"),
+        )
+        # the same texts in all groups, so that most pairs are found repeatedly
+        draw = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
+        more = float(min(MORE_CENTERS**turn, 1 << 40)) if turn else 0.0
+        marked = left.join(groups.where(F.col("low") < F.col("high")), "group").select(
+            "group",
+            "rep",
+            "size",
+            "root",
+            (
+                (F.col("rows") <= PAIRED)
+                | (F.col("rep") == F.col("first"))
+                | (draw < more / F.col("rows"))
+            ).alias("center"),
+        )
+        marked = materialize(marked, "marked-members")
+        if marked.isEmpty():
+            break
+        centers = marked.where("center").select(
+            "group",
+            F.col("rep").alias("center_rep"),
+            F.col("size").alias("center_size"),
+            F.col("root").alias("center_root"),
+        )
+        sizes = F.least("size", "center_size") >= least * F.greatest("size", "center_size") - 1e-9
+        pairs = (
+            marked.join(centers, "group")
+            .where((F.col("root") != F.col("center_root")) & sizes)
+            .select(
+                F.least("rep", "center_rep").alias("a"), F.greatest("rep", "center_rep").alias("b")
+            )
+            .distinct()
+        )
+        similar = _similar(texts, materialize(pairs, "candidates"), words, least)
+        found = materialize(
+            similar if found is None else found.unionByName(similar), "checked-links"
+        )
+        roots = connected_components(found).select(F.col("node").alias("rep"), "root")
+        left = (
+            marked.where(~F.col("center"))
+            .select("group", "rep", "size")
+            .join(roots, "rep", "left")
+            .select("group", "rep", "size", F.coalesce("root", "rep").alias("root"))
+        )
+        turn += 1
+    if found is None:
+        found = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    return found
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: groups of copies and near copies.
 
@@ -346,9 +423,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     similarity of ``least`` or more, directly or over others. A SimHash of a whole
     text differs in about ten bits at 0.8, too far for a search in 64 bits, so
     texts are compared by SimHashes of samples of their shingles: candidates share
-    one within two bits, found by vantage points as for whole texts. A candidate
-    is checked, on whole texts, against the first text of every group it is in
-    and of every overlap of two groups, never against all members.
+    one within two bits, found by vantage points as for whole texts. The members
+    of a group are compared on whole texts until checked links connect them or
+    every pair that they don't connect was compared.
 
     Rows with a null id get no row. Texts without words are copies of each other.
     Rows that share an id are one document. An empty table gives an empty result.
@@ -356,13 +433,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                sample_fingerprints(shingle_hashes(lowered_words(text.as_py()), words))
-                for text in batch.column(3)
+            hashes = [
+                np.unique(shingle_hashes(lowered_words(text.as_py()), words))
+                for text in batch.column(1)
             ]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "one", "two", "fps"],
+                [
+                    batch.column(0),
+                    pa.array([len(h) for h in hashes], pa.int64()),
+                    pa.array([sample_fingerprints(h) for h in hashes], pa.list_(pa.int64())),
+                ],
+                ["rep", "size", "fps"],
             )
 
     text = F.concat_ws(" ", F.transform(F.split(F.coalesce("text", F.lit("")), GAP), ascii_lower))
@@ -372,43 +453,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
         F.xxhash64(F.lit(1), F.trim(text)).alias("two"),
         "text",
     )
-    read = materialize(
-        named.mapInArrow(prints, "doc_id long, one long, two long, fps array<long>"), "samples"
-    )
     # copies first: one document stands for all texts with the same words
     texts = materialize(
-        read.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")),
+        named.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")),
         "distinct-texts",
     )
-    members = texts.select("rep", F.posexplode("fps").alias("turn", "fp"))
+    read = texts.select("rep", "text").mapInArrow(prints, "rep long, size long, fps array<long>")
+    samples = materialize(read, "samples")
+    members = samples.select("rep", "size", F.explode("fps").alias("fp"))
     values = members.select("fp").distinct()
     links = hamming_links(materialize(values, "sample-values"), 2, SAMPLE_CELL_ROWS)
     roots = connected_components(links).select(F.col("node").alias("fp"), "root")
-    grouped = materialize(
-        members.join(roots, "fp", "left").select(
-            "rep", "turn", F.coalesce("root", "fp").alias("group")
-        ),
-        "sample-groups",
-    )
-    following = grouped.select(
-        "rep",
-        F.pmod(F.col("turn") - 1, F.lit(SAMPLES)).alias("turn"),
-        F.col("group").alias("next_group"),
+    grouped = (
+        members.join(roots, "fp", "left")
+        .select(F.coalesce("root", "fp").alias("group"), "rep", "size")
+        .distinct()
     )
-    both = grouped.join(following, ["rep", "turn"])
-    pairs = None
-    for frame, keys in ((grouped, ["group"]), (both, ["group", "next_group"])):
-        centers = frame.groupBy(*keys).agg(
-            F.min("rep").alias("center"), F.max("rep").alias("last")
-        ).where(F.col("center") < F.col("last"))
-        found = frame.join(centers, keys).where(F.col("rep") != F.col("center"))
-        found = found.select(F.col("rep").alias("a"), F.col("center").alias("b"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    similar = _similar(docs, materialize(pairs.distinct(), "candidates"), words, least)
-    classes = connected_components(similar)
+    classes = connected_components(checked_links(grouped, texts, words, least))
     smallest = classes.groupBy("root").agg(F.min("node").alias("smallest"))
     found = classes.join(smallest, "root").select(F.col("node").alias("rep"), "smallest")
-    known = texts.join(found, "rep", "left").select(
+    known = texts.select("one", "two", "rep").join(found, "rep", "left").select(
         "one", "two", F.coalesce("smallest", "rep").alias("component_id")
     )
-    return read.join(known, ["one", "two"]).select("doc_id", "component_id")
+    return named.drop("text").join(known, ["one", "two"]).select("doc_id", "component_id")

@@ -1,0 +1,51 @@
+import random
+
+from brute import components
+
+from tablecraft.llm import simhash
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similar(one, other):
+    one, other = shingles(one), shingles(other)
+    return len(one & other) >= 0.8 * len(one | other)
+
+
+def groups(spark, texts):
+    """``near_duplicates`` of the texts, and what brute force finds."""
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    return found, components(texts, lambda a, b: similar(texts[a], texts[b]))
+
+
+def chain(draw, length, links, step):
+    """Texts of ``length`` words, each ``step`` words further in one sequence."""
+    words = [f"w{draw.getrandbits(40)}" for _ in range(length + links * step)]
+    return [" ".join(words[i * step : i * step + length]) for i in range(links + 1)]
+
+
+def test_members_are_compared_with_each_other_too(spark):
+    """A and C of a chain A~B~C are unlike; all share a group, whose first text is A."""
+    draw = random.Random(1)
+    texts, members = {}, []
+    for at in range(40):
+        for text in chain(draw, 104, 2, 11):
+            members.append((at, len(texts), len(shingles(text))))
+            texts[len(texts)] = text
+    # one large group: many centers are needed, and all chains stay apart
+    members += [(99, i, 100) for _, i, _ in members]
+    links = simhash.checked_links(
+        spark.createDataFrame(members, "group long, rep long, size long"),
+        spark.createDataFrame(list(texts.items()), "rep long, text string"),
+    )
+    roots = {
+        r["node"]: r["root"] for r in simhash.connected_components(links).collect()
+    }
+    for first in range(0, 120, 3):
+        assert similar(texts[first], texts[first + 1]) and not similar(texts[first], texts[first + 2])
+        assert len({roots[first + i] for i in range(3)}) == 1
+    assert len(set(roots.values())) == 40
