@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +35,12 @@ SAMPLE = 512
 LEAF = 256
 HASH_SEED = 42
 _CHUNK = 1 << 16
-# Fingerprints of samples: so many per text, each of the shingles with the
-# smallest numbers in an order of its own. Texts with similarity s have an equal
-# sample with chance s ** 3, and one in six with 0.986 at s = 0.8.
-SAMPLES = 6
-SAMPLE_SHINGLES = 3
-SAMPLE_CELL_ROWS = 60_000
+# Shingles that occur in many texts are ordered last, as far as a share of the
+# texts, or so many of them, show. This bears on cost only: any order is exact.
+COUNTED_SHARE = 1 / 16
+COUNTED_TEXTS = 1 << 15
+COMMON_FROM = 4
+COMMON_SHINGLES = 1 << 20
 # Groups of up to PAIRED texts are compared pair by pair; in larger ones each
 # round compares MORE_CENTERS times as many texts as the last with all others.
 PAIRED = 8
@@ -299,19 +300,103 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
-def sample_fingerprints(hashes: np.ndarray) -> list[int]:
-    """SimHash of each sample of a text's distinct shingles; none without shingles."""
-    distinct = np.unique(hashes)
-    found = []
-    for turn in range(SAMPLES if len(distinct) else 0):
-        order = (distinct ^ np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(
-            0xD6E8FEB86659FD93
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the most common shingles of some texts.
+
+    ``texts`` has ``rep, text``. At most COMMON_SHINGLES reach the driver; the
+    least count among them comes from a histogram of 16 steps per power of two.
+    """
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for text in batch.column(0):
+                rows.append(np.unique(shingle_hashes(lowered_words(text.as_py()), words)))
+                size += len(rows[-1])
+                if size >= _CHUNK:
+                    yield together(rows)
+                    rows, size = [], 0
+            if rows:
+                yield together(rows)
+
+    def together(rows: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.concatenate(rows).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(hashes)], ["shingle"])
+
+    share = max(COUNTED_SHARE, COUNTED_TEXTS / max(texts.count(), 1))
+    draw = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    counted = materialize(
+        texts.where(draw < share)
+        .select("text")
+        .mapInArrow(distinct, "shingle long")
+        .groupBy("shingle")
+        .count()
+        .where(F.col("count") >= COMMON_FROM)
+        .withColumn("step", F.floor(F.log2("count") * 16)),
+        "common-shingles",
+    )
+    least, total = 1 << 62, 0
+    steps = counted.groupBy("step").agg(F.count("*").alias("rows")).collect()
+    for row in sorted(steps, reverse=True):
+        total += row["rows"]
+        if total > COMMON_SHINGLES:
+            break
+        least = row["step"]
+    table = counted.where(F.col("step") >= least).orderBy("shingle").toArrow()
+    return table.column("shingle").to_numpy(), table.column("count").to_numpy()
+
+
+def prefix(
+    shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float
+) -> np.ndarray:
+    """The first of a text's distinct shingles, those not in ``common`` first.
+
+    Sets with a Jaccard similarity of ``least`` share that part of the larger
+    one's n shingles, so in one order of all shingles the first that they share
+    is among the first n - least * n + 1 of both.
+    """
+    known = shingles.view(np.int64)
+    at = np.minimum(np.searchsorted(common, known), max(len(common) - 1, 0))
+    often = np.where(common[at] == known, counts[at], 0) if len(common) else np.zeros(len(known))
+    mixed = shingles * np.uint64(0x9E3779B97F4A7C15)
+    size = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1
+    return known[np.lexsort((mixed, often))[:size]]
+
+
+def prefix_members(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """``group, rep, size``: the shingles in the prefixes of two texts or more."""
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                shingles = np.unique(shingle_hashes(lowered_words(text.as_py()), words))
+                if len(shingles):
+                    first = prefix(shingles, *common.value, least)
+                    rows.append((first, rep, len(shingles)))
+                    size += len(first)
+                if size >= _CHUNK:
+                    yield together(rows)
+                    rows, size = [], 0
+            if rows:
+                yield together(rows)
+
+    def together(rows: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        firsts, reps, sizes = zip(*rows)
+        lengths = [len(first) for first in firsts]
+        columns = (np.concatenate(firsts), np.repeat(reps, lengths), np.repeat(sizes, lengths))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(column, pa.int64()) for column in columns], ["group", "rep", "size"]
         )
-        order ^= order >> np.uint64(32)
-        order *= np.uint64(0x9E3779B97F4A7C15)
-        size = min(SAMPLE_SHINGLES, len(distinct))
-        found.append(majority_bits(order[np.argpartition(order, size - 1)[:size]]))
-    return found
+
+    rows = materialize(
+        texts.select("rep", "text").mapInArrow(prefixes, "group long, rep long, size long"),
+        "prefixes",
+    )
+    groups = rows.groupBy("group").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    shared = groups.where(F.col("low") < F.col("high")).select("group")
+    return rows.join(shared, "group")
 
 
 def _similar(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -420,32 +505,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     """``doc_id, component_id``: groups of copies and near copies.
 
     Texts belong together if their sets of ``words``-word shingles have a Jaccard
-    similarity of ``least`` or more, directly or over others. A SimHash of a whole
-    text differs in about ten bits at 0.8, too far for a search in 64 bits, so
-    texts are compared by SimHashes of samples of their shingles: candidates share
-    one within two bits, found by vantage points as for whole texts. The members
-    of a group are compared on whole texts until checked links connect them or
-    every pair that they don't connect was compared.
+    similarity of ``least`` or more, directly or over others. The search is exact:
+    two such texts share a shingle of their prefixes, and texts that do are
+    compared on whole texts until checked links connect them or every pair that
+    they don't connect was compared. SimHash plays no part: at 0.8 a whole text's
+    differs in about ten bits, too far for a search in 64 bits.
 
     Rows with a null id get no row. Texts without words are copies of each other.
     Rows that share an id are one document. An empty table gives an empty result.
     """
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [
-                np.unique(shingle_hashes(lowered_words(text.as_py()), words))
-                for text in batch.column(1)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(h) for h in hashes], pa.int64()),
-                    pa.array([sample_fingerprints(h) for h in hashes], pa.list_(pa.int64())),
-                ],
-                ["rep", "size", "fps"],
-            )
-
     text = F.concat_ws(" ", F.transform(F.split(F.coalesce("text", F.lit("")), GAP), ascii_lower))
     named = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long"),
@@ -458,18 +527,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
         named.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")),
         "distinct-texts",
     )
-    read = texts.select("rep", "text").mapInArrow(prints, "rep long, size long, fps array<long>")
-    samples = materialize(read, "samples")
-    members = samples.select("rep", "size", F.explode("fps").alias("fp"))
-    values = members.select("fp").distinct()
-    links = hamming_links(materialize(values, "sample-values"), 2, SAMPLE_CELL_ROWS)
-    roots = connected_components(links).select(F.col("node").alias("fp"), "root")
-    grouped = (
-        members.join(roots, "fp", "left")
-        .select(F.coalesce("root", "fp").alias("group"), "rep", "size")
-        .distinct()
-    )
-    classes = connected_components(checked_links(grouped, texts, words, least))
+    members = prefix_members(texts, words, least)
+    classes = connected_components(checked_links(members, texts, words, least))
     smallest = classes.groupBy("root").agg(F.min("node").alias("smallest"))
     found = classes.join(smallest, "root").select(F.col("node").alias("rep"), "smallest")
     known = texts.select("one", "two", "rep").join(found, "rep", "left").select(

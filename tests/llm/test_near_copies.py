@@ -49,3 +49,41 @@ def test_members_are_compared_with_each_other_too(spark):
         assert similar(texts[first], texts[first + 1]) and not similar(texts[first], texts[first + 2])
         assert len({roots[first + i] for i in range(3)}) == 1
     assert len(set(roots.values())) == 40
+
+
+def test_no_similar_pair_is_missed(spark):
+    """Pairs and chains at just 0.8: sampling missed some of 300."""
+    draw = random.Random(2)
+    texts = {}
+    for _ in range(300):
+        for text in chain(draw, 104, 1 + draw.randrange(2), 11):
+            texts[len(texts)] = text
+    found, expected = groups(spark, dict(random.Random(3).sample(sorted(texts.items()), len(texts))))
+    assert found == expected
+    assert len(set(expected.values())) == 300
+
+
+def test_near_copies_that_hold_a_common_passage(spark):
+    draw = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {}
+    for at in range(60):
+        for text in chain(draw, 44, at % 2, 4):
+            texts[len(texts)] = f"{passage} {text}"
+    found, expected = groups(spark, texts)
+    assert found == expected and len(set(expected.values())) == 60
+
+
+def test_prefix_is_within_both_whatever_is_common():
+    draw = random.Random(5)
+    import numpy as np
+
+    for _ in range(200):
+        shared = [draw.getrandbits(64) for _ in range(draw.randrange(1, 60))]
+        extra = [draw.getrandbits(64) for _ in range(len(shared) // 4)]
+        cut = draw.randrange(len(extra) + 1)
+        one, other = (np.unique(np.array(shared + e, np.uint64)) for e in (extra[:cut], extra[cut:]))
+        common = np.sort(one.view(np.int64)[:: draw.randrange(1, 4)])
+        counts = np.array([draw.randrange(4, 9) for _ in common])
+        first, second = (simhash.prefix(x, common, counts, 0.8) for x in (one, other))
+        assert set(first.tolist()) & set(second.tolist())
