@@ -29,9 +29,13 @@ CLASSES = (
 )
 MARK, BLANK = 5, 6
 COMMON_WORDS = 16
-# A language needs this share of all documents for a reference of its own, so
-# there are at most 10,000 references; others use the one over all documents.
+# A language needs this share of all documents, or so many of them, for a reference
+# of its own, and the most common ones get it: MAX_LANGUAGES is above the number
+# of languages there are, and as many as can have that share. Documents of others
+# are measured against all documents, which rejects none of them.
 LANGUAGE_SHARE = 1e-4
+LANGUAGE_DOCS = 20
+MAX_LANGUAGES = 10_000
 # Too short texts have no reliable histogram.
 MIN_CHARS = 200
 MIN_HISTOGRAM_WORDS = 100
@@ -158,7 +162,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """Histograms of each common language, and of all documents (null ``of``).
+    """Histograms of each language, and of all documents (null ``of``).
 
     ``of, class_shares, common, common_shares``: shares of the character
     classes, the most frequent words (as they are written) and their shares of
@@ -178,8 +182,11 @@ def references(docs: DataFrame) -> DataFrame:
     everything = Window.partitionBy(F.lit(0))
     own = (
         by_language.withColumn("share", F.col("docs") / F.sum("docs").over(everything))
-        .where((F.col("share") >= LANGUAGE_SHARE) & F.col("lang").isNotNull())
+        .where((F.col("share") >= LANGUAGE_SHARE) | (F.col("docs") >= LANGUAGE_DOCS))
+        .where(F.col("lang").isNotNull())
         .drop("share")
+        .orderBy(F.desc("docs"), "lang")
+        .limit(MAX_LANGUAGES)
     )
     pooled = by_language.groupBy(F.lit(None).cast("string").alias("lang")).agg(
         *(F.sum(name).alias(name) for name in by_language.columns[1:])
@@ -277,8 +284,9 @@ def judge(docs: DataFrame) -> DataFrame:
     all under names with two leading underscores. A null text counts as empty and fails the
     base rules; texts below the minimum lengths have null distances, which
     reject nothing. A null language, or one too rare for a reference, is
-    compared with all documents together. Repeated rows are judged alike; an
-    empty table gives an empty result.
+    compared with all documents together, and its distances reject nothing
+    either, as they measure the language and not the document. Repeated rows are
+    judged alike; an empty table gives an empty result.
     """
     known = F.broadcast(materialize(references(docs), "language-references"))
     measured = measures(docs).join(
@@ -316,8 +324,9 @@ def judge(docs: DataFrame) -> DataFrame:
     failed = (F.col("__n_words") < MIN_WORDS) | (
         100 * F.col("__n_repeat_words") > MAX_REPEATED_PERCENT * F.col("__n_words")
     )
-    far = (F.coalesce("__class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (
-        F.coalesce("__word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE
+    far = F.col("__own").isNotNull() & (
+        (F.coalesce("__class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE)
+        | (F.coalesce("__word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     )
     figures = [name for name in judged.columns if name.startswith("__")]
     return judged.select(

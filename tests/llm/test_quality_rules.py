@@ -97,3 +97,29 @@ def test_distance_is_zero_for_the_reference_and_one_for_disjoint(spark):
     ).first()
     assert (row["same"], row["apart"], row["none"]) == (0.0, 1.0, 1.0)
     assert row["words"] < 1e-6
+
+
+def test_documents_without_a_reference_of_their_own(spark):
+    """Clean Arabic texts among Latin ones stay: null, very rare and rare languages."""
+
+    def text(letters, at):
+        return " ".join(letters[(at * 7 + i * i) % 20 :][:3] + letters[i % 17] * (i % 4 + 1)
+                        for i in range(120))
+
+    arabic = "".join(map(chr, range(0x0627, 0x063B))) + "فقكلمن"
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, text(arabic, i), lang) for i, lang in enumerate([None] * 3 + ["fa"] * 3 + ["ar"] * 25)]
+    junk = (len(rows), "#$% 1234 " * 3 + " ".join(f"{i}#%{i * i}$" for i in range(99)), "ar")
+    rows.append(junk)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = spark.range(1000, 401_000, numPartitions=8).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 2000 == 0, text(latin, 1)).otherwise("a b").alias("text"),
+        F.lit("en").alias("lang"),
+    )
+    judged = quality_rules.judge(docs.unionByName(many)).where("doc_id < 1000").collect()
+    assert len(judged) == len(rows)
+    for row in judged:
+        assert not row["__base_failed"]
+        assert row["__kept"] == (row["doc_id"] != junk[0])
+    assert all(r["__class_distance"] > 0.3 for r in judged if r["lang"] != "ar")
