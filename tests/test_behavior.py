@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import rows
+from results import rows
 from pyspark.sql import functions as F
 
 from tablecraft.operators import behavior

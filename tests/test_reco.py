@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import rows
+from results import rows
 from pyspark.ml.evaluation import RankingEvaluator
 from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 import retail_data as data
-from conftest import rows
+from results import rows
 from pyspark.sql import functions as F
 
 from tablecraft.operators.quality import QualityError, assert_non_empty, assert_unique

@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from conftest import rows
+from results import rows
 
 from tablecraft.operators.latest import latest_features
 from tablecraft.streaming.feature_view import read_feature_view, sync_feature_view
