@@ -18,6 +18,7 @@ from tablecraft.llm import (
     quality_model,
     quality_rules,
     simhash,
+    suffix_dedup,
     url_filter,
 )
 from tablecraft.llm.shipping import ship_package
@@ -91,6 +92,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.removals(docs).drop("text")
+
+
 _REGISTERED = (
     op1_language_id,
     op2_line_dedup,
@@ -102,6 +108,7 @@ _REGISTERED = (
     op8_url_filters,
     op9_mixing_sources,
     op10_simhash_near_dedup,
+    op13_suffix_array_dedup,
 )
 
 
