@@ -15,6 +15,7 @@ from tablecraft.llm import (
     lm_scoring,
     mixing,
     packing,
+    prefix_trie,
     quality_model,
     quality_rules,
     simhash,
@@ -92,6 +93,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_nodes(prefix_trie.with_shared_heads(turns))
+
+
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.removals(docs).drop("text")
@@ -108,6 +114,7 @@ _REGISTERED = (
     op8_url_filters,
     op9_mixing_sources,
     op10_simhash_near_dedup,
+    op12_prefix_trie,
     op13_suffix_array_dedup,
 )
 
