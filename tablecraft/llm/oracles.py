@@ -176,5 +176,99 @@ FROM documents d LEFT JOIN (
     FROM part GROUP BY doc_id) p ON p.doc_id = d.doc_id"""
 
 
+NEGATIVES = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS y
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+           list_dot_product(a.y, b.y)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+positive AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id
+                          ORDER BY n.score DESC, n.other)::INT AS rank,
+       n.other AS negative_id, p.positive_score, n.score AS negative_score
+FROM positive p JOIN scored n
+  ON n.anchor_id = p.anchor_id AND NOT n.same
+ AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10"""
+
+# DuckDB has no CRC-32; 3988292384 is its polynomial, bits reversed.
+TRIE = """
+WITH crc AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+convs AS (
+    SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+                         ORDER BY turn NULLS FIRST) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+taken AS (
+    SELECT conv_id, turns, xor(list_reduce(
+        list_prepend(4294967295, list_transform(range(1, len(conv_id::VARCHAR) + 1),
+                     lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+        lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) % 9 AS h
+    FROM convs, crc),
+built AS (
+    SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []),
+                                  c.turns[c.h + 1:len(c.turns)]) AS turns
+    FROM taken c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+walk AS (
+    SELECT conv_id, d, turns[1:d] AS node, d = len(turns) AS ends
+    FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+nodes AS (
+    SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids
+    FROM walk GROUP BY node, d),
+child AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (
+    SELECT n.*, coalesce(c.n, 0) AS n_children,
+           CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(node[d].t) END AS saved
+    FROM nodes n LEFT JOIN child c USING (node, d)),
+below AS (
+    SELECT node[1:a] AS node, a AS d, sum(saved)::BIGINT AS saved_tokens,
+           sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM known) GROUP BY ALL)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children,
+       b.n_leaves, b.saved_tokens, sha256(k.ids) AS ends_sha256
+FROM known k JOIN below b USING (node, d)
+LEFT JOIN nodes p ON k.d > 0 AND p.d = k.d - 1 AND p.node = k.node[1:k.d - 1]"""
+
+REPEATS = """
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h
+    FROM documents),
+win AS (
+    SELECT r, p, substr(h, 2 * p + 1, 400) AS w
+    FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM doc)),
+hit AS (SELECT r, p FROM win WHERE md5(w) IN (SELECT md5(w) FROM win GROUP BY 1 HAVING count(*) > 1)),
+run AS (
+    SELECT r, p, count(*) FILTER (far) OVER (PARTITION BY r ORDER BY p) AS run
+    FROM (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) > 200 AS far FROM hit)),
+span AS (SELECT r, run, min(p) AS a, max(p) + 200 AS b FROM run GROUP BY r, run),
+gap AS (
+    SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS from_ FROM span),
+cut AS (
+    SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+           string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS kept
+    FROM gap JOIN doc USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM doc LEFT JOIN cut USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINES, "op7_quality_rules": QUALITY, "op9_mixing_sources": MIXING}
+    return {
+        "op2_line_dedup": LINES,
+        "op7_quality_rules": QUALITY,
+        "op9_mixing_sources": MIXING,
+        "op11_hard_negatives": NEGATIVES,
+        "op12_prefix_trie": TRIE,
+        "op13_suffix_array_dedup": REPEATS,
+    }

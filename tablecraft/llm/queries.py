@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecraft.llm import (
+    hard_negatives,
     imatch,
     language_id,
     line_dedup,
@@ -93,6 +94,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform(
+        "embedding",
+        lambda x: F.when(F.abs(x) < float("inf"), F.floor(x.cast("double") * 256)),
+    )
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", moved.alias("label"), whole.alias("vector")
+    )
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_nodes(prefix_trie.with_shared_heads(turns))
@@ -114,6 +128,7 @@ _REGISTERED = (
     op8_url_filters,
     op9_mixing_sources,
     op10_simhash_near_dedup,
+    op11_hard_negatives,
     op12_prefix_trie,
     op13_suffix_array_dedup,
 )
