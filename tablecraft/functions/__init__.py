@@ -1,11 +1,7 @@
 from tablecraft.functions.aggregates import (
     count_if,
-    exact_avg,
-    exact_sum,
     money,
     sum_if,
-    sum_units,
-    to_units,
 )
 from tablecraft.functions.dates import as_date, shift_date, within_dates
 from tablecraft.functions.scalars import (
@@ -25,8 +21,6 @@ __all__ = [
     "as_date",
     "at_threshold",
     "count_if",
-    "exact_avg",
-    "exact_sum",
     "flag",
     "log1p",
     "map_value",
@@ -37,9 +31,7 @@ __all__ = [
     "safe_divide",
     "shift_date",
     "sum_if",
-    "sum_units",
     "tier",
     "to_double",
-    "to_units",
     "within_dates",
 ]

@@ -10,58 +10,6 @@ def money(value: Column, scale: int = 2) -> Column:
     return value.cast(f"decimal(18,{scale})")
 
 
-# Decimals that amounts may have, unless the caller declares another number.
-SCALE = 6
-
-
-def to_units(value: Column, scale: int = SCALE) -> Column:
-    """An amount as a whole number of its smallest unit (millionths for scale 6).
-
-    An amount with more decimals than ``scale``, or too large for it, is an
-    error: rounding it here would add up to a wrong total.
-    """
-    units = F.rint(value * F.lit(10.0**scale)).cast("bigint")
-    off = F.abs(value - units / F.lit(10.0**scale))
-    fits = off <= F.lit(1e-12) + F.abs(value) * F.lit(1e-14)
-    return F.when(fits | value.isNull(), units).otherwise(
-        F.raise_error(F.concat(F.lit(f"more than {scale} decimals: "), value.cast("string"))).cast(
-            "bigint"
-        )
-    )
-
-
-def sum_units(units: Column, scale: int = SCALE) -> Column:
-    """Exact total of whole units, as an amount (double).
-
-    Adds the high and the low 20 bits separately: two long additions per row
-    stay in primitive code, which is several times faster than adding decimals,
-    and neither can overflow below 2**43 rows per group.
-    """
-    low_bits = 20
-    high = F.sum(F.shiftright(units, low_bits)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND((1 << low_bits) - 1)).cast("decimal(20,0)")
-    total = high * F.lit(1 << low_bits).cast("decimal(7,0)") + low
-    return total.cast("double") / F.lit(float(10**scale))
-
-
-def exact_sum(value: Column, scale: int = SCALE) -> Column:
-    """Sum of amounts with up to ``scale`` decimals, independent of row order.
-
-    Amounts arrive as doubles; adding them as whole units gives the same total
-    whatever the partitioning or a task retry does to the order. As in a plain
-    sum, NaN or an infinite amount decides the total.
-    """
-    value = value.cast("double")
-    odd = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    units = to_units(F.when(~odd, value), scale)
-    return F.coalesce(F.sum(F.when(odd, value)), sum_units(units, scale))
-
-
-def exact_avg(value: Column, scale: int = SCALE) -> Column:
-    """Average over the non-NULL amounts, from the exact sum."""
-    return F.try_divide(exact_sum(value, scale), F.count(value).cast("double"))
-
-
 def sum_if(condition: Column, value: Column) -> Column:
     """Sum over the matching rows; 0 where none matches."""
     return F.sum(F.when(condition, value).otherwise(F.lit(0)))

@@ -12,17 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecraft.functions import (
-    as_date,
-    count_if,
-    safe_divide,
-    sum_units,
-    to_units,
-    within_dates,
-)
+from tablecraft.functions import as_date, count_if, safe_divide, within_dates
+from tablecraft.operators.exact import digits, total
 
 LOOKBACK_DAYS = 90
+PURCHASE_DAYS = 30
+SESSION_DAYS = 7
 SESSION_GAP_SECONDS = 6 * 3600
+# With a longer gap, a session that the lookback cuts could start anew inside
+# the days in which sessions are counted.
+LONGEST_GAP_SECONDS = (LOOKBACK_DAYS - PURCHASE_DAYS - 1) * 86_400
 
 
 def user_behavioral(
@@ -42,126 +41,161 @@ def user_behavioral(
 
     Two events of one user inside the same slot of ``session_gap_seconds`` are
     always in the same session, so events are first reduced to one row per
-    user, date and slot with a map-side combine. The session window then sees a
-    number of rows per user bounded by the calendar, however active the user.
+    user, date and slot with a map-side combine (and to one per user for all
+    dates before the lookback). The session window then sees a number of rows
+    per user bounded by the calendar, however active the user.
+
+    Sessions are found once, whatever the number of snapshots: counts, tickets
+    and purchases of a snapshot are sums over the days of its window. A session
+    that is open at a snapshot counts as long as it has lasted by then. For
+    that, each day of a session adds its seconds on that day, and takes them
+    back when the session's start leaves the window.
     """
+    if not 0 < session_gap_seconds <= LONGEST_GAP_SECONDS:
+        raise ValueError(f"a session gap has from 1 to {LONGEST_GAP_SECONDS} seconds")
     single = isinstance(as_of, (str, dt.date))
     dates = sorted({as_date(value) for value in ([as_of] if single else as_of)})
-    oldest = dates[0] - dt.timedelta(days=LOOKBACK_DAYS - 1)
+    slots = _slots(events, dates, session_gap_seconds, login_types, ticket_types, purchase_type)
+    days = _user_days(slots, session_gap_seconds)
+    return _at_snapshots(days, dates)
 
-    slots = (
-        events.where(within_dates(events, "ts", oldest, dates[-1]))
-        .groupBy(
-            "user_id",
-            F.to_date("ts").alias("event_date"),
-            _slot_of_day(events, session_gap_seconds).alias("slot"),
-        )
-        .agg(
-            F.min("ts").alias("first_ts"),
-            F.max("ts").alias("last_ts"),
-            F.sum(F.when(F.col("event_type") == purchase_type, to_units(F.col("value")))).alias(
-                "purchases"
-            ),
-            count_if(F.col("event_type").isin(*ticket_types)).alias("tickets"),
-        )
-    )
 
-    snapshots = slots.withColumn(
-        "feature_date", F.explode(F.array(*[F.lit(value) for value in dates]))
-    ).where(
-        (F.col("event_date") <= F.col("feature_date"))
-        & (F.col("event_date") > F.date_sub("feature_date", LOOKBACK_DAYS))
-    )
+def _slots(
+    events: DataFrame,
+    dates: Sequence[dt.date],
+    gap_seconds: int,
+    login_types: Sequence[str],
+    ticket_types: Sequence[str],
+    purchase_type: str,
+) -> DataFrame:
+    """One row per user, date, slot and band of amounts; ``day`` counts from 1970.
 
-    timeline = Window.partitionBy("user_id", "feature_date").orderBy("first_ts")
-    idle = F.col("first_ts") - F.lag("last_ts").over(timeline)
-    gap = F.expr(f"INTERVAL '{session_gap_seconds}' SECOND")
-    opens_session = F.coalesce(idle >= gap, F.lit(True))
-    so_far = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sessions = (
-        snapshots.withColumn("opens", opens_session.cast("int"))
-        .withColumn("session_no", F.sum("opens").over(so_far))
-        .groupBy("user_id", "feature_date", "session_no")
-        .agg(
-            F.to_date(F.min("first_ts")).alias("started_on"),
-            _seconds(F.max("last_ts") - F.min("first_ts")).alias("duration_s"),
-            F.sum(F.when(_in_window("event_date", 30), F.col("purchases"))).alias("purchases_30d"),
-            F.sum("tickets").alias("tickets"),
-        )
+    All events before the lookback of the first snapshot are one row of a user
+    without date, which keeps the last login only.
+    """
+    oldest = dates[0] - dt.timedelta(days=LOOKBACK_DAYS - 1)
+    date = F.to_date("ts")
+    inside = date >= F.lit(oldest)
+    known = events.where(within_dates(events, "ts", None, dates[-1])).select(
+        "user_id",
+        "ts",
+        date.alias("date"),
+        F.when(inside, date).alias("event_date"),
+        F.when(inside, _slot_of_day(events, gap_seconds)).alias("slot"),
+        (inside & F.col("event_type").isin(*ticket_types)).alias("ticket"),
+        F.col("event_type").isin(*login_types).alias("login"),
+        F.when(inside & (F.col("event_type") == purchase_type), F.col("value")).alias("paid"),
     )
-
-    recent = _in_window("started_on", 7)
-    windows = sessions.groupBy(
-        F.col("user_id").alias("of_user"), F.col("feature_date").alias("of_date")
+    split = known.withColumn("paid", digits("paid"))
+    parts = ("high", "middle", "low")
+    return split.groupBy(
+        "user_id", "event_date", "slot", F.col("paid.band").alias("band")
     ).agg(
-        count_if(recent).alias("session_count_7d"),
-        count_if(_in_window("started_on", 30)).alias("session_count_30d"),
-        F.coalesce(sum_units(F.col("purchases_30d")), F.lit(0.0)).alias("total_purchases_30d"),
-        F.sum("tickets").alias("support_tickets_90d"),
-        safe_divide(F.sum(F.when(recent, F.col("duration_s"))), count_if(recent)).alias(
-            "avg_session_duration_s"
-        ),
-    )
-    same = F.col("user_id").eqNullSafe(F.col("of_user")) & (
-        F.col("feature_date") == F.col("of_date")
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.min("date").alias("first_date"),
+        F.max(F.when(F.col("login"), F.col("date"))).alias("last_login"),
+        count_if(F.col("ticket")).alias("tickets"),
+        *[F.sum(f"paid.{part}").alias(part) for part in parts],
     )
 
-    def counted(name: str) -> Column:
-        return F.coalesce(name, F.lit(0)).cast(windows.schema[name].dataType).alias(name)
-
-    return (
-        _last_logins(events, dates, login_types)
-        .join(windows, same, "left")
-        .select(
-            "user_id",
-            "feature_date",
-            counted("session_count_7d"),
-            counted("session_count_30d"),
-            counted("total_purchases_30d"),
-            "days_since_last_login",
-            counted("support_tickets_90d"),
-            "avg_session_duration_s",
-        )
+
+def _user_days(slots: DataFrame, gap_seconds: int) -> DataFrame:
+    """What each day of a session adds, and one row for a user's earlier events."""
+    timeline = Window.partitionBy("user_id").orderBy("first_ts", "last_ts", "band")
+    before = timeline.rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col("event_date").isNotNull(), F.col("last_ts"))
+    idle = F.col("first_ts") - F.max(seen).over(before)
+    gap = F.expr(f"INTERVAL '{gap_seconds}' SECOND")
+    opens = F.col("event_date").isNotNull() & F.coalesce(idle >= gap, F.lit(True))
+    so_far = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = slots.withColumns(
+        {"opens": opens.cast("int"), "leads": F.row_number().over(timeline) == 1}
+    )
+    numbered = marked.withColumn("session_no", F.sum("opens").over(so_far))
+    paid = F.when(F.col("band").isNotNull(), F.struct("band", "high", "middle", "low"))
+    days = numbered.groupBy("user_id", "session_no", "event_date").agg(
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_login").alias("last_login"),
+        F.max("leads").alias("leads"),
+        F.sum("tickets").alias("tickets"),
+        F.collect_list(paid).alias("paid"),
     )
+    session = Window.partitionBy("user_id", "session_no").orderBy(F.asc_nulls_last("event_date"))
+    whole = session.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    started = F.min(F.when(F.col("event_date").isNotNull(), F.col("first_ts"))).over(whole)
+    last = F.coalesce(F.lag("last_ts").over(session), "first_ts")
+    return days.withColumns(
+        {"started_on": F.to_date(started), "seconds": _seconds(F.col("last_ts") - last)}
+    ).drop("first_ts", "last_ts")
+
+
+def _at_snapshots(days: DataFrame, dates: Sequence[dt.date]) -> DataFrame:
+    """Windows over the days of a user, read off at the snapshots."""
+    none, nothing = F.lit(0).cast("bigint"), F.lit(0).cast("decimal(20,6)")
+    no_date = F.lit(None).cast("date")
+    empty = F.array().cast(days.schema["paid"].dataType)
+
+    def row(day: Column, date: Column = no_date, **known: Column) -> Column:
+        fields = {"started": none, "tickets": none, "seconds": nothing, "paid": empty,
+                  "last_login": no_date, "first_date": no_date} | known
+        columns = [value.alias(name) for name, value in fields.items()]
+        return F.struct(F.unix_date(day).alias("day"), date.alias("feature_date"), *columns)
+
+    # Rows from before the lookback lie before every window of days.
+    long_ago = F.lit(dates[0] - dt.timedelta(days=2 * LOOKBACK_DAYS))
+    on = F.coalesce("event_date", long_ago)
+    dated = F.col("event_date").isNotNull()
+    first = dated & (F.col("event_date") == F.col("started_on"))
+    gone_on = F.date_add("started_on", SESSION_DAYS)
+    counted = dated & (F.col("event_date") < gone_on)
+    own = row(
+        on,
+        started=F.when(first, 1).otherwise(0).cast("bigint"),
+        tickets=F.col("tickets"),
+        seconds=F.when(counted, F.col("seconds")).otherwise(nothing),
+        paid=F.col("paid"),
+        last_login=F.col("last_login"),
+        first_date=F.col("first_date"),
+    )
+    back = row(gone_on, seconds=-F.col("seconds"))
+    asked = F.array(*[row(F.lit(date), F.lit(date)) for date in dates])
+    taken_back = F.when(counted, F.array(back))
+    questions = F.when(F.col("leads"), asked)
+    rows = F.flatten(F.array_compact(F.array(F.array(own), taken_back, questions)))
+    events = days.select("user_id", F.explode(rows).alias("r")).select("user_id", "r.*")
 
+    by_day = Window.partitionBy("user_id").orderBy("day")
 
-def _last_logins(
-    events: DataFrame, dates: Sequence[dt.date], login_types: Sequence[str]
-) -> DataFrame:
-    """``user_id, feature_date, days_since_last_login`` of all users seen by then.
+    def within(count: int) -> Window:
+        return by_day.rangeBetween(1 - count, 0)
 
-    One row per user leaves the aggregate, with the last login before each
-    snapshot; snapshots become rows after it.
-    """
-    day = F.to_date("ts")
-    login = F.col("event_type").isin(*login_types)
-    per_user = (
-        events.where(within_dates(events, "ts", None, dates[-1]))
-        .groupBy("user_id")
-        .agg(
-            F.min(day).alias("first_seen"),
-            *(
-                F.max(F.when(login & (day <= F.lit(date)), day)).alias(f"login_{i}")
-                for i, date in enumerate(dates)
-            ),
-        )
-    )
-    snapshots = F.array(
-        *(
-            F.struct(F.lit(date).alias("feature_date"), F.col(f"login_{i}").alias("last_login"))
-            for i, date in enumerate(dates)
-        )
+    so_far = by_day.rangeBetween(Window.unboundedPreceding, 0)
+    recent = F.sum("started").over(within(SESSION_DAYS))
+    read = events.select(
+        "user_id",
+        "feature_date",
+        recent.alias("session_count_7d"),
+        F.sum("started").over(within(PURCHASE_DAYS)).alias("session_count_30d"),
+        F.flatten(F.collect_list("paid").over(within(PURCHASE_DAYS))).alias("paid"),
+        F.datediff("feature_date", F.max("last_login").over(so_far))
+        .cast("bigint")
+        .alias("days_since_last_login"),
+        F.sum("tickets").over(within(LOOKBACK_DAYS)).alias("support_tickets_90d"),
+        safe_divide(F.sum("seconds").over(so_far), recent).alias("avg_session_duration_s"),
+        F.min("first_date").over(so_far).alias("first_date"),
     )
-    return (
-        per_user.select("user_id", "first_seen", F.explode(snapshots).alias("s"))
-        .where(F.col("first_seen") <= F.col("s.feature_date"))
-        .select(
-            "user_id",
-            "s.feature_date",
-            F.datediff("s.feature_date", "s.last_login")
-            .cast("bigint")
-            .alias("days_since_last_login"),
-        )
+    return read.where(F.col("feature_date").isNotNull() & F.col("first_date").isNotNull()).select(
+        "user_id",
+        "feature_date",
+        "session_count_7d",
+        "session_count_30d",
+        F.coalesce(total("paid"), F.lit(0.0)).alias("total_purchases_30d"),
+        "days_since_last_login",
+        "support_tickets_90d",
+        "avg_session_duration_s",
     )
 
 
@@ -223,7 +257,3 @@ def _slot_of_day(events: DataFrame, seconds: int) -> Column:
 
 def _seconds(interval: Column) -> Column:
     return interval.cast("interval second").cast("decimal(20,6)")
-
-
-def _in_window(date: str, days: int) -> Column:
-    return F.col(date) > F.date_sub("feature_date", days)

@@ -12,15 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecraft.functions import (
-    exact_avg,
-    exact_sum,
-    or_zero,
-    sum_units,
-    tier,
-    to_units,
-    within_dates,
-)
+from tablecraft.functions import or_zero, tier, within_dates
+from tablecraft.operators.exact import add_up, digits, exact_totals, total
 
 
 def extract_orders(
@@ -60,10 +53,13 @@ def agg_revenue(staged_orders: DataFrame) -> DataFrame:
 
     Unsorted: a stored table has no row order. Sort with ``by_revenue`` to present.
     """
-    return staged_orders.groupBy("category", "region").agg(
-        F.count("*").alias("order_count"),
-        exact_sum(F.col("amount")).alias("total_revenue"),
-        exact_avg(F.col("amount")).alias("avg_order_value"),
+    amount = F.col("amount")
+    return exact_totals(
+        staged_orders,
+        ["category", "region"],
+        sums={"total_revenue": amount},
+        averages={"avg_order_value": amount},
+        counts={"order_count": F.count("*")},
     )
 
 
@@ -75,23 +71,24 @@ def agg_refunds(staged_returns: DataFrame, staged_orders: DataFrame) -> DataFram
     """Refund count, total and average by the category of the returned order.
 
     Returns are summed per order before the join, so an order with very many
-    returns reaches the join as one row.
+    returns reaches the join as one row, or a few if amounts differ widely in size.
     """
-    totals = (
-        staged_orders.select("order_id", "category")
-        .join(_refunds_per_order(staged_returns), "order_id")
-        .groupBy("category")
-        .agg(
-            F.sum("refunds").alias("refund_count"),
-            sum_units(F.col("refunded")).alias("total_refunds"),
-            F.sum("amounts").alias("amounts"),
-        )
+    joined = staged_orders.select("order_id", "category").join(
+        _refunds_per_order(staged_returns), "order_id"
     )
+    counts = {"refund_count": F.sum("refunds"), "amounts": F.sum("amounts")}
+    per_band = add_up(joined, ["category"], ["refunded"], counts)
+    totals = per_band.groupBy("category").agg(
+        F.sum("refund_count").alias("refund_count"),
+        F.sum("amounts").cast("double").alias("amounts"),
+        F.collect_list("refunded").alias("refunded"),
+    )
+    totals = totals.withColumn("total_refunds", total("refunded"))
     return totals.select(
         "category",
         "refund_count",
         "total_refunds",
-        F.try_divide("total_refunds", F.col("amounts").cast("double")).alias("avg_refund"),
+        F.try_divide("total_refunds", "amounts").alias("avg_refund"),
     )
 
 
@@ -128,31 +125,65 @@ def daily_report(
 
     Gives what ``build_report`` gives on the three aggregates, for unique
     ``order_id``. Refunds, reduced to one row per order, ride along with the
-    orders through the revenue aggregate, so orders are scanned and shuffled
-    once; the category totals come from the small aggregated table.
+    orders: each order becomes a row for its amount and one for each band of its
+    refunds, and both are added up by the same aggregate. So orders are scanned
+    and shuffled once; the category totals come from the small aggregated table.
     """
     staged_orders = extract_orders(orders, run_date, end_date)
     refunds = _refunds_per_order(extract_returns(returns, run_date, end_date))
-    per_region = (
+    refunds = refunds.groupBy("order_id").agg(
+        F.collect_list(F.struct("refunded", "refunds")).alias("bands")
+    )
+    own = F.struct(
+        F.lit(True).alias("sold"),
+        digits("amount").alias("value"),
+        F.lit(0).cast("bigint").alias("refunds"),
+    )
+    paid_back = F.transform(
+        F.coalesce("bands", F.array()),
+        lambda r: F.struct(
+            F.lit(False).alias("sold"), r["refunded"].alias("value"), r["refunds"].alias("refunds")
+        ),
+    )
+    facts = (
         staged_orders.select("order_id", "category", "region", "amount")
         .join(refunds, "order_id", "left")
-        .groupBy("category", "region")
-        .agg(
-            F.count("*").alias("order_count"),
-            exact_sum(F.col("amount")).alias("total_revenue"),
-            exact_avg(F.col("amount")).alias("avg_order_value"),
-            F.sum("refunds").alias("region_refunds"),
-            sum_units(F.col("refunded")).alias("region_refunded"),
-        )
+        .select("category", "region", F.explode(F.concat(F.array(own), paid_back)).alias("fact"))
+        .select("category", "region", "fact.*")
+    )
+    per_band = add_up(
+        facts,
+        ["category", "region", "sold"],
+        ["value"],
+        {
+            "orders": F.count_if("sold"),
+            "amounts": F.count_if(F.col("sold") & F.col("value.band").isNotNull()),
+            "refunds": F.sum("refunds"),
+        },
+    )
+    per_region = per_band.groupBy("category", "region").agg(
+        F.sum("orders").alias("order_count"),
+        F.sum("amounts").cast("double").alias("amounts"),
+        F.sum("refunds").alias("refunds"),
+        F.collect_list(F.when(F.col("sold"), F.col("value"))).alias("sold"),
+        F.collect_list(F.when(~F.col("sold"), F.col("value"))).alias("refunded"),
     )
     category = Window.partitionBy("category")
     # A NULL category joins nothing, so it has no refunds either.
     named = F.col("category").isNotNull()
-    refunded = F.col("region_refunded").cast("decimal(28,2)")
-    revenue = per_region.select(
+    with_category = per_region.withColumns(
+        {
+            "total_revenue": total("sold"),
+            "refund_count": F.sum("refunds").over(category),
+            "refunded": F.flatten(F.collect_list("refunded").over(category)),
+        }
+    )
+    revenue = with_category.withColumn(
+        "avg_order_value", F.try_divide("total_revenue", "amounts")
+    ).select(
         *_REVENUE_COLUMNS,
-        F.when(named, F.sum("region_refunds").over(category)).alias("refund_count"),
-        F.when(named, F.sum(refunded).over(category).cast("double")).alias("total_refunds"),
+        F.when(named, F.col("refund_count")).alias("refund_count"),
+        F.when(named, total("refunded")).alias("total_refunds"),
     )
     stock = inventory.groupBy("category").agg(F.sum("stock_count").alias("total_stock"))
     return revenue.join(stock, "category", "left").select(
@@ -164,11 +195,10 @@ _REVENUE_COLUMNS = ("category", "region", "order_count", "total_revenue", "avg_o
 
 
 def _refunds_per_order(staged_returns: DataFrame) -> DataFrame:
-    return staged_returns.groupBy("order_id").agg(
-        F.count("*").alias("refunds"),
-        F.count("refund_amount").alias("amounts"),
-        F.sum(to_units(F.col("refund_amount"))).alias("refunded"),
-    )
+    """Counts and digit sums of the refunds of each order, a row for each band."""
+    split = staged_returns.select("order_id", digits("refund_amount").alias("refunded"))
+    counts = {"refunds": F.count("*"), "amounts": F.count("refunded.band")}
+    return add_up(split, ["order_id"], ["refunded"], counts)
 
 
 def _stock_per_category(stock: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -33,10 +34,8 @@ def brute_force(events, as_of, gap_seconds):
             return (as_of - day).days
 
         week = [s for s in sessions if age(s[0].date()) < 7]
-        cents = sum(
-            round(amount * 100)
-            for ts, kind, amount in seen
-            if kind == "purchase" and age(ts.date()) < 30
+        paid = math.fsum(
+            amount for ts, kind, amount in seen if kind == "purchase" and age(ts.date()) < 30
         )
         result.append(
             (
@@ -44,7 +43,7 @@ def brute_force(events, as_of, gap_seconds):
                 as_of,
                 len(week),
                 sum(age(s[0].date()) < 30 for s in sessions),
-                cents / 100,
+                paid,
                 age(max(logins)) if logins else None,
                 sum(kind == "error" for _, kind, _ in seen),
                 pytest.approx(sum((e - s).total_seconds() for s, e in week) / len(week))
@@ -85,6 +84,47 @@ def test_several_snapshots_equal_single_ones(spark):
     assert rows(together, "user_id", "feature_date") == rows(single, "user_id", "feature_date")
 
 
+def test_daily_snapshots_cut_long_sessions(spark):
+    """Sessions of many days, open at most snapshots; a snapshot for each of 90 days."""
+    start = dt.datetime(2024, 1, 1, 20)
+    events = [
+        (user, start + dt.timedelta(hours=5 * i), kind, 0.1 * i)
+        for user, kind, steps in (("a", "purchase", 400), ("b", "view", 17), ("c", "error", 150))
+        for i in range(steps)
+        if i % 59 and not (user == "c" and i % 20 == 3)
+    ]
+    dates = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(90)]
+    found = behavior.user_behavioral(spark.createDataFrame(events, SCHEMA), dates).collect()
+    for date in dates[::7] + dates[-1:]:
+        of_date = sorted((tuple(r) for r in found if r.feature_date == date))
+        assert of_date == brute_force(events, date, 6 * 3600)
+
+
+def test_snapshots_make_no_rows_before_the_shuffle(spark):
+    events = spark.createDataFrame([], SCHEMA)
+    dates = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(90)]
+    plan = behavior.user_behavioral(events, dates)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1
+    assert "Exchange" not in plan[: plan.index("Generate")]
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_odd_amounts_do_not_stop_a_run(spark):
+    day = dt.datetime(2024, 3, 30)
+    amounts = {"a": [1 / 3, 1e14, 1e-9], "b": [float("inf"), 1.0], "c": [None], "d": [math.nan]}
+    events = [(u, day, "purchase", x) for u, values in amounts.items() for x in values]
+    found = behavior.user_behavioral(spark.createDataFrame(events, SCHEMA), AS_OF).collect()
+    paid = {r.user_id: r.total_purchases_30d for r in found}
+    assert paid["a"] == math.fsum(amounts["a"]) and paid["b"] == math.inf and paid["c"] == 0.0
+    assert math.isnan(paid["d"])
+
+
+@pytest.mark.parametrize("gap", [0, behavior.LONGEST_GAP_SECONDS + 1])
+def test_gaps_out_of_range_are_errors(spark, gap):
+    with pytest.raises(ValueError, match="session gap"):
+        behavior.user_behavioral(spark.createDataFrame([], SCHEMA), AS_OF, gap)
+
+
 def test_gap_and_window_edges(spark):
     def at(text):
         return dt.datetime.fromisoformat(text)

@@ -77,19 +77,6 @@ def test_threshold_is_strict(spark):
     assert value(spark, fn.at_threshold(F.lit(0.5000001))) == 1
 
 
-def test_exact_sum_does_not_depend_on_order(spark):
-    df = spark.range(100_000).select((F.col("id") % 7 * 0.1).cast("double").alias("x"))
-    up = df.repartition(3).agg(fn.exact_sum(F.col("x")).alias("s")).first().s
-    down = df.orderBy(F.desc("x")).coalesce(1).agg(fn.exact_sum(F.col("x")).alias("s")).first().s
-    exact = sum(i % 7 for i in range(100_000)) / 10
-    assert up == down == exact
-
-
-def test_exact_avg_skips_null(spark):
-    df = spark.createDataFrame([(1.0,), (None,), (2.0,)], "x double")
-    assert df.agg(fn.exact_avg(F.col("x")).alias("a")).first().a == 1.5
-
-
 @pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "string"])
 def test_within_dates_includes_both_days(spark, kind):
     stamps = ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]
@@ -108,30 +95,3 @@ def test_as_date():
     assert fn.as_date(dt.datetime(2024, 1, 2, 3)) == dt.date(2024, 1, 2)
     with pytest.raises(ValueError):
         fn.as_date("01/02/2024")
-
-
-def test_exact_sum_of_large_and_negative_amounts(spark):
-    amounts = [90_000_000_000_000.25, -0.01, -1234.56, 0.0, None]
-    df = spark.createDataFrame([(a,) for a in amounts], "x double")
-    assert df.agg(fn.exact_sum(F.col("x"), 2).alias("s")).first().s == 89_999_999_998_765.68
-    # More cents than a long can hold in total.
-    many = spark.range(200).select(F.lit(9e15).alias("x"))
-    assert many.agg(fn.exact_sum(F.col("x"), 2).alias("s")).first().s == 200 * 9e15
-    none = df.where("x IS NULL").agg(fn.exact_sum(F.col("x")).alias("s"))
-    assert none.first().s is None
-
-
-def test_exact_sum_keeps_small_amounts_and_odd_ones(spark):
-    small = spark.range(1000).select(F.lit(0.004).alias("x"))
-    assert small.agg(fn.exact_sum(F.col("x")).alias("s")).first().s == 4.0
-    odd = spark.createDataFrame([(1.5,), (float("nan"),)], "x double")
-    assert str(odd.agg(fn.exact_sum(F.col("x")).alias("s")).first().s) == "nan"
-    endless = spark.createDataFrame([(1.5,), (float("inf"),)], "x double")
-    assert endless.agg(fn.exact_sum(F.col("x")).alias("s")).first().s == float("inf")
-
-
-@pytest.mark.parametrize("amount, scale", [(0.004, 2), (1e-9, 6), (1e18, 6)])
-def test_amounts_that_do_not_fit_are_errors(spark, amount, scale):
-    df = spark.createDataFrame([(amount,)], "x double")
-    with pytest.raises(Exception, match="decimals|OVERFLOW"):
-        df.agg(fn.exact_sum(F.col("x"), scale).alias("s")).collect()

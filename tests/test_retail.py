@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 import retail_data as data
@@ -30,7 +31,10 @@ EXPECTED = [
 @pytest.mark.parametrize("report", [composite, retail.daily_report])
 def test_known_day(spark, report):
     result = report(data.orders(spark), data.inventory(spark), data.returns(spark), data.DAY)
-    got = rows(result.withColumn("avg_order_value", F.round("avg_order_value", 4)), "category")
+    # Amounts are doubles, and so is their exact sum: to the cent it is the known one.
+    cents = {c: F.round(c, 2) for c in ("total_revenue", "total_refunds")}
+    average = F.round("avg_order_value", 4)
+    got = rows(result.withColumns({**cents, "avg_order_value": average}), "category")
     assert got == EXPECTED
 
 
@@ -109,6 +113,31 @@ def test_refund_needs_both_dates_in_range(spark):
     assert retail.daily_report(*args, "2026-03-01", "2026-03-04").first().refund_count == 1
 
 
+@pytest.mark.parametrize("report", [composite, retail.daily_report])
+def test_reports_agree_on_odd_amounts(spark, report):
+    """Amounts below a cent, with endless fractions, very large, NaN and infinite."""
+    amounts = {"A": [1 / 3, 1e14, 0.004], "B": [float("nan"), 1.0], "C": [float("inf")]}
+    orders, returns = [], []
+    for category, values in amounts.items():
+        for value in values:
+            n = len(orders)
+            orders.append(_order(n, category, f"R{n % 2}", amount=value))
+            returns += [_return(n, n, value / 3), _return(100 + n, n, 0.004)]
+    args = (
+        spark.createDataFrame(orders, RAW_ORDERS),
+        data.inventory(spark),
+        spark.createDataFrame(returns, RAW_RETURNS),
+        "2026-03-01",
+    )
+    got = {(r.category, r.region): r for r in report(*args).collect()}
+    assert got["A", "R0"].total_revenue == math.fsum([1 / 3, 0.004])
+    refunds = [v / 3 for v in amounts["A"]] + [0.004] * 3
+    assert got["A", "R1"].total_refunds == got["A", "R0"].total_refunds == math.fsum(refunds)
+    assert got["B", "R1"].total_revenue != got["B", "R1"].total_revenue  # NaN
+    assert got["B", "R0"].total_refunds != got["B", "R0"].total_refunds
+    assert got["C", "R1"].total_revenue == got["C", "R1"].total_refunds == float("inf")
+
+
 def test_order_with_a_third_of_all_returns(spark):
     returns = spark.range(30_000).select(
         F.col("id").cast("string").alias("return_id"),

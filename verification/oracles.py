@@ -59,8 +59,10 @@ RAW_INTERACTIONS = """raw_interactions AS (
     FROM events)"""
 
 
-def _total(column: str) -> str:
-    return f"CAST(SUM(CAST({column} AS DECIMAL(32,6))) AS DOUBLE)"
+def _total(column: str, bits: int = 64) -> str:
+    """The exact sum of doubles that have no bit below 2 ** -bits, as the nearest double."""
+    units = f"CAST({column} * {2.0**bits!r} AS HUGEINT)"
+    return f"(CAST(CAST(SUM({units}) AS VARCHAR) AS DOUBLE) / {2.0**bits!r})"
 
 
 def _revenue(source: str) -> str:
@@ -71,13 +73,12 @@ def _revenue(source: str) -> str:
 
 
 def _refunds(returns: str, orders: str) -> str:
-    """Each order's returns are added up first, then those of a category's orders."""
+    """Every single return, with the category of its order."""
     return f"""SELECT category, CAST(SUM(times) AS BIGINT) AS refund_count,
-           CAST(SUM(paid) AS DOUBLE) AS total_refunds,
-           CAST(SUM(paid) AS DOUBLE) / SUM(valued) AS avg_refund
-    FROM (SELECT order_id, COUNT(*) AS times, COUNT(refund_amount) AS valued,
-                 SUM(CAST(refund_amount AS DECIMAL(32,6))) AS paid
-          FROM {returns} GROUP BY order_id) JOIN {orders} USING (order_id)
+           {_total("paid")} AS total_refunds, {_total("paid")} / SUM(valued) AS avg_refund
+    FROM (SELECT order_id, 1 AS times, refund_amount AS paid,
+                 CASE WHEN refund_amount IS NULL THEN 0 ELSE 1 END AS valued
+          FROM {returns}) JOIN {orders} USING (order_id)
     GROUP BY category"""
 
 
@@ -97,9 +98,9 @@ def _report(start: str, end: str) -> str:
     return f"""WITH {RAW_ORDERS}, {RAW_RETURNS}, {RAW_INVENTORY},
     sold AS (SELECT * FROM raw_orders WHERE order_date {between}),
     fact AS (
-        SELECT category, stock_count AS stock, 0 AS times, 0.0 AS paid FROM raw_inventory
+        SELECT category, stock_count AS stock, 0 AS times, 0.0::DOUBLE AS paid FROM raw_inventory
         UNION ALL
-        SELECT sold.category, 0, 1, CAST(refund_amount AS DECIMAL(32,6))
+        SELECT sold.category, 0, 1, refund_amount
         FROM raw_returns JOIN sold USING (order_id) WHERE return_date {between}),
     revenue AS ({_revenue("sold")})
     SELECT revenue.*,
@@ -107,7 +108,7 @@ def _report(start: str, end: str) -> str:
                      WHERE fact.category = revenue.category), 0) AS total_stock,
            COALESCE((SELECT CAST(SUM(times) AS BIGINT) FROM fact
                      WHERE fact.category = revenue.category), 0) AS refund_count,
-           COALESCE((SELECT CAST(SUM(paid) AS DOUBLE) FROM fact
+           COALESCE((SELECT {_total("paid")} FROM fact
                      WHERE fact.category = revenue.category), 0) AS total_refunds
     FROM revenue"""
 
@@ -142,9 +143,8 @@ def _behavioral(dates, gap_seconds: int = 6 * 3600) -> str:
         FROM sess GROUP BY feature_date, user_id),
     per_event AS (
         SELECT feature_date, user_id,
-               COALESCE(CAST(SUM(CAST(value AS DECIMAL(32,6))) FILTER (
-                   WHERE event_type = 'purchase' AND d > feature_date - 30) AS DOUBLE), 0.0)
-                 AS total_purchases_30d,
+               COALESCE({_total("CASE WHEN event_type = 'purchase' AND d > feature_date - 30 THEN value END")},
+                        0.0) AS total_purchases_30d,
                COUNT(*) FILTER (WHERE event_type = 'error') AS support_tickets_90d
         FROM ev GROUP BY feature_date, user_id),
     everyone AS (
@@ -384,6 +384,9 @@ def oracle_sql() -> dict[str, str]:
         "extract_returns": f"""WITH {RAW_RETURNS} SELECT * FROM raw_returns
             WHERE return_date BETWEEN DATE '{YEAR[0]}' AND DATE '{YEAR[1]}'""",
         "extract_inventory": f"WITH {RAW_INVENTORY} SELECT * FROM raw_inventory",
+        "agg_price_ratio": f"""SELECT l_returnflag, l_linestatus, COUNT(*) AS line_count,
+            {_total("ratio", 80)} AS total_ratio, {_total("ratio", 80)} / COUNT(ratio) AS avg_ratio
+            FROM (SELECT *, l_discount * l_tax / 3 AS ratio FROM lineitem) GROUP BY ALL""",
         "agg_revenue": f"WITH {RAW_ORDERS} {_revenue('raw_orders')}",
         "revenue_ranked": f"WITH {RAW_ORDERS} {_revenue('raw_orders')} ORDER BY total_revenue DESC",
         "agg_refunds": f"""WITH {RAW_ORDERS}, {RAW_RETURNS}, {staged}

@@ -11,6 +11,7 @@ from tablecraft import functions as fn
 from tablecraft import sources
 from tablecraft.operators import behavior, factorize, matrix, metrics, ranking, scaling
 from tablecraft.operators.asof import asof_features
+from tablecraft.operators.exact import exact_totals
 from tablecraft.operators.feature_schema import (
     ITEM,
     USER,
@@ -188,6 +189,19 @@ def agg_revenue(data: StarSchema) -> DataFrame:
     return retail.agg_revenue(_all_orders(data))
 
 
+@query
+def agg_price_ratio(data: StarSchema) -> DataFrame:
+    """Amounts with endless fractions, added up exactly."""
+    ratio = F.col("l_discount") * F.col("l_tax") / 3
+    return exact_totals(
+        data.table("lineitem"),
+        ["l_returnflag", "l_linestatus"],
+        sums={"total_ratio": ratio},
+        averages={"avg_ratio": ratio},
+        counts={"line_count": F.count("*")},
+    )
+
+
 @query
 def revenue_ranked(data: StarSchema) -> DataFrame:
     return retail.by_revenue(retail.agg_revenue(_all_orders(data)))
