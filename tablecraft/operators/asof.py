@@ -8,17 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecraft.session import materialize
+from tablecraft.operators.carry import PART, TIE, earlier_ranges, store_in_ranges
 
-# Rows of one entity that a single task may sort.
-SPLIT_ROWS = 2_000_000
-# A large entity is cut between time cells: at most this wide, and at least
-# this many for each chunk it needs.
-CELL_SECONDS = 60.0
-CELLS_PER_CHUNK = 8
-
-_AT, _SPINE, _FEATURE = "_at", "_spine", "_feature"
-_ASKED, _CELL, _CHUNK = "_asked", "_cell", "_chunk"
+_ENTITY, _AT, _ASKED = "_entity", "_at", "_asked"
+_SPINE, _FEATURE = "_spine", "_feature"
 
 
 def asof_features(
@@ -28,38 +21,50 @@ def asof_features(
     spine_ts: str,
     feature_ts: str,
     feature_ids: Sequence[str] = (),
-    split_rows: int = SPLIT_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """For each spine row, the entity's last feature row at or before its time.
 
     Spine rows without an earlier feature row keep NULL features. ``features``
-    holds one row per entity and time (see ``conform``).
-
-    Both inputs go through one shuffle by entity, and the last feature row is
-    carried forward in time order; no range join. If any entity has more than
-    ``split_rows`` rows, the lookup runs on distinct instants instead, with the
-    large entities cut into time chunks for separate tasks.
+    holds one row per entity and time (see ``conform``). Times given as strings
+    are read as timestamps; a string that is none is an error.
+
+    Both inputs are stored once as one timeline in ranges of entity and time,
+    and the last feature row is carried forward in each range; a range starts
+    from the last feature row of the ranges before. No range join, and no row
+    is treated otherwise for the number of rows beside it: many rows of an
+    entity, also at one instant, are as many ranges as they fill.
     """
     ids = list(feature_ids) or [c for c in features.columns if c not in (entity_id, feature_ts)]
-    known = F.col(entity_id).isNotNull() & F.col(feature_ts).isNotNull()
-    feature_rows = features.where(known).select(
-        entity_id,
-        F.col(feature_ts).alias(_AT),
+    feature_rows = features.select(
+        F.col(entity_id).alias(_ENTITY),
+        _instant(features, feature_ts).alias(_AT),
         F.struct(feature_ts, *ids).alias(_FEATURE),
-    )
+    ).where(F.col(_ENTITY).isNotNull() & F.col(_AT).isNotNull())
     spine_rows = spine.select(
-        entity_id, F.col(spine_ts).alias(_AT), F.struct(*spine.columns).alias(_SPINE)
+        F.col(entity_id).alias(_ENTITY),
+        _instant(spine, spine_ts).alias(_AT),
+        F.struct(*spine.columns).alias(_SPINE),
     )
     # Spine rows without entity or time match nothing: they skip the shuffle.
-    placed = F.col(entity_id).isNotNull() & F.col(_AT).isNotNull()
+    placed = F.col(_ENTITY).isNotNull() & F.col(_AT).isNotNull()
     placed_rows, unplaced_rows = spine_rows.where(placed), spine_rows.where(~placed)
 
-    large = _large_entities(placed_rows, feature_rows, entity_id, split_rows)
-    if large.isEmpty():
-        matched = _lookup(placed_rows, feature_rows, entity_id)
-    else:
-        matched = _lookup_in_chunks(placed_rows, feature_rows, large, entity_id, split_rows)
-    everything = matched.unionByName(unplaced_rows, allowMissingColumns=True)
+    timeline = feature_rows.unionByName(placed_rows, allowMissingColumns=True).withColumns(
+        {_ASKED: F.col(_SPINE).isNotNull(), TIE: F.monotonically_increasing_id()}
+    )
+    # Feature rows sort before spine rows of the same time: the bound is inclusive.
+    order = (_ENTITY, _AT, _ASKED, TIE)
+    timeline = store_in_ranges(timeline, *order, label="asof-timeline", parts=parts)
+    started = timeline.unionByName(_carried(timeline), allowMissingColumns=True)
+    so_far = (
+        Window.partitionBy(PART, _ENTITY)
+        .orderBy(F.asc_nulls_first(_AT), _ASKED, TIE)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    matched = started.withColumn(_FEATURE, F.last(_FEATURE, ignorenulls=True).over(so_far))
+    matched = matched.where(_ASKED).select(_SPINE, _FEATURE)
+    everything = matched.unionByName(unplaced_rows.select(_SPINE), allowMissingColumns=True)
     return everything.select(
         *[F.col(_SPINE)[c].alias(c) for c in spine.columns],
         *([] if feature_ts in spine.columns else [F.col(_FEATURE)[feature_ts].alias(feature_ts)]),
@@ -67,114 +72,29 @@ def asof_features(
     )
 
 
-def _large_entities(
-    spine_rows: DataFrame, feature_rows: DataFrame, entity_id: str, split_rows: int
-) -> DataFrame:
-    """Entities above ``split_rows`` rows: at most ``rows / split_rows`` of them.
-
-    Counting reads only the key columns and combines map-side.
-    """
-    both = spine_rows.select(entity_id).unionByName(feature_rows.select(entity_id))
-    counts = both.groupBy(entity_id).count()
-    return materialize(
-        counts.where(F.col("count") > split_rows).select(entity_id), "large-entities"
-    )
-
-
-def _lookup(spine_rows: DataFrame, feature_rows: DataFrame, entity_id: str) -> DataFrame:
-    timeline = feature_rows.unionByName(spine_rows, allowMissingColumns=True)
-    asked = F.col(_SPINE).isNotNull()
-    return timeline.withColumn(_FEATURE, _last_feature([entity_id], asked)).where(asked)
-
-
-def _lookup_in_chunks(
-    spine_rows: DataFrame,
-    feature_rows: DataFrame,
-    large: DataFrame,
-    entity_id: str,
-    split_rows: int,
-) -> DataFrame:
-    """The lookup on distinct ``(entity, time)`` pairs, large entities in chunks.
-
-    However many spine rows share an instant, the timeline has one row for it
-    beside the feature row, so cutting by time always makes groups small. The
-    answers join back to the spine rows; adaptive execution splits a pair that
-    very many spine rows share.
-    """
-    instants = spine_rows.select(entity_id, _AT).distinct().withColumn(_ASKED, F.lit(True))
-    timeline = feature_rows.unionByName(instants, allowMissingColumns=True)
-    routed = _with_chunks(timeline, large, entity_id, split_rows)
-
-    asked = F.col(_ASKED).isNotNull()
-    inside = routed.withColumn(_FEATURE, _last_feature([entity_id, _CHUNK], asked)).where(asked)
-
-    # One row per chunk of a large entity: its last feature row, then the last
-    # one of all earlier chunks.
-    feature_time = F.when(F.col(_FEATURE).isNotNull(), F.col(_AT))
-    chunk_ends = (
-        routed.where(F.col(_CHUNK).isNotNull())
-        .groupBy(entity_id, _CHUNK)
-        .agg(F.max_by(_FEATURE, feature_time).alias("_end"))
-    )
-    earlier = (
-        Window.partitionBy(entity_id).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = chunk_ends.select(
-        entity_id, _CHUNK, F.last("_end", ignorenulls=True).over(earlier).alias("_carried")
-    )
-    answers = inside.join(carried, [entity_id, _CHUNK], "left").select(
-        entity_id, _AT, F.coalesce(_FEATURE, "_carried").alias(_FEATURE)
-    )
-    return spine_rows.join(answers, [entity_id, _AT], "left")
-
-
-def _with_chunks(
-    timeline: DataFrame, large: DataFrame, entity_id: str, split_rows: int
-) -> DataFrame:
-    """``timeline`` with a chunk number on the rows of large entities, else NULL.
+def _carried(timeline: DataFrame) -> DataFrame:
+    """The last feature row before each range, if the range goes on with its entity.
 
-    Each large entity gets its own cell width, so dense ones get narrow cells.
-    Whole cells are put into a chunk until it holds about ``split_rows`` rows.
+    Only the first entity of a range can have rows in an earlier one. So one row
+    for each range says all: its first entity, and its last feature row.
     """
-    spans = (
-        timeline.join(large, entity_id, "left_semi")
-        .groupBy(entity_id)
-        .agg(F.count("*").alias("n"), F.min(_AT).alias("_from"), F.max(_AT).alias("_to"))
-    )
-    cells_needed = F.ceil(F.col("n") / F.lit(split_rows)) * CELLS_PER_CHUNK
-    width = _seconds(timeline, F.col("_from"), F.col("_to")) / cells_needed
-    widths = materialize(
-        spans.select(
-            entity_id,
-            "_from",
-            F.greatest(F.least(width, F.lit(CELL_SECONDS)), F.lit(1e-6)).alias("_width"),
-        ),
-        "entity-cells",
+    known = F.col(_FEATURE).isNotNull()
+    place = F.when(known, F.struct(_ENTITY, _AT, TIE))
+    ranges = timeline.groupBy(PART).agg(
+        F.min(_ENTITY).alias(_ENTITY),
+        F.max(place).alias("_last"),
+        F.max_by(_FEATURE, place).alias(_FEATURE),
     )
-    elapsed = _seconds(timeline, F.col("_from"), F.col(_AT))
-    placed = (
-        timeline.join(widths, entity_id, "left")
-        .withColumn(_CELL, F.floor(elapsed / F.col("_width")))
-        .drop("_from", "_width")
+    before = earlier_ranges()
+    latest = ranges.select(
+        PART,
+        _ENTITY,
+        F.max("_last").over(before)[_ENTITY].alias("_of"),
+        F.max_by(_FEATURE, "_last").over(before).alias(_FEATURE),
     )
-    counts = placed.where(F.col(_CELL).isNotNull()).groupBy(entity_id, _CELL).count()
-    so_far = Window.partitionBy(entity_id).orderBy(_CELL)
-    before = F.sum("count").over(so_far) - F.col("count")
-    chunks = materialize(
-        counts.select(entity_id, _CELL, F.floor(before / F.lit(split_rows)).alias(_CHUNK)),
-        "entity-chunks",
-    )
-    return placed.join(chunks, [entity_id, _CELL], "left").drop(_CELL)
-
-
-def _last_feature(keys: Sequence[str], asked: Column) -> Column:
-    # Feature rows sort before spine rows of the same time: the bound is inclusive.
-    order = Window.partitionBy(*keys).orderBy(F.col(_AT), asked)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.last(_FEATURE, ignorenulls=True).over(so_far)
+    return latest.where(F.col("_of") == F.col(_ENTITY)).drop("_of")
 
 
-def _seconds(timeline: DataFrame, start: Column, end: Column) -> Column:
-    if isinstance(timeline.schema[_AT].dataType, T.DateType):
-        return F.datediff(end, start) * F.lit(86400.0)
-    return (end - start).cast("interval second").cast("decimal(20,6)").cast("double")
+def _instant(df: DataFrame, column: str) -> Column:
+    text = isinstance(df.schema[column].dataType, T.StringType)
+    return F.col(column).cast("timestamp") if text else F.col(column)

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.functions import or_zero, rounded
+from tablecraft.operators.carry import PART, earlier_ranges, store_in_ranges
 from tablecraft.session import materialize
 
 METRICS = ("auc", "f1", "accuracy", "precision", "recall")
 
-# Score ranges whose cumulative counts are summed separately.
-SCORE_RANGES = 512
+# Distinct scores that one task counts along.
+SCORES_PER_RANGE = 500_000
 
 
 class GateError(ValueError):
@@ -27,7 +27,7 @@ def evaluate(
     score: str = "probability",
     label: str = "label",
     threshold: float = 0.5,
-    ranges: int = SCORE_RANGES,
+    scores_per_range: int = SCORES_PER_RANGE,
 ) -> DataFrame:
     """One row with a column per requested metric, rounded to 4 places.
 
@@ -48,7 +48,7 @@ def evaluate(
     )
     formulas = _threshold_formulas(threshold)
     if "auc" in metrics:
-        known = _with_negatives_below(known, ranges)
+        known = _with_negatives_below(known, scores_per_range)
         won = F.col("positives") * (F.col("below") + F.col("negatives") / 2)
         formulas["auc"] = F.try_divide(F.sum(won), F.sum("positives") * F.sum("negatives"))
     return known.agg(*[rounded(formulas[name]).alias(name) for name in metrics])
@@ -72,14 +72,13 @@ def _threshold_formulas(threshold: float) -> dict[str, Column]:
     }
 
 
-def _with_negatives_below(known: DataFrame, ranges: int) -> DataFrame:
+def _with_negatives_below(known: DataFrame, scores_per_range: int) -> DataFrame:
     """One row per distinct score, with the number of negatives that score less.
 
     Rows collapse to distinct scores first (map-side combine), so a score
     shared by a third of the rows is one row. The running count is taken inside
-    score ranges that hold about equally many distinct scores, on top of the
-    totals of the lower ranges. Those totals are a table of at most ``ranges``
-    rows, so no task sees all the scores.
+    ranges of scores, whose number follows the number of distinct scores; each
+    starts from the negatives of the lower ranges.
     """
     counts = materialize(
         known.groupBy("score").agg(
@@ -87,28 +86,18 @@ def _with_negatives_below(known: DataFrame, ranges: int) -> DataFrame:
         ),
         "score-counts",
     )
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(counts.approxQuantile("score", shares, 0.1 / ranges))) if shares else []
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        ranged = Bucketizer(splits=splits, inputCol="score", outputCol="range").transform(counts)
-    else:
-        ranged = counts.withColumn("range", F.lit(0.0))
-
-    lower_ranges = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("range")
-        .agg(F.sum("negatives").alias("in_range"))
-        .select("range", or_zero(F.sum("in_range").over(lower_ranges)).alias("offset"))
-    )
+    parts = max(1, -(-counts.count() // scores_per_range))
+    ranged = store_in_ranges(counts, "score", label="score-ranges", parts=parts)
+    in_range = ranged.groupBy(PART).agg(F.sum("negatives").alias("negatives"))
+    lower = in_range.withColumn("negatives", or_zero(F.sum("negatives").over(earlier_ranges())))
+    started = ranged.unionByName(lower, allowMissingColumns=True)
     lower_scores = (
-        Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        ranged.withColumn("inside", or_zero(F.sum("negatives").over(lower_scores)))
-        .join(offsets, "range")
-        .withColumn("below", F.col("offset") + F.col("inside"))
+        Window.partitionBy(PART)
+        .orderBy(F.asc_nulls_first("score"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    below = started.withColumn("below", F.sum("negatives").over(lower_scores))
+    return below.where(F.col("score").isNotNull())
 
 
 def gate_report(metrics: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:

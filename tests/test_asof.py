@@ -50,20 +50,20 @@ def frames(spark, spine, features, kind="timestamp_ntz"):
     )
 
 
-@pytest.mark.parametrize("split_rows", [asof.SPLIT_ROWS, 40, 7, 1])
+@pytest.mark.parametrize("parts", [None, 2, 17, 200])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_matches_brute_force(spark, seed, split_rows):
+def test_matches_brute_force(spark, seed, parts):
     spine, features = make(seed, 150, 80)
     result = asof.asof_features(
-        *frames(spark, spine, features), "user", "ts", "seen", split_rows=split_rows
+        *frames(spark, spine, features), "user", "ts", "seen", parts=parts
     )
     assert [tuple(r) for r in result.orderBy("row_id").collect()] == expected(spine, features)
 
 
-def test_split_with_timestamps_and_dates(spark):
+def test_ranges_of_timestamps_and_dates(spark):
     spine, features = make(3, 60, 30)
     frames_tz = frames(spark, spine, features, "timestamp")
-    result = asof.asof_features(*frames_tz, "user", "ts", "seen", split_rows=5)
+    result = asof.asof_features(*frames_tz, "user", "ts", "seen", parts=20)
     assert [r.version for r in result.orderBy("row_id").collect()] == [
         e[-1] for e in expected(spine, features)
     ]
@@ -75,7 +75,7 @@ def test_split_with_timestamps_and_dates(spark):
     weekly = days.where(F.dayofweek("d") == 2).select("user", F.col("d").alias("monday"))
     matched = asof.asof_features(
         days, weekly.withColumn("n", F.dayofmonth("monday")), "user", "d", "monday",
-        split_rows=6,
+        parts=7,
     )
     wrong = matched.where((F.datediff("d", "monday") >= 7) | F.col("monday").isNull())
     assert matched.count() == 40 and wrong.count() == 0
@@ -89,26 +89,54 @@ def test_selected_features_only(spark):
     assert result.columns == ["row_id", "user", "ts", "seen", "version"]
 
 
-def _chunk_sizes(timeline, split_rows):
-    features = timeline.where("false")
-    large = asof._large_entities(timeline, features, "user", split_rows)
-    chunked = asof._with_chunks(timeline, large, "user", split_rows)
-    return chunked.where("_chunk IS NOT NULL").groupBy("user", "_chunk").count()
+def test_times_as_strings(spark):
+    spine, features = make(6, 80, 40)
+    texts = frames(spark, spine, features, "string")
+    want = [e[-1] for e in expected(spine, features)]
+    stamps = frames(spark, spine, features, "timestamp")
+    for pair in (texts, (texts[0], stamps[1])):
+        result = asof.asof_features(*pair, "user", "ts", "seen", parts=9)
+        assert dict(result.dtypes)["ts"] == "string"
+        assert [r.version for r in result.orderBy("row_id").collect()] == want
 
 
-@pytest.mark.parametrize("seconds_apart", [3600.0, 1.0, 0.001])
-def test_large_entity_is_cut_into_chunks(spark, seconds_apart):
-    """A third of the rows belong to one entity; its groups stay near ``split_rows``."""
-    step = F.make_dt_interval(secs=(F.col("id") * seconds_apart).cast("decimal(18,6)"))
-    timeline = spark.range(30_000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 50))
-        .alias("user"),
-        (F.lit("2024-01-01").cast("timestamp_ntz") + step).alias("_at"),
+def test_features_of_any_type_are_carried(spark):
+    """A map can't be ordered; null features of a known row stay null."""
+    features = spark.createDataFrame(
+        [("u", 1, {"x": 1}), ("u", 2, None), ("v", 1, {"y": 2})],
+        "user string, seen int, m map<string,int>",
+    )
+    spine = spark.range(300).select(
+        F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("user"),
+        (F.col("id") / 100).cast("int").alias("t"),
     )
-    sizes = _chunk_sizes(timeline, 1000).collect()
-    assert {r.user for r in sizes} == {"hot"}
-    assert len(sizes) >= 9
-    assert max(r["count"] for r in sizes) <= 1000 + 1000 / asof.CELLS_PER_CHUNK + 1
+    result = asof.asof_features(spine, features, "user", "t", "seen", parts=40)
+    got = {(r.user, r.t, str(r.m)) for r in result.collect()}
+    assert got == {
+        ("u", 0, "None"), ("u", 1, "{'x': 1}"), ("u", 2, "None"),
+        ("v", 0, "None"), ("v", 1, "{'y': 2}"), ("v", 2, "{'y': 2}"),
+    }
+
+
+@pytest.mark.parametrize("seconds_apart", [60.0, 0.001, 0.0])
+def test_no_range_holds_a_whole_burst(spark, monkeypatch, seconds_apart):
+    """20,000 rows of one entity, close together or at one instant, in 20 ranges."""
+    stored = []
+    keep = asof.store_in_ranges
+
+    def spied(*args, **options):
+        stored.append(keep(*args, **options))
+        return stored[-1]
+
+    monkeypatch.setattr(asof, "store_in_ranges", spied)
+    step = F.make_dt_interval(secs=(F.col("id") * seconds_apart).cast("decimal(18,6)"))
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    spine = spark.range(20_000).select(F.lit("hot").alias("user"), (start + step).alias("t"))
+    features = spine.limit(1).select("user", F.col("t").alias("seen"), F.lit(5).alias("v"))
+    result = asof.asof_features(spine, features, "user", "t", "seen", parts=20)
+    assert result.where("v = 5").count() == 20_000
+    sizes = [r["count"] for r in stored[0].groupBy("__part").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 3 * 20_000 / 20
 
 
 def test_many_spine_rows_at_few_instants(spark):
@@ -118,7 +146,7 @@ def test_many_spine_rows_at_few_instants(spark):
     features = spark.createDataFrame(
         [("hot", "2024-01-02", 1), ("hot", "2024-01-04", 2)], "user string, seen string, v int"
     ).withColumn("seen", F.to_date("seen"))
-    result = asof.asof_features(spine, features, "user", "d", "seen", split_rows=100)
+    result = asof.asof_features(spine, features, "user", "d", "seen", parts=60)
     got = {(str(r.d), r.v): r.n for r in result.groupBy("d", "v").agg(F.count("*").alias("n"))
            .collect()}
     assert got == {

@@ -115,16 +115,35 @@ def scored(spark, seed, n, distinct):
 
 
 @pytest.mark.parametrize("n, distinct", [(300, 1), (300, 7), (500, 400), (60, 10_000)])
-@pytest.mark.parametrize("ranges", [1, 4, 512])
-def test_auc_with_ties(spark, n, distinct, ranges):
+@pytest.mark.parametrize("scores_per_range", [1, 100, 500_000])
+def test_auc_with_ties(spark, n, distinct, scores_per_range):
     data, df = scored(spark, n + distinct, n, distinct)
     positives = [p for p, y in data if y]
     negatives = [p for p, y in data if not y]
     pairs = sum((a > b) + (a == b) / 2 for a in positives for b in negatives)
     want = round(pairs / len(positives) / len(negatives), 4)
-    assert metrics.evaluate(df, ["auc"], ranges=ranges).first().auc == pytest.approx(want)
+    found = metrics.evaluate(df, ["auc"], scores_per_range=scores_per_range)
+    assert found.first().auc == pytest.approx(want)
 
 
+def test_ranges_follow_the_distinct_scores(spark, monkeypatch):
+    """2,000,000 scores: no range holds many more than the target."""
+    stored = []
+    keep = metrics.store_in_ranges
+
+    def spied(*args, **options):
+        stored.append(keep(*args, **options))
+        return stored[-1]
+
+    monkeypatch.setattr(metrics, "store_in_ranges", spied)
+    df = spark.range(2_000_000).select(
+        (F.col("id") / 2_000_000).alias("probability"), (F.col("id") % 3 == 0).cast("int").alias("label")
+    )
+    found = metrics.evaluate(df, ["auc"], scores_per_range=100_000).first()
+    assert found.auc == pytest.approx(0.5, abs=1e-4)
+    sizes = [r["count"] for r in stored[0].groupBy("__part").count().collect()]
+    assert len(sizes) >= 18 and max(sizes) <= 150_000
+
 def test_auc_equals_the_spark_evaluator(spark):
     _, df = scored(spark, 9, 2000, 150)
     evaluator = BinaryClassificationEvaluator(

@@ -60,8 +60,12 @@ def test_report_scans_the_orders_once(spark):
     assert len(re.findall(r"FileScan parquet \[o_orderkey", plan)) == 1
 
 
-def test_asof_needs_one_shuffle(plans):
-    assert plans["feature_asof"].count("Exchange hashpartitioning") == 1
+def test_asof_needs_one_shuffle_beside_the_ranges(plans):
+    """The summaries of the ranges are a shuffle of one row per range and task."""
+    plan = plans["feature_asof"]
+    assert plan.count("Exchange hashpartitioning(__part") == 2
+    assert plan.count("Exchange") == 3 and plan.count("Exchange SinglePartition") == 1
+    assert "Join" not in plan
 
 
 def test_registry_and_sql_cover_each_other():

@@ -330,8 +330,8 @@ def feature_asof(data: StarSchema) -> DataFrame:
 
 @query
 def feature_asof_split(data: StarSchema) -> DataFrame:
-    """The same lookup with every user cut into small time chunks."""
-    return asof_features(*_asof_inputs(data), "user_id", "ts", "seen_at", split_rows=8)
+    """The same lookup with most users cut into several ranges."""
+    return asof_features(*_asof_inputs(data), "user_id", "ts", "seen_at", parts=200)
 
 
 # --- churn ------------------------------------------------------------------
