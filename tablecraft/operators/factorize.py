@@ -50,8 +50,9 @@ def factorize(
     The rank is ``min(n_components, users, items)``. Iteration stops at
     ``max_iter``, or when the gradient an iteration could still follow (summed
     over all factor entries) has fallen to ``tol`` of the first iteration's.
-    ``init`` gives starting factors as two tables ``(id, factors)``; by default
-    they come from a seeded hash of the ids.
+    ``init`` gives starting factors as two tables ``(id, factors)``, of at least
+    the users and items with a cell; by default they come from a seeded hash of
+    the ids. Users and items of ``init`` without a cell keep a row.
 
     Each half-step joins the matrix with one factor table and sums per row of
     the other, k sums at once with a map-side combine; the descent over the k
@@ -97,6 +98,9 @@ def factorize(
             side: table.select(f"{side}_id", *_unpack("factors", names))
             for side, table in zip(("user", "item"), init)
         }
+        for side, table in start.items():
+            if not cells.join(table, f"{side}_id", "left_anti").isEmpty():
+                raise QualityError(f"init lacks a {side} of the matrix")
     w = materialize(start["user"], "nmf", slots["user"][0])
     h = materialize(start["item"], "nmf", slots["item"][0])
     gram_w, gram_h = gram(w, names), gram(h, names)
@@ -181,7 +185,13 @@ def _update(
         moves.append(f"greatest({name} - {step}, 0D) AS x_{name}")
         shifts.append(f"abs({name} - x_{name}) * {curvature!r}D")
         current[position] = f"x_{name}"
-    moved = factors.select(key, *names).join(sums, key).selectExpr("*", *moves)
+    # A row of the starting factors may have no cell: nothing pulls it up.
+    moved = (
+        factors.select(key, *names)
+        .join(sums, key, "left")
+        .fillna(0.0, [f"n_{n}" for n in names])
+        .selectExpr("*", *moves)
+    )
     # n_* stay in the table: with the new factors they give the error's cross term.
     return moved.selectExpr(
         key,

@@ -31,18 +31,29 @@ def interaction_matrix_wide(
     items: Sequence[object],
     weights: Mapping[str, float] = INTERACTION_WEIGHTS,
     default: float = DEFAULT_WEIGHT,
+    keep_other: bool = False,
 ) -> DataFrame:
     """One row per user with a zero-filled column per listed item.
 
     The caller gives the items, so no pass is spent on finding them and the
-    width is known. Use the long form for an open item set.
+    width is known. An interaction with another item, or none, is an error, or
+    with ``keep_other`` adds to the column ``item_other``. Use the long form for
+    an open item set.
     """
     weight = map_value(F.col("interaction_type"), weights, default)
-    wide = interactions.groupBy("user_id").pivot("item_id", list(items)).agg(F.sum(weight))
+    item = F.col("item_id").cast("string")
+    unlisted = F.raise_error(
+        F.concat(F.lit("item is not listed: "), F.coalesce(item, F.lit("NULL")))
+    ).cast("string")
+    other = F.lit("other") if keep_other else unlisted
+    column = F.when(F.col("item_id").isin(list(items)), item).otherwise(other)
+    names = [*map(str, items), *(["other"] if keep_other else [])]
+    marked = interactions.withColumns({"__column": column, "__weight": weight})
+    wide = marked.groupBy("user_id").pivot("__column", names).agg(F.sum("__weight"))
     return wide.select(
         "user_id",
         *[
-            F.coalesce(F.col(f"`{item}`").cast("double"), F.lit(0.0)).alias(f"item_{item}")
-            for item in items
+            F.coalesce(F.col(f"`{name}`").cast("double"), F.lit(0.0)).alias(f"item_{name}")
+            for name in names
         ],
     )

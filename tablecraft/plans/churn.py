@@ -61,10 +61,17 @@ def churn_features(raw: DataFrame, as_of: str | dt.datetime | None = None) -> Da
     )
 
 
-def publish_churn_features(features: DataFrame, root: str) -> DataFrame:
+def publish_churn_features(
+    features: DataFrame, root: str, disposition: str = "WRITE_TRUNCATE"
+) -> DataFrame:
     """Store the behavioural features of the users; returns ``features``."""
     return publish_features(
-        features, root, USER, "behavioral", feature_ids=USER.groups["behavioral"].ids
+        features,
+        root,
+        USER,
+        "behavioral",
+        feature_ids=USER.groups["behavioral"].ids,
+        disposition=disposition,
     )
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from tablecraft.operators.factorize import Factorization
 
 # The disposition names callers use, and the Spark save mode of each.
 DISPOSITIONS = {
@@ -73,3 +75,33 @@ def save_model(
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(f"{path}/model")
+
+
+def save_factors(
+    result: Factorization, base: str, pipeline: str, run_id: str, source: str | None = None
+) -> str:
+    """Save both factor tables under ``base/pipeline/run_id``, and a manifest last.
+
+    The manifest holds the rank, the error after every iteration and, as
+    ``source``, what the factors were made from. A folder without one is not a
+    finished run. Factors are stored sorted by id within each file, so a lookup
+    by id skips most of a file.
+    """
+    path = model_path(base, pipeline, run_id)
+    for side, table in (("user", result.user_factors), ("item", result.item_factors)):
+        by_id = table.repartitionByRange(f"{side}_id").sortWithinPartitions(f"{side}_id")
+        write_table(by_id, f"{path}/{side}_factors")
+    spark = result.user_factors.sparkSession
+    manifest = spark.createDataFrame([(result.rank, list(result.errors), source)], _FACTOR_MANIFEST)
+    write_table(manifest.coalesce(1), f"{path}/factor_manifest")
+    return path
+
+
+def load_factors(spark: SparkSession, path: str) -> Factorization:
+    """The factors saved under ``path``; an unfinished run is an error."""
+    found = spark.read.schema(_FACTOR_MANIFEST).parquet(f"{path}/factor_manifest").first()
+    tables = (spark.read.parquet(f"{path}/{side}_factors") for side in ("user", "item"))
+    return Factorization(*tables, tuple(found["errors"]), found["rank"])
+
+
+_FACTOR_MANIFEST = "rank int, errors array<double>, source string"

@@ -10,6 +10,7 @@ from tablecraft.operators.feature_store import feature_table, publish_features,
 from tablecraft.operators.quality import QualityError
 from tablecraft.plans import churn
 from tablecraft.sources.schemas import RAW_USER_EVENTS
+from tablecraft.sources.versioned import read_manifest
 
 DECLARED = {
     "entity": "shop",
@@ -160,9 +161,9 @@ def test_publish_and_read(spark, tmp_path):
     newer = churn.churn_features(
         churn.churn_training_raw(_user_rows(spark), "2024-01-01").limit(1), "2024-01-02"
     )
-    churn.publish_churn_features(newer, str(tmp_path))
-    table = spark.read.parquet(feature_table(str(tmp_path), "user", "behavioral"))
-    assert table.select("feature_date").distinct().count() == 2
+    churn.publish_churn_features(newer, str(tmp_path), "WRITE_APPEND")
+    table = read_features(spark, str(tmp_path), fs.USER, "behavioral", feature_ts="feature_timestamp")
+    assert table.select("feature_timestamp").distinct().count() == 2
     assert read_features(spark, str(tmp_path), fs.USER, "behavioral").columns == [
         "user_id",
         *fs.USER.groups["behavioral"].ids,
@@ -173,3 +174,69 @@ def test_unpublished_table_reads_empty(spark, tmp_path):
     df = read_features(spark, str(tmp_path), fs.USER, "demographic", ["is_premium"])
     assert df.dtypes == [("user_id", "string"), ("is_premium", "boolean")]
     assert df.count() == 0
+
+
+def _group_rows(spark, *values):
+    rows = [(i, dt.datetime(2024, 1, day), x) for i, day, x in values]
+    return spark.createDataFrame(rows, "id string, ts timestamp_ntz, x long")
+
+
+def _stored(spark, root, **options):
+    table = read_features(spark, root, ENTITY, GROUP.name, feature_ts="ts", **options)
+    return sorted((r["id"], r["ts"].day, r["x"]) for r in table.collect())
+
+
+def test_append_merges_by_key_and_touches_its_dates_only(spark, tmp_path):
+    root = str(tmp_path)
+
+    def publish(disposition, *values):
+        publish_features(_group_rows(spark, *values), root, ENTITY, GROUP.name, "ts",
+                         disposition=disposition)
+
+    publish("WRITE_TRUNCATE", ("a", 1, 1), ("b", 1, 2), ("a", 2, 3))
+    slow_reader = read_features(spark, root, ENTITY, GROUP.name, feature_ts="ts")
+    publish("WRITE_APPEND", ("b", 1, 20), ("c", 1, 4), ("a", 3, 5))
+    merged = [("a", 1, 1), ("a", 2, 3), ("a", 3, 5), ("b", 1, 20), ("c", 1, 4)]
+    assert _stored(spark, root) == merged
+    # The reader from before still sees its version, and so can anyone.
+    first = [("a", 1, 1), ("a", 2, 3), ("b", 1, 2)]
+    assert sorted((r["id"], r["ts"].day, r["x"]) for r in slow_reader.collect()) == first
+    assert _stored(spark, root, version=1) == first
+
+    table = feature_table(root, ENTITY.name, GROUP.name)
+    version, folders = read_manifest(spark, table)
+    assert version == 2
+    assert folders[dt.date(2024, 1, 2)] == read_manifest(spark, table, 1)[1][dt.date(2024, 1, 2)]
+
+    publish("WRITE_TRUNCATE", ("z", 9, 9))
+    assert _stored(spark, root) == [("z", 9, 9)]
+    with pytest.raises(QualityError, match="not empty"):
+        publish("WRITE_EMPTY", ("y", 1, 1))
+    publish("WRITE_TRUNCATE")
+    assert _stored(spark, root) == []
+    publish("WRITE_EMPTY", ("y", 1, 1))
+    assert _stored(spark, root) == [("y", 1, 1)]
+    with pytest.raises(QualityError, match="no version"):
+        _stored(spark, root, version=99)
+
+
+def test_writers_of_the_same_version_are_found_out(spark, tmp_path):
+    root = str(tmp_path)
+    publish_features(_group_rows(spark, ("a", 1, 1)), root, ENTITY, GROUP.name, "ts")
+    table = feature_table(root, ENTITY.name, GROUP.name)
+    rival = spark.createDataFrame(
+        [("other", None, None)], "writer string, day date, folder string"
+    )
+    rival.write.mode("append").parquet(f"{table}/manifests/version=1")
+    with pytest.raises(QualityError, match="written twice"):
+        _stored(spark, root)
+
+
+def test_an_unfinished_write_is_not_seen(spark, tmp_path):
+    root = str(tmp_path)
+    publish_features(_group_rows(spark, ("a", 1, 1)), root, ENTITY, GROUP.name, "ts")
+    table = feature_table(root, ENTITY.name, GROUP.name)
+    _group_rows(spark, ("b", 1, 2)).withColumn("d", F.to_date("ts")).write.partitionBy(
+        "d"
+    ).parquet(f"{table}/rows/000002-lost")
+    assert _stored(spark, root) == [("a", 1, 1)]

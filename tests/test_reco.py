@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from results import rows
 from pyspark.ml.evaluation import RankingEvaluator
 from pyspark.sql import functions as F
 
+from tablecraft import sources
 from tablecraft.operators import factorize, matrix, ranking
 from tablecraft.operators.quality import QualityError
 from tablecraft.plans import reco
@@ -42,9 +44,9 @@ def test_matrix(interactions):
         ("u2", "a", 3.0),
         ("u2", "c", 2.0),
     ]
-    wide = matrix.interaction_matrix_wide(interactions, ["a", "b", "z"])
-    assert wide.columns == ["user_id", "item_a", "item_b", "item_z"]
-    assert rows(wide) == [("u1", 2.0, 3.0, 0.0), ("u2", 3.0, 0.0, 0.0)]
+    wide = matrix.interaction_matrix_wide(interactions, ["a", "b", "c", "z"])
+    assert wide.columns == ["user_id", "item_a", "item_b", "item_c", "item_z"]
+    assert rows(wide) == [("u1", 2.0, 3.0, 0.0, 0.0), ("u2", 3.0, 0.0, 2.0, 0.0)]
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +102,48 @@ def test_rank_is_bounded_and_tol_stops(scores):
     assert len(result.user_factors.first().factors) == 3
 
 
+def test_starting_rows_without_a_cell_are_kept(spark, scores):
+    """They count in the error, and are pulled towards zero."""
+    start = factorize.factorize(scores, 2, max_iter=0)
+    idle = spark.createDataFrame([("idle", [3.0, 2.0])], start.user_factors.schema)
+    init = (start.user_factors.unionByName(idle), start.item_factors)
+    before = factorize.factorize(scores, 2, max_iter=0, init=init)
+    after = factorize.factorize(scores, 2, max_iter=2, tol=0.0, init=init)
+    factors = {r.user_id: r.factors for r in after.user_factors.collect()}
+    assert len(factors) == start.user_factors.count() + 1
+    assert factors["idle"] == [0.0, 0.0] and before.error > start.error
+    plain = factorize.factorize(
+        scores, 2, max_iter=2, tol=0.0, init=(start.user_factors, start.item_factors)
+    )
+    assert after.error == pytest.approx(plain.error)
+    with pytest.raises(QualityError, match="lacks a user"):
+        factorize.factorize(scores, 2, init=(start.user_factors.limit(1), start.item_factors))
+
+
+def test_factors_are_stored_with_their_manifest(spark, scores, tmp_path):
+    result = factorize.factorize(scores, 3, max_iter=2, tol=0.0)
+    path = sources.save_factors(result, str(tmp_path), "reco", "r1", source="interactions")
+    assert path == f"{tmp_path}/reco/r1"
+    stored = sources.load_factors(spark, path)
+    assert (stored.rank, stored.errors, stored.iterations) == (3, result.errors, 2)
+    assert rows(stored.user_factors) == rows(result.user_factors)
+    assert rows(stored.item_factors) == rows(result.item_factors)
+    manifest = sources.read_parquet(spark, f"{path}/factor_manifest")
+    assert manifest.first().source == "interactions"
+    with pytest.raises(AnalysisException):
+        sources.load_factors(spark, f"{tmp_path}/reco/unfinished")
+
+
+def test_unlisted_items_are_an_error_or_a_column(spark):
+    data = [("u", 1, "view"), ("u", 999, "purchase"), ("v", None, "view")]
+    seen = spark.createDataFrame(data, "user_id string, item_id int, interaction_type string")
+    with pytest.raises(Exception, match="item is not listed"):
+        matrix.interaction_matrix_wide(seen, [1, 2]).collect()
+    wide = matrix.interaction_matrix_wide(seen, [1, 2], keep_other=True)
+    assert wide.columns == ["user_id", "item_1", "item_2", "item_other"]
+    assert rows(wide) == [("u", 1.0, 0.0, 3.0), ("v", 0.0, 0.0, 1.0)]
+
+
 def test_empty_matrix_is_rejected(scores):
     with pytest.raises(QualityError, match="no non-zero cell"):
         factorize.factorize(scores.where("score = 0"))

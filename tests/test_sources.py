@@ -150,3 +150,15 @@ def test_run_sql_binds_tables_and_values(spark, tmp_path):
 def test_safe_divide_is_inlined(spark):
     df = run_sql(spark, "SELECT SAFE_DIVIDE(id, 2) AS r FROM {t}", tables={"t": spark.range(3)})
     assert df.agg(F.sum("r")).first()[0] == 1.5
+
+
+def test_digest_does_not_depend_on_order_but_on_every_value(spark):
+    data = [(1, "a", 0.5, [1.25, None]), (2, None, -3.0, None), (2, None, -3.0, None)]
+    df = spark.createDataFrame(data, "i int, s string, x double, a array<double>")
+    digest = rows(sources.table_digest(df))
+    assert [(d[0], d[1], d[2]) for d in digest] == [
+        ("a", 3, 1), ("i", 3, 3), ("s", 3, 1), ("x", 3, 3)
+    ]
+    assert rows(sources.table_digest(df.repartition(3).orderBy(F.desc("i")))) == digest
+    for changed in (df.distinct(), df.withColumn("x", F.col("x") + (F.col("i") == 1).cast("int"))):
+        assert rows(sources.table_digest(changed)) != digest

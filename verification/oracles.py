@@ -6,9 +6,13 @@ to the canonical inputs.
 
 from __future__ import annotations
 
+import re
+
+from tablecraft.sources.star_schema import SCHEMAS
 from verification.queries import (
     AGE_DAY,
     AS_OF,
+    CHURN_GATES,
     CHURN_RUN_DATE,
     FIRST_DAY,
     GATES,
@@ -312,6 +316,15 @@ def _long(side: str, factors: str) -> str:
     )
 
 
+def _two_iterations() -> str:
+    return f"""WITH {SCORES},
+            {_nmf_step("w1", "w0", "h0", "user_id", "item_id")},
+            {_nmf_step("h1", "h0", "w1", "item_id", "user_id")},
+            {_nmf_step("w2", "w1", "h1", "user_id", "item_id")},
+            {_nmf_step("h2", "h1", "w2", "item_id", "user_id")}
+            {_long("user", "w2")} UNION ALL {_long("item", "h2")}"""
+
+
 def _wide_items() -> str:
     return ",\n           ".join(
         f"COALESCE(SUM(CASE WHEN item_id = {i} THEN score END), 0.0)::DOUBLE AS item_{i}"
@@ -319,14 +332,33 @@ def _wide_items() -> str:
     )
 
 
-def _gates() -> str:
+def _gates(limits) -> str:
     return " UNION ALL ".join(
         f"SELECT '{name}' AS metric, {name} AS value, CAST({limit} AS DOUBLE) AS threshold, "
         f"{name} >= {limit} AS passed FROM binary_metrics"
-        for name, limit in GATES.items()
+        for name, limit in limits.items()
     )
 
 
+def _column_digest(table: str, column: str, kind: str) -> str:
+    """Count and MD5 total of a column, values written as text."""
+
+    def text(value: str, kind: str) -> str:
+        if kind in ("DOUBLE", "FLOAT"):
+            return f"CAST(CAST(round_even({value}::DOUBLE * 10000, 0) AS BIGINT) AS VARCHAR)"
+        if kind == "TIMESTAMP_NTZ":
+            return f"CAST(epoch_us({value}) AS VARCHAR)"
+        if kind.startswith("ARRAY<"):
+            inner = text("x", kind[6:-1])
+            return f"array_to_string(list_transform({value}, lambda x: coalesce({inner}, 'null')), ',')"
+        return f"CAST({value} AS VARCHAR)"
+
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, COUNT(*) AS row_count,
+        COUNT({column}) AS value_count,
+        coalesce(SUM(CAST('0x' || left(md5({text(column, kind)}), 8) AS BIGINT)), 0)::BIGINT
+            AS checksum FROM {table}"""
+
+
 CHURN_SCORES = f"""WITH RECURSIVE {_churn_scores()}
     SELECT user_id, label, ROUND(p, 3) AS probability,
            CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS predicted FROM churn_scores"""
@@ -341,8 +373,18 @@ def oracle_sql() -> dict[str, str]:
         "csv_scan": "SELECT * FROM orders",
         "parquet_scan": "SELECT * FROM part",
         "load_directory": " UNION ALL ".join(
-            f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in TABLES
+            _column_digest(table, *column.split())
+            for table in TABLES
+            for column in re.split(r", (?=\w+ )", SCHEMAS[table])
         ),
+        "literal_rows": """SELECT CASE WHEN p_size < 16 THEN 'small' WHEN p_size < 36 THEN 'medium'
+            ELSE 'large' END AS level, COUNT(*) AS part_count FROM part GROUP BY level""",
+        "stamped_features": f"""WITH {_behavioral([CHURN_RUN_DATE])}
+            SELECT user_id, TRUE AS is_later, TRUE AS is_query_start FROM behavioral
+            WHERE user_id IS NOT NULL""",
+        "balances_presented": """SELECT c_custkey AS account_id, c_acctbal AS balance
+            FROM customer ORDER BY balance DESC, account_id LIMIT 25""",
+        "run_discarded": "SELECT c_custkey AS account_id, c_acctbal AS balance FROM customer",
         "stage_files": "SELECT * FROM customer",
         "write_dispositions": _accounts(),
         "union_all": _accounts(),
@@ -425,6 +467,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(user_id AS VARCHAR) AS user_id, feature_date, session_count_7d,
                    session_count_30d, total_purchases_30d, days_since_last_login,
                    support_tickets_90d, avg_session_duration_s FROM behavioral""",
+        "feature_append_conflict": f"""WITH {_behavioral(SNAPSHOTS)}
+            SELECT CAST(user_id AS VARCHAR) AS user_id, feature_date, session_count_7d,
+                   session_count_30d, total_purchases_30d, days_since_last_login,
+                   support_tickets_90d + CASE WHEN user_id % 2 = 0
+                       AND feature_date = DATE '{SNAPSHOTS[1]}' THEN 100 ELSE 0 END
+                       AS support_tickets_90d,
+                   avg_session_duration_s FROM behavioral""",
+        "feature_truncate": f"""WITH {_behavioral(SNAPSHOTS[1:2])}
+            SELECT CAST(user_id AS VARCHAR) AS user_id, feature_date, session_count_7d,
+                   session_count_30d, total_purchases_30d, days_since_last_login,
+                   support_tickets_90d, avg_session_duration_s FROM behavioral""",
+        "feature_publish_churn": f"""WITH {_behavioral([CHURN_RUN_DATE])}
+            SELECT CAST(user_id AS VARCHAR) AS user_id,
+                   CAST('{CHURN_RUN_DATE}' AS TIMESTAMP) AS feature_timestamp, session_count_7d,
+                   session_count_30d, total_purchases_30d, days_since_last_login,
+                   support_tickets_90d, avg_session_duration_s
+            FROM behavioral WHERE user_id IS NOT NULL""",
         "feature_conform": f"""
             SELECT CAST(p_partkey AS VARCHAR) AS item_id, DATE '{AS_OF}' AS listed_on,
                    p_type AS category, p_retailprice AS price_usd,
@@ -465,6 +524,9 @@ def oracle_sql() -> dict[str, str]:
         "churn_metrics": f"""WITH RECURSIVE {_churn_scores()},
             scored AS (SELECT p, label AS y FROM churn_scores), {METRICS_OF_SCORED}
             SELECT * FROM binary_metrics""",
+        "churn_gate": f"""WITH RECURSIVE {_churn_scores()},
+            scored AS (SELECT p, label AS y FROM churn_scores), {METRICS_OF_SCORED}
+            {_gates(CHURN_GATES)}""",
         "scaled_features": "WITH s AS (SELECT "
         + ", ".join(
             f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}"
@@ -477,7 +539,7 @@ def oracle_sql() -> dict[str, str]:
         )
         + " FROM lineitem, s",
         "binary_metrics": f"WITH {BINARY_METRICS} SELECT * FROM binary_metrics",
-        "metric_gate": f"WITH {BINARY_METRICS} {_gates()}",
+        "metric_gate": f"WITH {BINARY_METRICS} {_gates(GATES)}",
         "extract_interactions": f"""WITH {RAW_INTERACTIONS} SELECT * FROM raw_interactions
             WHERE ts >= TIMESTAMP '{HALF_TIME}'""",
         "user_item_features": f"""WITH {RAW_INTERACTIONS}
@@ -493,12 +555,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT user_id, item_id, CAST(score AS DOUBLE) AS score FROM v""",
         "interaction_matrix_wide": f"""WITH {SCORES}
             SELECT user_id, {_wide_items()} FROM v GROUP BY user_id""",
-        "nmf_two_iterations": f"""WITH {SCORES},
-            {_nmf_step("w1", "w0", "h0", "user_id", "item_id")},
-            {_nmf_step("h1", "h0", "w1", "item_id", "user_id")},
-            {_nmf_step("w2", "w1", "h1", "user_id", "item_id")},
-            {_nmf_step("h2", "h1", "w2", "item_id", "user_id")}
-            {_long("user", "w2")} UNION ALL {_long("item", "h2")}""",
+        "reco_factors_reload": f"""SELECT *, 2 AS iterations, {NMF_RANK} AS rank
+            FROM ({_two_iterations()})""",
+        "nmf_two_iterations": _two_iterations(),
         "nmf_reconstruction_error": f"""WITH {SCORES},
             dense AS (SELECT w0.id AS user_id, h0.id AS item_id,
                              {" + ".join(f"w0.f{j} * h0.f{j}" for j in range(NMF_RANK))} AS wh

@@ -21,6 +21,7 @@ from tablecraft.operators.feature_schema import (
     violations,
 )
 from tablecraft.operators.feature_store import publish_features, read_features
+from tablecraft.operators.quality import assert_unique
 from tablecraft.operators.latest import latest_features
 from tablecraft.operators.sql import run_sql
 from tablecraft.plans import churn, reco, retail
@@ -42,6 +43,7 @@ HALF_TIME = "2024-01-16"
 PREMIUM_ABOVE = 5000.0
 ITEMS = range(100)
 NMF_RANK = 3
+CHURN_GATES = {"auc": 0.78, "accuracy": 0.01, "f1": 1.01}
 GATES = {"auc": 0.5, "f1": 0.99, "accuracy": 0.2}
 
 _REGISTRY: dict[str, Query] = {}
@@ -75,16 +77,12 @@ def parquet_scan(data: StarSchema) -> DataFrame:
 
 @query
 def load_directory(data: StarSchema) -> DataFrame:
-    counted = [
-        table.agg(F.count("*").alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count"
-        )
-        for name, table in sources.load_dir(data.spark, data.directory).items()
-    ]
-    result = counted[0]
-    for other in counted[1:]:
-        result = result.unionByName(other)
-    return result
+    """Row counts of all tables, and the totals of every column of each."""
+    found = None
+    for name, table in sources.load_dir(data.spark, data.directory).items():
+        digest = sources.table_digest(table).select(F.lit(name).alias("table_name"), "*")
+        found = digest if found is None else found.unionByName(digest)
+    return found
 
 
 @query
@@ -134,6 +132,48 @@ def custom_sql(data: StarSchema) -> DataFrame:
     )
 
 
+@query
+def literal_rows(data: StarSchema) -> DataFrame:
+    """Rows written out in the SQL, joined to a table."""
+    return run_sql(
+        data.spark,
+        sql="""
+            SELECT level, COUNT(*) AS part_count
+            FROM {part} JOIN (VALUES ('small', 0, 15), ('medium', 16, 35), ('large', 36, 999))
+                 AS bound(level, least, most) ON p_size BETWEEN least AND most
+            GROUP BY level
+        """,
+        tables={"part": data.table("part")},
+    )
+
+
+@query
+def stamped_features(data: StarSchema) -> DataFrame:
+    """Features without a fixed time carry the query's start, one for all rows."""
+    raw = churn.churn_training_raw(data.raw_user_events([CHURN_RUN_DATE]), CHURN_RUN_DATE)
+    stamp = F.col("feature_timestamp")
+    return churn.churn_features(raw).select(
+        "user_id",
+        (stamp > F.lit("2024-01-01").cast("timestamp")).alias("is_later"),
+        (stamp == F.current_timestamp()).alias("is_query_start"),
+    )
+
+
+@query
+def balances_presented(data: StarSchema) -> DataFrame:
+    """A sorted report of the 25 largest balances."""
+    accounts = _accounts(data)[0].orderBy(F.desc("balance"), "account_id").limit(25)
+    return accounts.select("account_id", "balance")
+
+
+@query
+def run_discarded(data: StarSchema) -> DataFrame:
+    """A query that is run for its checks only, and then read."""
+    customers, _ = _accounts(data)
+    sources.discard(assert_unique(customers, ["account_id"]))
+    return customers.select("account_id", "balance")
+
+
 # --- scalar functions -------------------------------------------------------
 
 
@@ -299,6 +339,39 @@ def feature_publish_read(data: StarSchema) -> DataFrame:
     )
 
 
+@query
+def feature_append_conflict(data: StarSchema) -> DataFrame:
+    """Appended rows replace those of the same user and date; the others stay."""
+    root = scratch_path(data.spark, "features")
+    features = behavior.user_behavioral(data.table("events"), SNAPSHOTS)
+    publish_features(features, root, USER, "behavioral", feature_ts="feature_date")
+    corrected = features.where(
+        (F.col("feature_date") == _day(SNAPSHOTS[1])) & (F.col("user_id") % 2 == 0)
+    ).withColumn("support_tickets_90d", F.col("support_tickets_90d") + 100)
+    publish_features(
+        corrected, root, USER, "behavioral", feature_ts="feature_date", disposition="WRITE_APPEND"
+    )
+    return read_features(data.spark, root, USER, "behavioral", feature_ts="feature_date")
+
+
+@query
+def feature_truncate(data: StarSchema) -> DataFrame:
+    """A truncating run leaves nothing of dates that it lacks."""
+    root = scratch_path(data.spark, "features")
+    for dates in (SNAPSHOTS, SNAPSHOTS[1:2]):
+        features = behavior.user_behavioral(data.table("events"), dates)
+        publish_features(features, root, USER, "behavioral", feature_ts="feature_date")
+    return read_features(data.spark, root, USER, "behavioral", feature_ts="feature_date")
+
+
+@query
+def feature_publish_churn(data: StarSchema) -> DataFrame:
+    root = scratch_path(data.spark, "features")
+    raw = churn.churn_training_raw(data.raw_user_events([CHURN_RUN_DATE]), CHURN_RUN_DATE)
+    churn.publish_churn_features(churn.churn_features(raw, CHURN_RUN_DATE), root)
+    return read_features(data.spark, root, USER, "behavioral", feature_ts="feature_timestamp")
+
+
 @query
 def feature_conform(data: StarSchema) -> DataFrame:
     catalog = behavior.item_catalog(_catalog_source(data)).withColumn("listed_on", _day(AS_OF))
@@ -382,6 +455,13 @@ def churn_metrics(data: StarSchema) -> DataFrame:
     return metrics.evaluate(_churn_run(data).scores, metrics.METRICS)
 
 
+@query
+def churn_gate(data: StarSchema) -> DataFrame:
+    """The pipeline's gate beside ones that pass and fail."""
+    found = metrics.evaluate(_churn_run(data).scores, metrics.METRICS)
+    return metrics.gate_report(found, CHURN_GATES)
+
+
 @query
 def binary_metrics(data: StarSchema) -> DataFrame:
     return metrics.evaluate(_quality_scores(data), metrics.METRICS)
@@ -440,6 +520,21 @@ def nmf_two_iterations(data: StarSchema) -> DataFrame:
     return _long_factors(result).withColumn("value", F.round("value", 6) + 0.0)
 
 
+@query
+def reco_factors_reload(data: StarSchema) -> DataFrame:
+    """Two rounds of descent, stored and read again with what they come from."""
+    scores = matrix.interaction_matrix(data.raw_interactions())
+    result = factorize.factorize(
+        scores, NMF_RANK, max_iter=2, tol=0.0, init=_starting_factors(scores)
+    )
+    path = sources.save_factors(result, scratch_path(data.spark, "models"), "reco", "r1")
+    stored = sources.load_factors(data.spark, path)
+    return _long_factors(stored).select(
+        "side", "id", "component", (F.round("value", 6) + 0.0).alias("value"),
+        F.lit(stored.iterations).alias("iterations"), F.lit(stored.rank).alias("rank"),
+    )
+
+
 @query
 def nmf_reconstruction_error(data: StarSchema) -> DataFrame:
     scores = matrix.interaction_matrix(data.raw_interactions())
