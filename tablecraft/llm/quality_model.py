@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ HIDDEN = 32
 EPOCHS = 60
 SEED = 20
 _TOKENS = 1 << 17
+_TEXT_BYTES = 1 << 22
 _REMEMBERED = 300_000
 _FEATURES = 2 * DIMENSIONS + 4
 
@@ -68,11 +70,28 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Word and shape buckets in turn, a pair for each word of the text."""
-    words = (text or "").encode("utf-8").split()
-    both = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
-    return np.stack([both >> 16, both & 0xFFFF], 1).ravel()
+def tokens(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Word and shape buckets in turn, a pair for each word, of one text after another.
+
+    Texts are split together, and each distinct word of some is looked up once.
+    """
+    texts = texts.fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + _TEXT_BYTES, "right")))
+        lists = pc.ascii_split_whitespace(texts.slice(at, to - at))
+        words = lists.flatten().dictionary_encode()
+        # Blanks at an end of a text leave an empty word there.
+        known = [_buckets[word.encode()] if word else -1 for word in words.dictionary.to_pylist()]
+        both = np.array(known, np.int64)[words.indices.to_numpy()]
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            found = both[start:end]
+            found = found[found >= 0]
+            yield np.stack([found >> 16, found & 0xFFFF], 1).ravel()
+        at = to
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -89,8 +108,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         waiting: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch.column(0):
-                found = tokens(text.as_py())
+            for found in tokens(batch.column(0)):
                 for at in range(0, len(found), _TOKENS):
                     waiting.append(found[at : at + _TOKENS])
                     size += len(waiting[-1])
@@ -127,28 +145,30 @@ def _add(sums: np.ndarray, index: np.ndarray, texts: list[np.ndarray]) -> None:
     reach = 2 * WINDOW
     gap = np.full(reach, BUCKETS)
     joined = np.concatenate([part for text in texts for part in (text, gap)])
-    marks = np.zeros((len(joined) + reach, DIMENSIONS), np.int8)
-    real = joined < BUCKETS
-    marks[: len(joined)][real] = index[joined[real]]
-    around = np.zeros((len(joined), DIMENSIONS), np.int8)
+    padding = np.zeros((1, MARKS), np.int64)
+    places = np.argsort(index == 0, axis=1, kind="stable")[:, :MARKS]
+    signs = np.take_along_axis(index, places, 1)
+    places = np.concatenate([places, padding])[joined]
+    signs = np.concatenate([signs, padding])[joined].astype(np.float64)
+    rows = joined[:, None] * DIMENSIONS
+    # An index vector has MARKS places only: each neighbour adds to so many.
+    cells, weights = [], []
     for step in range(1, reach + 1):
-        around += marks[step : step + len(joined)]
-        around[step:] += marks[: len(joined) - step]
-    order = np.flatnonzero(real)
-    order = order[np.argsort(joined[order], kind="stable")]
-    buckets = joined[order]
-    if len(buckets):
-        starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
-        sums[buckets[starts]] += np.add.reduceat(around[order], starts, axis=0, dtype=np.int64)
+        cells += [rows[:-step] + places[step:], rows[step:] + places[:-step]]
+        weights += [signs[step:], signs[:-step]]
+    size = (BUCKETS + 1) * DIMENSIONS
+    added = np.bincount(
+        np.concatenate(cells).ravel(), np.concatenate(weights).ravel(), minlength=size
+    )
+    sums += added[: BUCKETS * DIMENSIONS].reshape(BUCKETS, DIMENSIONS).astype(np.int64)
 
 
-def pooled(vectors: np.ndarray, text: str | None) -> np.ndarray:
-    """Mean vector of a text's words, mean vector of their shapes, and its size.
+def pooled(vectors: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Of a text's tokens: mean vector of its words, mean vector of their shapes, and its size.
 
     The last four: logarithm of the number of words, share of distinct ones, and
     the lengths of both means, which are large where few words are repeated.
     """
-    found = tokens(text)
     if not len(found):
         return np.zeros(_FEATURES, np.float32)
     words, shapes = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
@@ -236,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [pooled(shared.value, text.as_py()).tobytes() for text in batch.column(2)]
+            rows = [pooled(shared.value, found).tobytes() for found in tokens(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["of", "y", "x"]
             )
@@ -269,7 +289,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            x = [pooled(known.vectors, text.as_py()) for text in batch.column(2)]
+            x = [pooled(known.vectors, found) for found in tokens(batch.column(2))]
             x = (np.array(x, float).reshape(-1, _FEATURES) - known.mean) / known.scale
             # what training never came near says no more than its edge
             _, out = _forward(known.layers, np.clip(x, -8, 8))

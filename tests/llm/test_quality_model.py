@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tablecraft.llm import quality_model
 from tablecraft.llm.queries import queries
@@ -25,6 +26,25 @@ def test_shapes():
     assert quality_model.shape("a1b2,") == "x9x9,"
 
 
+def plain_tokens(text):
+    found = []
+    for word in (text or "").encode().split():
+        word = word.decode()
+        letters = "".join(c for c in word if c.isalpha()).lower() or word
+        for key in (letters, "shape " + quality_model.shape(word)):
+            found.append(zlib.crc32(key.encode()) % quality_model.BUCKETS)
+    return found
+
+
+def test_tokens_of_edge_cases(monkeypatch, edge_docs):
+    texts = [r["text"] for r in edge_docs.collect()] + [" a\x1cb ", "é\u00a0x", "\n\n"]
+    for size in (1 << 22, 100, 1):
+        monkeypatch.setattr(quality_model, "_TEXT_BYTES", size)
+        found = [part.tolist() for part in quality_model.tokens(pa.array(texts, pa.string()))]
+        assert found == [plain_tokens(text) for text in texts]
+    assert list(quality_model.tokens(pa.array([], pa.string()))) == []
+
+
 def test_neighbours_are_added_up(monkeypatch):
     index = quality_model._index_vectors()
     assert (np.abs(index).sum(1) == quality_model.MARKS).all()
