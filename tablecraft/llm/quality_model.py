@@ -27,7 +27,7 @@ TRAIN_TEXTS = 20_000
 HIDDEN = 32
 EPOCHS = 60
 SEED = 20
-_TOKENS = 1 << 17
+_TOKENS = 1 << 18
 _TEXT_BYTES = 1 << 22
 _REMEMBERED = 300_000
 _FEATURES = 2 * DIMENSIONS + 4
@@ -145,22 +145,24 @@ def _add(sums: np.ndarray, index: np.ndarray, texts: list[np.ndarray]) -> None:
     reach = 2 * WINDOW
     gap = np.full(reach, BUCKETS)
     joined = np.concatenate([part for text in texts for part in (text, gap)])
-    padding = np.zeros((1, MARKS), np.int64)
+    # Equal pairs of neighbours are counted first, and an index vector has MARKS
+    # places only, so few additions are left.
+    pairs = [joined[:-step] * (BUCKETS + 1) + joined[step:] for step in range(1, reach + 1)]
+    pairs = np.sort(np.concatenate(pairs))
+    firsts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    times = np.diff(np.append(firsts, len(pairs))).astype(np.float64)
+    one, other = np.divmod(pairs[firsts], BUCKETS + 1)
+    real = (one < BUCKETS) & (other < BUCKETS)
+    one, other = one[real], other[real]
+    one, other = np.concatenate([one, other]), np.concatenate([other, one])
+    times = np.tile(times[real], 2)
     places = np.argsort(index == 0, axis=1, kind="stable")[:, :MARKS]
     signs = np.take_along_axis(index, places, 1)
-    places = np.concatenate([places, padding])[joined]
-    signs = np.concatenate([signs, padding])[joined].astype(np.float64)
-    rows = joined[:, None] * DIMENSIONS
-    # An index vector has MARKS places only: each neighbour adds to so many.
-    cells, weights = [], []
-    for step in range(1, reach + 1):
-        cells += [rows[:-step] + places[step:], rows[step:] + places[:-step]]
-        weights += [signs[step:], signs[:-step]]
-    size = (BUCKETS + 1) * DIMENSIONS
+    cells = one[:, None] * DIMENSIONS + places[other]
     added = np.bincount(
-        np.concatenate(cells).ravel(), np.concatenate(weights).ravel(), minlength=size
+        cells.ravel(), (signs[other] * times[:, None]).ravel(), minlength=BUCKETS * DIMENSIONS
     )
-    sums += added[: BUCKETS * DIMENSIONS].reshape(BUCKETS, DIMENSIONS).astype(np.int64)
+    sums += added.reshape(BUCKETS, DIMENSIONS).astype(np.int64)
 
 
 def pooled(vectors: np.ndarray, found: np.ndarray) -> np.ndarray:
