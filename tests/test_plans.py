@@ -14,8 +14,8 @@ from verification.queries import queries
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
 
-LAZY = sorted(set(queries()) - {"churn_scores", "churn_metrics", "churn_model_reload",
-                                "nmf_factors", "nmf_two_iterations"})
+LAZY = sorted(set(queries()) - {"churn_scores", "churn_metrics", "churn_model_reload", "churn_gate",
+                                "nmf_factors", "nmf_two_iterations", "reco_factors_reload"})
 
 
 def plan_of(df) -> str:

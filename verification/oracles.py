@@ -377,7 +377,7 @@ def oracle_sql() -> dict[str, str]:
             for table in TABLES
             for column in re.split(r", (?=\w+ )", SCHEMAS[table])
         ),
-        "literal_rows": """SELECT CASE WHEN p_size < 16 THEN 'small' WHEN p_size < 36 THEN 'medium'
+        "literal_rows": """SELECT CASE WHEN p_size < 16 THEN 'small' WHEN p_size < 48 THEN 'medium'
             ELSE 'large' END AS level, COUNT(*) AS part_count FROM part GROUP BY level""",
         "stamped_features": f"""WITH {_behavioral([CHURN_RUN_DATE])}
             SELECT user_id, TRUE AS is_later, TRUE AS is_query_start FROM behavioral

@@ -139,8 +139,8 @@ def literal_rows(data: StarSchema) -> DataFrame:
         data.spark,
         sql="""
             SELECT level, COUNT(*) AS part_count
-            FROM {part} JOIN (VALUES ('small', 0, 15), ('medium', 16, 35), ('large', 36, 999))
-                 AS bound(level, least, most) ON p_size BETWEEN least AND most
+            FROM {part} JOIN (VALUES (0, 'small'), (1, 'medium'), (2, 'medium'), (3, 'large'))
+                 AS step(no, level) ON p_size DIV 16 = no
             GROUP BY level
         """,
         tables={"part": data.table("part")},
