@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.llm.quality_rules import BLANKS, let
+from tablecraft.llm.text import ROW, with_row_keys
 from tablecraft.session import materialize
 
 # Shorter lines are duplicates only if they are equal.
@@ -24,13 +25,14 @@ _LAST_ID = (1 << 63) - 1
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """``id, no, line, h`` of every line with a word, blanks at its ends cut off."""
+    """``id, row, no, line, h`` of every line with a word, blanks at its ends cut off."""
     return (
         docs.select(
             F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("id"),
+            F.col(ROW).alias("row"),
             F.posexplode(F.split("text", "\n")).alias("no", "raw"),
         )
-        .select("id", "no", F.btrim("raw", F.lit(BLANKS)).alias("line"))
+        .select("id", "row", "no", F.btrim("raw", F.lit(BLANKS)).alias("line"))
         .where(F.col("line") != "")
         .withColumn("h", F.xxhash64("line"))
     )
@@ -92,7 +94,7 @@ def _without(text: Column, place: Column) -> Column:
 def near_earlier(lines: DataFrame, first: DataFrame) -> DataFrame:
     """``h`` of the lines that are one edit away from a line that comes earlier.
 
-    ``first`` has the place ``id, no`` of the first occurrence of each ``h``. In
+    ``first`` has the place ``id, row, no`` of the first occurrence of each ``h``. In
     a group of equal variants the earliest line decides for all others, so no
     pairs are made: lines that agree without character i differ in it only, and
     a shorter line that equals a longer one's variant is one deletion away.
@@ -116,24 +118,24 @@ def near_earlier(lines: DataFrame, first: DataFrame) -> DataFrame:
     longer_keys = F.transform(places, lambda i: F.xxhash64(key, F.lit(0), _without(block, i)))
     variants = materialize(
         rows.select(
-            "h", "longer", "block", "id", "no",
+            "h", "longer", "block", "id", "row", "no",
             F.explode(
                 F.when(F.col("longer"), F.array_distinct(longer_keys)).otherwise(shorter_keys)
             ).alias("variant"),
         ),
         "line-variants",
     )
-    place = F.struct("id", "no", "block")
+    place = F.struct("id", "row", "no", "block")
     earliest = variants.groupBy("variant").agg(
         F.min(F.when(~F.col("longer"), place)).alias("short"),
         F.min(F.when(F.col("longer"), place)).alias("long"),
         (F.min("h") != F.max("h")).alias("several"),
     ).where("several")
-    own = F.struct("id", "no")
+    own = F.struct("id", "row", "no")
 
     def decides(other: str) -> Column:
         partner = F.col(other)
-        earlier = F.struct(partner["id"], partner["no"]) < own
+        earlier = F.struct(partner["id"], partner["row"], partner["no"]) < own
         return earlier & (F.levenshtein(block, partner["block"], EDITS) >= 0)
 
     decided = F.when(F.col("longer"), decides("short")).otherwise(
@@ -153,22 +155,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ``__lines`` and ``__dropped``: lines with a word, and those removed.
 
     A null text stays null; a text that loses all its lines becomes empty. Rows
-    without an id come last and count as one document; so do rows that share an
-    id, each of which keeps the lines its id keeps. An empty table gives an
+    without an id come last. Rows that share an id, or have none, are documents
+    of their own, in the order in which they are read. An empty table gives an
     empty result.
     """
-    lines = document_lines(docs)
+    keyed = with_row_keys(docs, "line-rows")
+    lines = document_lines(keyed)
     first = materialize(
-        lines.groupBy("h").agg(F.min(F.struct("id", "no")).alias("at")).select("h", "at.*"),
+        lines.groupBy("h").agg(F.min(F.struct("id", "row", "no")).alias("at")).select("h", "at.*"),
         "first-lines",
     )
     gone = near_earlier(lines, first)
     kept = (
         first.join(gone, "h", "left_anti")
-        .groupBy(F.col("id").alias("__id"))
+        .groupBy(F.col("row").alias(ROW))
         .agg(F.collect_list("no").alias("__kept"))
     )
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)))
     none = F.array().cast("array<int>")
 
     def rebuilt(parts: Column) -> Column:
@@ -184,7 +186,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             (F.size(parts) - F.size(order)).cast("long").alias("dropped"),
         )
 
-    result = named.join(kept, "__id", "left").withColumn(
+    result = keyed.join(kept, ROW, "left").withColumn(
         "__new", let(F.split("text", "\n"), rebuilt)
     )
     others = [F.col("__new.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecraft.llm.text import word_count
+from tablecraft.llm.text import ROW, with_row_keys, word_count
 from tablecraft.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -21,13 +21,16 @@ _TIME_RANGES = 1 << 16
 _RANGES = 4096  # the last one holds all later times
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, place``; size in words, 0 for a null text.
+def document_sizes(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, source, size, place`` and columns to keep; size in words, 0 for a null text.
 
-    ``place`` orders documents at random: a hash of the id and a seed.
+    ``place`` orders documents at random: a hash of the id and a seed. Without
+    an id it is one of the text, so that such rows spread over all places.
     """
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}"))
+    of_text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), of_text), F.lit(f":{SEED}"))
     return docs.select(
+        *keep,
         F.col("doc_id").cast("long"),
         F.col("source").cast("string"),
         word_count(F.col("text")).alias("size"),
@@ -82,7 +85,9 @@ def source_targets(
     )
 
 
-def finish_words(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def finish_words(
+    sizes: DataFrame, targets: DataFrame, keep: Sequence[str] = ()
+) -> DataFrame:
     """``doc_id, source, place, size, source_size, target, done`` per document.
 
     ``done`` counts the words of its source up to and with the document, in
@@ -101,14 +106,16 @@ def finish_words(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         .select(F.col("source").alias("of"), F.col("group").alias("of_group"), "before",
                 "source_size", "target")
     )
-    inside = Window.partitionBy("source", "group").orderBy("place", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, 0
+    inside = (
+        Window.partitionBy("source", "group")
+        .orderBy("place", "doc_id", "size", *keep)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("group") == F.col("of_group"))
     return (
         grouped.withColumn("within", F.sum("size").over(inside))
         .join(totals, same)
-        .select("doc_id", "source", "place", "size", "source_size", "target",
+        .select(*keep, "doc_id", "source", "place", "size", "source_size", "target",
                 (F.col("before") + F.col("within")).alias("done"))
     )
 
@@ -118,11 +125,16 @@ def _time(copy: Column | int) -> Column:
     return (F.col("done") + copy * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """How often the mix takes every document.
 
-    Returns a row per row of ``docs``: ``doc_id, source, size, source_size,
-    target, copies, taken``; the last is in words. Documents are taken whole, in
+    Returns a row per row of ``docs``: the columns to ``keep``, ``doc_id, source,
+    size, source_size, target, copies, taken``; the last is in words. Documents are taken whole, in
     the order of their virtual finish times over all sources, until the next one
     would pass the budget, the sum of all targets. So each source comes within
     about one document of its target, and no document is taken more than twice.
@@ -130,9 +142,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     source is a source, a null id an id like any other; repeated rows are
     documents of their own. An empty table gives an empty result.
     """
-    sizes = materialize(document_sizes(docs), "mix-sizes")
+    sizes = materialize(document_sizes(docs, keep), "mix-sizes")
     targets = materialize(source_targets(sizes, weights, share), "mix-targets")
-    timed = materialize(finish_words(sizes, targets), "mix-times")
+    timed = materialize(finish_words(sizes, targets, keep), "mix-times")
     last = _last_taken(timed, targets)
     order = (F.col("place"), F.coalesce("doc_id", F.lit(_NO_ID)))
     copies = F.lit(0)
@@ -146,7 +158,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
             taken = taken | reached
         copies = copies + F.when((F.col("size") > 0) & taken, 1).otherwise(0)
     return timed.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies",
+        *keep, "doc_id", "source", "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
 
@@ -202,20 +214,28 @@ def _last_taken(timed: DataFrame, targets: DataFrame) -> tuple | None:
     return found and tuple(found)
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as ``mixed`` takes its id.
+def repeat_rows(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mixed`` takes its key.
 
-    Rows are matched by ``doc_id``. Rows that share an id are one document here
-    and take the largest number of copies found for it; rows without an id are
-    left out, as nothing can say how often they were taken. All columns of
-    ``docs`` are kept.
+    Rows are matched by ``key``. Rows that share one are one document here and
+    take the largest number of copies found for it; rows without one are left
+    out, as nothing can say how often they were taken: ``mixed_rows`` loses
+    none. All columns of ``docs`` are kept.
     """
     copies = (
-        mixed.where((F.col("copies") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
+        mixed.where((F.col("copies") > 0) & F.col(key).isNotNull())
+        .groupBy(key)
         .agg(F.max("copies").alias("__copies"))
     )
     times = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
-    return (
-        docs.join(copies, "doc_id").select(*docs.columns, times).select(*docs.columns)
-    )
+    return docs.join(copies, key).select(*docs.columns, times).select(*docs.columns)
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of the mix, each as often as ``mix`` takes that very row.
+
+    Rows are told apart by a number of their own, so ids may repeat or be null.
+    All columns of ``docs`` are kept; an empty table gives an empty result.
+    """
+    keyed = with_row_keys(docs, "mix-rows")
+    return repeat_rows(keyed, mix(keyed, keep=(ROW,)), ROW).select(*docs.columns)

@@ -12,7 +12,7 @@ WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 MIXING = f"""
 WITH sized AS (
     SELECT doc_id, source, {WORDS}::BIGINT AS size,
-           substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix-1'), 1, 16) AS place
+           substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':mix-1'), 1, 16) AS place
     FROM documents),
 per AS (
     SELECT source, sum(size)::BIGINT AS source_size,

@@ -501,6 +501,22 @@ def checked_links(
     return found
 
 
+def _content() -> list[Column]:
+    """Two hashes that tell the words of a text, A-Z lower-cased, from all others."""
+    text = F.concat_ws(" ", F.transform(F.split(F.coalesce("text", F.lit("")), GAP), ascii_lower))
+    return [F.xxhash64(F.trim(text)), F.xxhash64(F.lit(1), F.trim(text))]
+
+
+def similar_texts(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """``rep, root`` of the texts that are similar to another one, directly or over others.
+
+    ``texts`` has ``rep, text``, a row per distinct text.
+    """
+    members = prefix_members(texts, words, least)
+    classes = connected_components(checked_links(members, texts, words, least))
+    return classes.select(F.col("node").alias("rep"), "root")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: groups of copies and near copies.
 
@@ -512,26 +528,57 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     differs in about ten bits, too far for a search in 64 bits.
 
     Rows with a null id get no row. Texts without words are copies of each other.
-    Rows that share an id are one document. An empty table gives an empty result.
+    Rows that share an id are compared each with its own text. An empty table
+    gives an empty result.
     """
-
-    text = F.concat_ws(" ", F.transform(F.split(F.coalesce("text", F.lit("")), GAP), ascii_lower))
+    one, two = _content()
     named = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long"),
-        F.xxhash64(F.trim(text)).alias("one"),
-        F.xxhash64(F.lit(1), F.trim(text)).alias("two"),
-        "text",
+        F.col("doc_id").cast("long"), one.alias("one"), two.alias("two"), "text"
     )
-    # copies first: one document stands for all texts with the same words
+    # copies first: one row stands for all texts with the same words
     texts = materialize(
-        named.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")),
+        named.groupBy("one", "two")
+        .agg(F.min("doc_id").alias("least_id"), F.first("text").alias("text"))
+        .withColumn("rep", F.monotonically_increasing_id()),
         "distinct-texts",
     )
-    members = prefix_members(texts, words, least)
-    classes = connected_components(checked_links(members, texts, words, least))
-    smallest = classes.groupBy("root").agg(F.min("node").alias("smallest"))
-    found = classes.join(smallest, "root").select(F.col("node").alias("rep"), "smallest")
-    known = texts.select("one", "two", "rep").join(found, "rep", "left").select(
-        "one", "two", F.coalesce("smallest", "rep").alias("component_id")
+    found = similar_texts(texts.select("rep", "text"), words, least)
+    known = texts.select("one", "two", "rep", "least_id").join(found, "rep", "left").select(
+        "one", "two", "least_id", F.coalesce("root", "rep").alias("root")
     )
+    smallest = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    known = known.join(smallest, "root").select("one", "two", "component_id")
     return named.drop("text").join(known, ["one", "two"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without copies and near copies, all columns kept.
+
+    Groups are those of ``near_duplicates``, over all rows: of each the row with
+    the smallest ``doc_id`` stays, rows without an id last, and of rows with one
+    id that with the smallest hash of its text. Of equal rows any one stays. Rows
+    that share an id, or have none, are judged by their texts like all others;
+    texts without words are copies of each other. An empty table gives an empty
+    result.
+    """
+    # Ranked before they are shuffled: of a third of all rows with one text, each
+    # task passes one on.
+    order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text"))
+    copies = Window.partitionBy("__one", "__two").orderBy(*order)
+    one, two = _content()
+    firsts = materialize(
+        docs.withColumns({"__one": one, "__two": two})
+        .withColumn("__rank", F.row_number().over(copies))
+        .where(F.col("__rank") == 1)
+        .select(*docs.columns, F.monotonically_increasing_id().alias("__rep")),
+        "first-copies",
+    )
+    texts = firsts.select(F.col("__rep").alias("rep"), "text")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col("__rep"))
+    grouped = firsts.select(F.col("__rep").alias("rep"), place.alias("place")).join(
+        materialize(similar_texts(texts, words, least), "similar-texts"), "rep"
+    )
+    winners = grouped.groupBy("root").agg(F.min_by("rep", "place").alias("winner"))
+    gone = grouped.join(winners, "root").where(F.col("rep") != F.col("winner"))
+    gone = gone.select(F.col("rep").alias("__rep"))
+    return firsts.join(gone, "__rep", "left_anti").select(*docs.columns)

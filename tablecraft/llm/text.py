@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecraft.session import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+ROW = "__row"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -18,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_keys(docs: DataFrame, label: str) -> DataFrame:
+    """``docs``, written out with a number of its own for every row in ``ROW``.
+
+    Rows that share an id, or have none, are told apart by it. The numbers grow
+    in the order in which rows are read; they are stored, so a task that is run
+    again doesn't change them.
+    """
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def words(text: Column) -> Column:
     """Array of the words; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda word: word != "")

@@ -91,6 +91,24 @@ def test_edge_cases(edge_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    line = "A line that every one of these rows repeats"
+    rows = [
+        (1, f"{line}\nfirst of its own"),
+        (5, f"second of its own\n{line}"),
+        (5, f"{line}\nthird of its own"),
+        (None, f"{line}\nfourth of its own"),
+        (None, line),
+        (None, f"{line[:-1]}\n{line}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    result = line_dedup.dedup_lines(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in result) == sorted([
+        (1, rows[0][1]), (5, "second of its own"), (5, "third of its own"),
+        (0, "fourth of its own"), (0, ""), (0, ""),
+    ])
+
+
 def test_template_lines_make_no_pairs(spark, small):
     """Many lines of one form: rows made stay in proportion to the lines."""
     texts = [f"Order number {i:06d} was shipped on time" for i in range(2000)]

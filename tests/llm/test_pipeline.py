@@ -1,7 +1,8 @@
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from tablecraft.llm import simhash
+from tablecraft.llm import mixing, simhash
 from tablecraft.session import materialize
 
 
@@ -72,3 +73,50 @@ def test_stages_handle_edge_cases(spark, edge_docs, no_docs):
             assert result.count() >= 0
             if stage is not pipeline.STAGES[-1][1]:
                 assert result.columns == docs.columns
+
+
+UNCLEAR_IDS = [
+    (7, "Entirely different words stand in the first of the two texts here."),
+    (7, "Nothing that the other text says is said again by this second one."),
+    (None, "A row without an id has a text that nobody else in the table has."),
+    (None, "Another row without an id has something of its own to tell as well."),
+    (None, "A  row without an id has a text that nobody else in the TABLE has."),
+    (3, "Only this row has both an id and words that are found nowhere else."),
+    (3, "Only this row has both an id and words that are found nowhere else."),
+    (None, "Only this row has both an id and words that are found nowhere else."),
+]
+
+
+@pytest.fixture(scope="module")
+def unclear_docs(spark):
+    """Ids that are null or shared, with equal and different texts."""
+    rows = [(i, text, "en", "one", len(text)) for i, text in UNCLEAR_IDS]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"
+    )
+
+
+def test_near_copies_are_judged_by_text_whatever_the_id(spark, unclear_docs):
+    kept = pipeline.drop_near_copies(spark, unclear_docs, "").collect()
+    found = sorted((r["doc_id"], " ".join(r["text"].lower().split())) for r in kept if r["doc_id"])
+    nulls = sorted(" ".join(r["text"].lower().split()) for r in kept if r["doc_id"] is None)
+    assert found == sorted((i, UNCLEAR_IDS[n][1].lower()) for n, i in ((0, 7), (1, 7), (5, 3)))
+    assert nulls == sorted(UNCLEAR_IDS[n][1].lower() for n in (2, 3))
+
+
+def test_kept_rows_agree_with_the_groups(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    smallest = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(smallest)
+
+
+def test_the_mix_loses_no_row_for_its_id(spark):
+    texts = [f"text {n} " + "word " * (n % 5) for n in range(40)]
+    rows = [(None if n < 20 else n % 4, t, f"s{n % 2}") for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = mixing.mix(docs).agg(F.sum("copies"), F.sum("taken")).first()
+    mixed = pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns and mixed.count() == copies[0]
+    words = sum(len(r["text"].split()) for r in mixed.collect())
+    assert words == copies[1]
+    assert mixed.groupBy(*docs.columns).count().where("count > 2").count() == 0
