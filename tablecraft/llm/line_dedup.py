@@ -65,15 +65,10 @@ def _blocks(group: Column, text: Column, longer: Column, parts: int) -> list[tup
 def _shared(texts: DataFrame, entries: list[tuple[Column, ...]]) -> DataFrame:
     """``h, key, longer, block`` of the blocks whose key two lines have.
 
-    ``entries`` are those of every row of ``texts``, which has ``h``. The keys are
-    counted without the blocks.
+    ``entries`` are those of every row of ``texts``, which has ``h``. Keys are counted
+    and looked up without the blocks, which are cut out of the lines concerned only.
     """
     counted = texts.select("h", F.explode(F.array(*(key for key, _, _ in entries))).alias("key"))
-    named = [
-        F.struct(key.alias("key"), longer.alias("longer"), block.alias("block"))
-        for key, longer, block in entries
-    ]
-    keyed = texts.select("h", F.explode(F.array(*named)).alias("k")).select("h", "k.*")
     several = materialize(
         counted.groupBy("key")
         .agg(F.min("h").alias("least"), F.max("h").alias("most"))
@@ -81,6 +76,18 @@ def _shared(texts: DataFrame, entries: list[tuple[Column, ...]]) -> DataFrame:
         .select("key"),
         "shared-keys",
     )
+    concerned = materialize(
+        counted.join(several, "key", "left_semi").select("h").distinct(), "concerned-lines"
+    )
+    named = [
+        F.struct(key.alias("key"), longer.alias("longer"), block.alias("block"))
+        for key, longer, block in entries
+    ]
+    keyed = (
+        texts.join(concerned, "h", "left_semi")
+        .select("h", F.explode(F.array(*named)).alias("k"))
+        .select("h", "k.*")
+    )
     return materialize(keyed.join(several, "key", "left_semi").distinct(), "shared-blocks")
 
 
