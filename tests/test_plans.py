@@ -15,7 +15,8 @@ SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
 
 LAZY = sorted(set(queries()) - {"churn_scores", "churn_metrics", "churn_model_reload", "churn_gate",
-                                "nmf_factors", "nmf_two_iterations", "reco_factors_reload"})
+                                "nmf_factors", "nmf_two_iterations", "reco_factors_reload",
+                                "feature_view_sync", "item_engagement_stream"})
 
 
 def plan_of(df) -> str:
@@ -68,6 +69,15 @@ def test_asof_needs_one_shuffle_beside_the_ranges(plans):
     assert "Join" not in plan
 
 
+def test_a_one_day_report_thins_out_the_lines_first(plans):
+    """The lines meet the day's keys below the aggregate that reduces them."""
+    plan = plans["daily_report_one_day"]
+    reduced = plan.index("partial_min(l_partkey")
+    semi = re.search(r"LeftSemi", plan)
+    assert semi and reduced < semi.start() < plan.index("FileScan parquet [l_orderkey", reduced)
+    assert "LeftSemi" not in plans["daily_report"]
+
+
 def test_registry_and_sql_cover_each_other():
     assert set(oracle_sql()) <= set(queries())
     without = set(queries()) - set(oracle_sql())

@@ -364,6 +364,21 @@ CHURN_SCORES = f"""WITH RECURSIVE {_churn_scores()}
            CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS predicted FROM churn_scores"""
 
 
+def _engagement(condition: str = "") -> str:
+    return f"""WITH {RAW_INTERACTIONS},
+    recent AS (SELECT *, CAST(ts AS DATE) AS d FROM raw_interactions
+               WHERE CAST(ts AS DATE) <= DATE '{AS_OF}'
+                 AND CAST(ts AS DATE) > DATE '{AS_OF}' - 30 {condition})
+    SELECT item_id,
+           COUNT(*) FILTER (WHERE interaction_type = 'view'
+                              AND d > DATE '{AS_OF}' - 7) AS view_count_7d,
+           COUNT(*) FILTER (WHERE interaction_type = 'purchase') AS purchase_count_30d,
+           CAST(COUNT(*) FILTER (WHERE interaction_type = 'purchase') AS DOUBLE)
+             / NULLIF(COUNT(*) FILTER (WHERE interaction_type = 'view'), 0)
+             AS conversion_rate_30d
+    FROM recent GROUP BY item_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     staged = f"""staged_orders AS (SELECT * FROM raw_orders
         WHERE order_date BETWEEN DATE '{FIRST_DAY}' AND DATE '{LAST_DAY}'),
@@ -448,18 +463,8 @@ def oracle_sql() -> dict[str, str]:
             FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey
             LEFT JOIN (SELECT o_custkey, MIN(o_orderdate) AS since FROM orders
                        GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey""",
-        "item_engagement": f"""WITH {RAW_INTERACTIONS},
-            recent AS (SELECT *, CAST(ts AS DATE) AS d FROM raw_interactions
-                       WHERE CAST(ts AS DATE) <= DATE '{AS_OF}'
-                         AND CAST(ts AS DATE) > DATE '{AS_OF}' - 30)
-            SELECT item_id,
-                   COUNT(*) FILTER (WHERE interaction_type = 'view'
-                                      AND d > DATE '{AS_OF}' - 7) AS view_count_7d,
-                   COUNT(*) FILTER (WHERE interaction_type = 'purchase') AS purchase_count_30d,
-                   CAST(COUNT(*) FILTER (WHERE interaction_type = 'purchase') AS DOUBLE)
-                     / NULLIF(COUNT(*) FILTER (WHERE interaction_type = 'view'), 0)
-                     AS conversion_rate_30d
-            FROM recent GROUP BY item_id""",
+        "item_engagement": _engagement(),
+        "item_engagement_stream": _engagement("AND item_id IS NOT NULL"),
         "item_catalog": """
             SELECT p_partkey AS item_id, p_type AS category, p_retailprice AS price_usd,
                    CAST(p_size AS BIGINT) AS stock_count FROM part""",
@@ -505,6 +510,11 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id
                               ORDER BY ts DESC, event_id DESC) AS newest FROM events)
             WHERE newest = 1""",
+        "feature_view_sync": """
+            SELECT user_id, ts, event_id, event_type, value FROM (
+                SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id
+                              ORDER BY ts DESC, event_id DESC) AS newest FROM events)
+            WHERE newest = 1 AND user_id IS NOT NULL""",
         "feature_asof": ASOF,
         "feature_asof_split": ASOF,
         "churn_training_raw": f"WITH {_churn_raw()} SELECT * FROM churn_training_raw",

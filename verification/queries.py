@@ -27,6 +27,8 @@ from tablecraft.operators.sql import run_sql
 from tablecraft.plans import churn, reco, retail
 from tablecraft.session import scratch_path
 from tablecraft.sources.star_schema import StarSchema
+from tablecraft.streaming.engagement import read_item_engagement, sync_item_engagement
+from tablecraft.streaming.feature_view import read_feature_view, sync_feature_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -280,9 +282,8 @@ def daily_report(data: StarSchema) -> DataFrame:
 
 @query
 def daily_report_one_day(data: StarSchema) -> DataFrame:
-    return retail.daily_report(
-        data.raw_orders(), data.raw_inventory(), data.raw_returns(), RUN_DATE
-    )
+    orders = data.raw_orders(RUN_DATE, RUN_DATE)
+    return retail.daily_report(orders, data.raw_inventory(), data.raw_returns(), RUN_DATE)
 
 
 # --- features ---------------------------------------------------------------
@@ -396,6 +397,38 @@ def feature_latest(data: StarSchema) -> DataFrame:
     return latest_features(data.table("events"), "user_id", "ts", tie_break=["event_id"])
 
 
+@query
+def feature_view_sync(data: StarSchema) -> DataFrame:
+    """The latest rows of all events, by a view synced after each of two publications."""
+    events = data.table("events").where(F.col("user_id").isNotNull())
+    table, view, checkpoint = (
+        scratch_path(data.spark, f"view-{what}") for what in ("table", "rows", "checkpoint")
+    )
+    late = F.col("ts") < F.lit(HALF_TIME)
+    for published in (events.where(~late), events.where(late)):
+        # The pair is the time, so that a tie falls as in the batch result.
+        timed = published.select("user_id", F.struct("ts", "event_id").alias("at"), "event_type", "value")
+        timed.write.mode("append").parquet(table)
+        sync_feature_view(data.spark, table, view, checkpoint, "user_id", "at", buckets=16)
+    rows = read_feature_view(data.spark, view)
+    return rows.select("user_id", "at.ts", "at.event_id", "event_type", "value")
+
+
+@query
+def item_engagement_stream(data: StarSchema) -> DataFrame:
+    """Engagement from a stream that sees the older half of the events last."""
+    interactions = data.raw_interactions()
+    table, view, checkpoint = (
+        scratch_path(data.spark, f"engagement-{what}") for what in ("table", "days", "checkpoint")
+    )
+    late = F.col("ts") < F.lit(HALF_TIME)
+    for published in (interactions.where(~late), interactions.where(late)):
+        published.write.mode("append").parquet(table)
+        stream = data.spark.readStream.schema(interactions.schema).parquet(table)
+        sync_item_engagement(data.spark, stream, view, checkpoint, lateness="60 days")
+    return read_item_engagement(data.spark, view, AS_OF)
+
+
 @query
 def feature_asof(data: StarSchema) -> DataFrame:
     return asof_features(*_asof_inputs(data), "user_id", "ts", "seen_at")
