@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions import or_zero, tier, within_dates
 from tablecraft.operators.exact import add_up, digits, exact_totals, total
+from tablecraft.operators.quality import unique_for_join
 
 
 def extract_orders(
@@ -72,10 +73,10 @@ def agg_refunds(staged_returns: DataFrame, staged_orders: DataFrame) -> DataFram
 
     Returns are summed per order before the join, so an order with very many
     returns reaches the join as one row, or a few if amounts differ widely in size.
+    A repeated order would count its refunds again, and is an error.
     """
-    joined = staged_orders.select("order_id", "category").join(
-        _refunds_per_order(staged_returns), "order_id"
-    )
+    orders = unique_for_join(staged_orders.select("order_id", "category"), ["order_id"], "orders")
+    joined = orders.join(_refunds_per_order(staged_returns), "order_id")
     counts = {"refund_count": F.sum("refunds"), "amounts": F.sum("amounts")}
     per_band = add_up(joined, ["category"], ["refunded"], counts)
     totals = per_band.groupBy("category").agg(
@@ -105,11 +106,13 @@ def build_report(revenue: DataFrame, stock: DataFrame, refunds: DataFrame) -> Da
     """Revenue rows with the stock and refunds of their category (0 if none).
 
     Stock is aggregated to one row per category first; joining it per warehouse
-    would repeat the revenue rows.
+    would repeat the revenue rows. So would refunds that hold a category twice,
+    which are an error.
     """
+    refunds = refunds.select("category", "refund_count", "total_refunds")
     return (
         revenue.join(_stock_per_category(stock), "category", "left")
-        .join(refunds.select("category", "refund_count", "total_refunds"), "category", "left")
+        .join(unique_for_join(refunds, ["category"], "refunds"), "category", "left")
         .select(*_REVENUE_COLUMNS, *_filled("total_stock", "refund_count", "total_refunds"))
     )
 

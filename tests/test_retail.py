@@ -177,3 +177,25 @@ def test_quality_checks(spark):
         assert_unique(orders, ["category"])
     with pytest.raises(QualityError, match="orders is empty"):
         assert_non_empty(orders.where("false"), "orders")
+
+
+def test_repeated_keys_are_an_error_before_they_fan_out(spark):
+    orders = spark.createDataFrame(
+        [(1, "a"), (2, "b"), (None, "a"), (None, "b")], "order_id long, category string"
+    )
+    returns = spark.createDataFrame(
+        [(1, 5.0), (1, 2.5), (None, 7.0)], "order_id long, refund_amount double"
+    )
+    refunds = retail.agg_refunds(returns, orders)
+    assert [tuple(r) for r in refunds.collect()] == [("a", 2, 7.5, 3.75)]
+    with pytest.raises(Exception, match="orders: duplicate key .*order_id.*: 1"):
+        retail.agg_refunds(returns, orders.union(orders)).collect()
+
+    stock = spark.createDataFrame([("a", "w", 3)], "category string, warehouse string, total_stock long")
+    revenue = spark.createDataFrame(
+        [("a", "r", 1, 2.0, 2.0)],
+        "category string, region string, order_count long, total_revenue double, avg_order_value double",
+    )
+    assert retail.build_report(revenue, stock, refunds).first().total_refunds == 7.5
+    with pytest.raises(Exception, match="refunds: duplicate key .*category.*: a"):
+        retail.build_report(revenue, stock, refunds.union(refunds)).collect()
