@@ -430,19 +430,28 @@ def _similar(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> Da
 
 
 def checked_links(
-    members: DataFrame, texts: DataFrame, words: int = 5, least: float = 0.8
+    members: DataFrame,
+    texts: DataFrame,
+    words: int = 5,
+    least: float = 0.8,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Links ``a, b`` that connect what all links within groups would connect.
 
     ``members`` has ``group, rep, size`` (distinct shingles of the text),
-    ``texts`` has ``rep, text``. A round compares some members of a group, its
+    ``texts`` has ``rep, text``. Links ``known`` before are among the result, and
+    texts that they connect are not compared. A round compares some members of a group, its
     centers, with all others and then takes them out of the group, until those
     left are connected. So two members are compared on whole texts, or their
     sizes rule a link out, or checked links connect them already; copies that
     one center connects are done in one round.
     """
-    found = None
-    left = members.select("group", "rep", "size", F.col("rep").alias("root"))
+    found = known
+    left = members.select("group", "rep", "size")
+    if known is None:
+        left = left.withColumn("root", F.col("rep"))
+    else:
+        left = _with_roots(left, known)
     turn = 0
     while True:
         left = materialize(left, "open-members")
@@ -488,19 +497,21 @@ def checked_links(
         found = materialize(
             similar if found is None else found.unionByName(similar), "checked-links"
         )
-        roots = connected_components(found).select(F.col("node").alias("rep"), "root")
-        left = (
-            marked.where(~F.col("center"))
-            .select("group", "rep", "size")
-            .join(roots, "rep", "left")
-            .select("group", "rep", "size", F.coalesce("root", "rep").alias("root"))
-        )
+        left = _with_roots(marked.where(~F.col("center")).select("group", "rep", "size"), found)
         turn += 1
     if found is None:
         found = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     return found
 
 
+def _with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members, each with the root of what the links connect it to, or itself."""
+    roots = connected_components(links).select(F.col("node").alias("rep"), "root")
+    return members.join(roots, "rep", "left").select(
+        "group", "rep", "size", F.coalesce("root", "rep").alias("root")
+    )
+
+
 def _content() -> list[Column]:
     """Two hashes that tell the words of a text, A-Z lower-cased, from all others."""
     text = F.concat_ws(" ", F.transform(F.split(F.coalesce("text", F.lit("")), GAP), ascii_lower))
@@ -510,22 +521,32 @@ def _content() -> list[Column]:
 def similar_texts(texts: DataFrame, words: int, least: float) -> DataFrame:
     """``rep, root`` of the texts that are similar to another one, directly or over others.
 
-    ``texts`` has ``rep, text``, a row per distinct text.
+    ``texts`` has ``rep, text``, a row per distinct text. Texts whose SimHash
+    fingerprints are within two bits are linked first, by ``simhash_components``;
+    shingle sets then add the links that are too far apart for 64 bits.
     """
+    near = simhash_components(texts.select(F.col("rep").alias("doc_id"), "text"))
+    linked = materialize(
+        near.where(F.col("doc_id") != F.col("component_id")).select(
+            F.col("doc_id").alias("a"), F.col("component_id").alias("b")
+        ),
+        "simhash-links",
+    )
     members = prefix_members(texts, words, least)
-    classes = connected_components(checked_links(members, texts, words, least))
+    classes = connected_components(checked_links(members, texts, words, least, linked))
     return classes.select(F.col("node").alias("rep"), "root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: groups of copies and near copies.
 
-    Texts belong together if their sets of ``words``-word shingles have a Jaccard
-    similarity of ``least`` or more, directly or over others. The search is exact:
-    two such texts share a shingle of their prefixes, and texts that do are
-    compared on whole texts until checked links connect them or every pair that
-    they don't connect was compared. SimHash plays no part: at 0.8 a whole text's
-    differs in about ten bits, too far for a search in 64 bits.
+    Texts belong together, directly or over others, if their SimHash fingerprints
+    differ in two bits or fewer, as in ``simhash_components``, or if their sets of
+    ``words``-word shingles have a Jaccard similarity of ``least`` or more. Both
+    searches are exact. At 0.8 a whole text's fingerprint differs in about ten bits,
+    too far for a search in 64 bits; but two such texts share a shingle of their
+    prefixes, and texts that do are compared on whole texts until links connect
+    them or every pair that they don't connect was compared.
 
     Rows with a null id get no row. Texts without words are copies of each other.
     Rows that share an id are compared each with its own text. An empty table

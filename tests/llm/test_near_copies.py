@@ -87,3 +87,36 @@ def test_prefix_is_within_both_whatever_is_common():
         counts = np.array([draw.randrange(4, 9) for _ in common])
         first, second = (simhash.prefix(x, common, counts, 0.8) for x in (one, other))
         assert set(first.tolist()) & set(second.tolist())
+
+
+def test_links_of_the_fingerprints_count_and_lead_on(spark):
+    """Most of a text repeats: two bits tell what sets of shingles can't, and a chain goes on."""
+    draw = random.Random(6)
+
+    def tail(words):
+        return " ".join(f"t{draw.getrandbits(40)}" for _ in range(words))
+
+    body = "alpha beta gamma " * 200
+    last = tail(40)
+    texts = {1: body + tail(12), 2: body + last, 3: f"{body}delta {last}", 4: tail(80)}
+    bits = {
+        i: simhash.majority_bits(simhash.shingle_hashes(simhash.lowered_words(t), 3))
+        for i, t in texts.items()
+    }
+    assert (bits[1] ^ bits[2]).bit_count() <= 2 and not similar(texts[1], texts[2])
+    assert similar(texts[2], texts[3])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 4]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
+    linked = simhash.simhash_components(docs).collect()
+    for r in linked:
+        assert found[r["doc_id"]] == found[r["component_id"]]
+
+
+def test_known_links_are_kept_without_groups(spark):
+    members = spark.createDataFrame([], "group long, rep long, size long")
+    texts = spark.createDataFrame([], "rep long, text string")
+    known = spark.createDataFrame([(5, 3)], "a long, b long")
+    links = simhash.checked_links(members, texts, known=known).collect()
+    assert [tuple(r) for r in links] == [(5, 3)]
