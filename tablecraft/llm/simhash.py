@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.llm.components import connected_components
-from tablecraft.llm.text import GAP, ascii_lower, lowered_words
+from tablecraft.llm.text import GAP, TEXT_CODEC, ascii_lower, lowered_words
 from tablecraft.session import materialize
 
 BITS = 64
@@ -562,6 +562,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
         .agg(F.min("doc_id").alias("least_id"), F.first("text").alias("text"))
         .withColumn("rep", F.monotonically_increasing_id()),
         "distinct-texts",
+        codec=TEXT_CODEC,
     )
     found = similar_texts(texts.select("rep", "text"), words, least)
     known = texts.select("one", "two", "rep", "least_id").join(found, "rep", "left").select(
@@ -593,6 +594,7 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
         .where(F.col("__rank") == 1)
         .select(*docs.columns, F.monotonically_increasing_id().alias("__rep")),
         "first-copies",
+        codec=TEXT_CODEC,
     )
     texts = firsts.select(F.col("__rep").alias("rep"), "text")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col("__rep"))

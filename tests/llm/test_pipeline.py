@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecraft.llm import mixing, simhash
+from tablecraft.llm.text import ROW, TEXT_CODEC, with_row_keys
 from tablecraft.session import materialize
 
 
@@ -120,3 +121,16 @@ def test_the_mix_loses_no_row_for_its_id(spark):
     words = sum(len(r["text"].split()) for r in mixed.collect())
     assert words == copies[1]
     assert mixed.groupBy(*docs.columns).count().where("count > 2").count() == 0
+
+
+def test_kept_copies_of_texts_are_packed_tightly(spark, small, tmp_path):
+    """What a stage keeps of the texts takes less disk than with the default codec."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plain, kept = (tmp_path / name for name in ("plain", "kept"))
+    materialize(docs, "texts", str(plain))
+    found = with_row_keys(docs, "texts")
+    materialize(found.drop(ROW), "texts", str(kept), TEXT_CODEC)
+    assert sorted(map(str, found.drop(ROW).collect())) == sorted(map(str, docs.collect()))
+    assert all(".zstd." in path for path in found.inputFiles())
+    plain, kept = (sum(f.stat().st_size for f in at.glob("*.parquet")) for at in (plain, kept))
+    assert kept < 0.8 * plain
